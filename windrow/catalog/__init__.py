@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from . import q_features, q_spans  # noqa: F401
+from . import q_detect, q_features, q_spans  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

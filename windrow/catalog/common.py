@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as ft
 from ..operators import spans as sp
+from ..plans.stage import stage
 from ..sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +48,8 @@ STATS_MIN = 5  # valid frames needed for headway and lane statistics in 20-frame
 
 
 def sig(spark: SparkSession, d: str) -> DataFrame:
-    return tb.signals(spark, d)
+    """The signal table: the stage that every frame-level query reads."""
+    return stage(spark, "signals", d, lambda: tb.signals(spark, d))
 
 
 def human_spans(frames: DataFrame) -> DataFrame:
@@ -65,11 +67,14 @@ def win_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
-    """One row per window: keys, twelve statistics, scenario."""
-    wf = win_frames(spark, d)
-    keys = ["entity", "route", "grp", "win_id", "wi0", "wi1"]
-    st = ft.window_stats(wf, COARSE["rate"], STATS_MIN, keys)
-    return ft.scenario_bucket(st, **SCENARIO)
+    """The window table (one row per window: keys, twelve statistics, scenario), also a stage."""
+
+    def build() -> DataFrame:
+        keys = ["entity", "route", "grp", "win_id", "wi0", "wi1"]
+        st = ft.window_stats(win_frames(spark, d), COARSE["rate"], STATS_MIN, keys)
+        return ft.scenario_bucket(st, **SCENARIO)
+
+    return stage(spark, "windows", d, build)
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:

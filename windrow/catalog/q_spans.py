@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import spans as sp
 from ..sources import tables as tb
 from . import common as c
-from .common import BOUNDS, COARSE, SIG, SPANS, query, rounded, rsel, runs_sql
+from .common import BOUNDS, COARSE, SIG, SPANS, WF, query, rounded, rsel, runs_sql
 
 SPAN_TABLE = (
     SPANS
@@ -81,33 +81,31 @@ def chunk_runs(spark, d):
     return sp.chunk_runs(sp.raw_runs(c.sig(spark, d), F.col("vEgo") > 5), COARSE["chunk_len"])
 
 
-HITS = f"""{SIG}, hits AS (
-  SELECT entity, route, idx AS step, 'brake' AS rule FROM sig WHERE aEgo < -2.5
-  UNION ALL SELECT entity, route, idx, 'steer' FROM sig WHERE abs(steeringAngleDeg) > 110)"""
+HITS = f"""{WF}, hits AS (
+  SELECT win_id, pos AS step, 'brake' AS rule FROM wf WHERE aEgo < -2.5
+  UNION ALL SELECT win_id, pos, 'steer' FROM wf WHERE abs(steeringAngleDeg) > 110)"""
 
 
 def rule_hits(f):
-    a = f.filter(F.col("aEgo") < -2.5).select("entity", "route", F.col("idx").alias("step"), F.lit("brake").alias("rule"))
-    b = f.filter(F.abs("steeringAngleDeg") > 110).select(
-        "entity", "route", F.col("idx").alias("step"), F.lit("steer").alias("rule")
-    )
+    a = f.filter(F.col("aEgo") < -2.5).select("win_id", F.col("pos").alias("step"), F.lit("brake").alias("rule"))
+    b = f.filter(F.abs("steeringAngleDeg") > 110).select("win_id", F.col("pos").alias("step"), F.lit("steer").alias("rule"))
     return a.unionByName(b)
 
 
 @query(
     "dedupe_anchored",
-    f"""WITH RECURSIVE {HITS}, hs AS (SELECT DISTINCT entity, route, step FROM hits),
+    f"""WITH RECURSIVE {HITS}, hs AS (SELECT DISTINCT win_id, step FROM hits),
     anchors AS (
-      SELECT entity, route, min(step) AS step FROM hs GROUP BY ALL
+      SELECT win_id, min(step) AS step FROM hs GROUP BY ALL
       UNION ALL
-      SELECT a.entity, a.route, (SELECT min(h.step) FROM hs h WHERE h.entity = a.entity AND h.route = a.route
+      SELECT a.win_id, (SELECT min(h.step) FROM hs h WHERE h.win_id = a.win_id
         AND h.step > a.step + 4) FROM anchors a WHERE a.step IS NOT NULL)
-    SELECT a.entity, a.route, a.step, string_agg(DISTINCT h.rule, '+' ORDER BY h.rule) AS rules
-    FROM anchors a JOIN hits h ON h.entity = a.entity AND h.route = a.route AND h.step BETWEEN a.step AND a.step + 4
+    SELECT a.win_id, a.step, string_agg(DISTINCT h.rule, '+' ORDER BY h.rule) AS rules
+    FROM anchors a JOIN hits h ON h.win_id = a.win_id AND h.step BETWEEN a.step AND a.step + 4
     WHERE a.step IS NOT NULL GROUP BY ALL""",
 )
 def dedupe_anchored(spark, d):
-    out = sp.dedupe_anchored(rule_hits(c.sig(spark, d)), 4, ["entity", "route"])
+    out = sp.dedupe_anchored(rule_hits(c.win_frames(spark, d)), 4)
     return out.withColumn("rules", F.array_join("rules", "+"))
 
 

@@ -161,42 +161,39 @@ def chunk_runs(runs_df: DataFrame, length: int = 100, keys: Sequence[str] = ROUT
     return cut.select(*keys, "i", (F.col("i") + F.col("_k") * length).alias("t"))
 
 
-def dedupe_anchored(
-    hits: DataFrame, gap: int = 30, keys: Sequence[str] = ("win_id",), step: str = "step", rule: str = "rule"
-) -> DataFrame:
-    """Group hits within ``gap`` steps of the group's first hit; one row per group with its rules.
+def anchor_hits(hits: DataFrame, gap: int, keys: Sequence[str] = ("win_id",), step: str = "step") -> DataFrame:
+    """Greedy anchors: the first hit, then each time the first hit more than ``gap`` after the last anchor.
 
-    The scan depends on its own earlier choices, so it folds over an ordered array of
-    one chain of hits (neighbours at most ``gap`` apart; chains cannot influence each
-    other). Keys are window ids, so an array holds no more than the window's steps.
+    Each choice depends on the one before, so this folds over the ordered hits of one
+    chain (neighbours at most ``gap`` apart; chains cannot influence each other). Keys
+    are window ids: an array never holds more than a window's steps.
     """
     keys = list(keys)
-    per_step = hits.groupBy(*keys, step).agg(F.array_sort(F.collect_set(rule)).alias("_rules"))
     w = Window.partitionBy(*keys).orderBy(step)
     apart = F.col(step) - F.lag(step).over(w)
-    chained = per_step.withColumn("_chain", F.sum(F.when(apart <= gap, 0).otherwise(1)).over(w))
-    packed = chained.groupBy(*keys, "_chain").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(step).cast("bigint").alias("s"), F.col("_rules").alias("r")))).alias("h")
-    )
-    empty = F.array().cast("array<struct<s:bigint,r:array<string>>>")
-    folded = F.aggregate(
-        "h",
-        empty,
+    steps = hits.select(*keys, F.col(step).cast("bigint").alias(step)).distinct()
+    steps = steps.withColumn("_chain", F.sum(F.when(apart <= gap, 0).otherwise(1)).over(w))
+    packed = steps.groupBy(*keys, "_chain").agg(F.array_sort(F.collect_list(step)).alias("_s"))
+    start = F.array().cast("array<bigint>")
+    picked = F.aggregate(
+        "_s",
+        start,
         lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["s"] - F.try_element_at(acc, F.lit(-1))["s"] <= gap),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(
-                    F.struct(
-                        F.try_element_at(acc, F.lit(-1))["s"].alias("s"),
-                        F.array_union(F.try_element_at(acc, F.lit(-1))["r"], x["r"]).alias("r"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["r"].alias("r"))))),
+            (F.size(acc) > 0) & (x - F.try_element_at(acc, F.lit(-1)) <= gap), acc
+        ).otherwise(F.array_append(acc, x)),
     )
-    out = packed.select(*keys, F.explode(folded).alias("g"))
-    return out.select(*keys, F.col("g.s").alias(step), F.array_sort("g.r").alias("rules"))
+    return packed.select(*keys, F.explode(picked).alias(step))
+
+
+def dedupe_anchored(
+    hits: DataFrame, gap: int = 30, keys: Sequence[str] = ("win_id",), step: str = "step", rule: str = "rule"
+) -> DataFrame:
+    """Group hits within ``gap`` steps of the group's first hit; one row per group with its sorted rules."""
+    keys = list(keys)
+    groups = anchor_hits(hits, gap, keys, step).withColumn("_end", F.col(step) + gap)
+    members = hits.select(*keys, F.col(step).alias("_at"), rule)
+    joined = groups.join(members, keys).filter(F.col("_at").between(F.col(step), F.col("_end")))
+    return joined.groupBy(*keys, step).agg(F.array_sort(F.collect_set(rule)).alias("rules"))
 
 
 def session_merge(

@@ -8,7 +8,6 @@ chunk summaries (a row or two per chunk) are ordered over the whole key.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,19 +19,6 @@ from ..functions.hashing import hash_order
 CHUNK = 32_768
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute once a table that several branches read, and cut its lineage (a reliable checkpoint).
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests,
-    local runs) a temporary one is made.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="windrow-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def chunk_of(order: str | Column, size: float) -> Column:
     order = F.col(order) if isinstance(order, str) else order
     return F.floor(order / F.lit(size)).cast("bigint")
