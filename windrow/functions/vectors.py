@@ -37,7 +37,7 @@ def hist_intersection(a: str | Column, b: str | Column) -> Column:
     """Sum of element-wise minima of two histograms, each first scaled to sum 1."""
     total = lambda v: F.aggregate(as_double(v), F.lit(0.0), lambda acc, x: acc + x)
     pa, pb = total(a), total(b)
-    mins = F.zip_with(as_double(a), as_double(b), lambda x, y: F.least(x / pa, y / pb))
+    mins = F.zip_with(as_double(a), as_double(b), lambda x, y: F.least(F.try_divide(x, pa), F.try_divide(y, pb)))
     return F.aggregate(mins, F.lit(0.0), lambda acc, x: acc + x)
 
 
