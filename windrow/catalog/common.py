@@ -28,16 +28,22 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double for comparison (adding 0.0 turns -0.0 into 0.0)."""
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Round every double for comparison (adding 0.0 turns -0.0 into 0.0).
+
+    ``nudge`` (in units of the last digit) moves ratios of short decimals off the exact
+    half, where the engines' last bits would decide; the SQL side gets the same.
+    """
+    step = nudge * 10.0**-digits
     return df.select(
-        *[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+        *[(F.round(F.col(c) + step, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
     )
 
 
-def rsel(floats: str, digits: int = 6) -> str:
+def rsel(floats: str, digits: int = 6, nudge: float = 0.0) -> str:
     """SQL select items that round the named columns the same way."""
-    return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in floats.split())
+    step = f" + {nudge * 10.0**-digits!r}::DOUBLE" if nudge else ""
+    return ", ".join(f"round({c}{step}, {digits}) + 0.0 AS {c}" for c in floats.split())
 
 
 # ---- Spark views ---------------------------------------------------------------------------
@@ -61,9 +67,13 @@ def win_bounds(frames: DataFrame) -> DataFrame:
 
 
 def win_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of every sliding window (no moving filter)."""
-    f = sig(spark, d)
-    return sp.slide_frames(f, human_spans(f), COARSE["win"], COARSE["stride"], COARSE["min_len"])
+    """Frames of every sliding window (no moving filter): the stage that window-level queries read."""
+
+    def build() -> DataFrame:
+        f = sig(spark, d)
+        return sp.slide_frames(f, human_spans(f), COARSE["win"], COARSE["stride"], COARSE["min_len"])
+
+    return stage(spark, "window_frames", d, build)
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +82,8 @@ def stats(spark: SparkSession, d: str) -> DataFrame:
     def build() -> DataFrame:
         keys = ["entity", "route", "grp", "win_id", "wi0", "wi1"]
         st = ft.window_stats(win_frames(spark, d), COARSE["rate"], STATS_MIN, keys)
-        return ft.scenario_bucket(st, **SCENARIO)
+        # Ten decimals, so that equal statistics are equal whatever order they were summed in.
+        return ft.scenario_bucket(rounded(st, 10), **SCENARIO)
 
     return stage(spark, "windows", d, build)
 
@@ -167,10 +178,11 @@ stats0 AS (
     CASE WHEN count(laneLeft_y) > 5 THEN stddev_pop((laneLeft_y + laneRight_y) / 2) END AS lane_sdlp
   FROM wfd GROUP BY ALL
 ),
+stats1 AS (SELECT * REPLACE (""" + rsel(" ".join(ft.STATS), 10) + """) FROM stats0),
 stats AS (
   SELECT *, CASE WHEN stop_frac > 0.1 THEN 'stop_go' WHEN curv_p95 > 0.0195 THEN 'curve'
     WHEN lead_frac > 0.5 AND thw_median < 3.5 THEN 'car_following' WHEN v_mean > 17 THEN 'high_speed'
-    WHEN v_mean < 14 THEN 'urban' ELSE 'free' END AS scenario FROM stats0
+    WHEN v_mean < 14 THEN 'urban' ELSE 'free' END AS scenario FROM stats1
 )"""
 )
 

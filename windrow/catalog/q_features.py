@@ -32,9 +32,9 @@ def flagship(spark, d):
     )
 
 
-@query("window_stats", f"WITH {STATS} SELECT win_id, {rsel(STAT_COLS, 9)} FROM stats")
+@query("window_stats", f"WITH {STATS} SELECT win_id, {rsel(STAT_COLS, 7, 0.0317)} FROM stats0")
 def window_stats(spark, d):
-    return rounded(ft.window_stats(wf(spark, d), RATE, c.STATS_MIN), 9)
+    return rounded(ft.window_stats(wf(spark, d), RATE, c.STATS_MIN), 7, 0.0317)
 
 
 @query("diff_rms", f"WITH {WF} SELECT win_id, round(sqrt(avg(d_a * d_a)), 6) + 0.0 AS diff_rms FROM wfd GROUP BY win_id")
@@ -49,20 +49,20 @@ def diff_rms(spark, d):
       CASE WHEN count_if(fol) > 5 THEN quantile_cont(thw, 0.25) FILTER (WHERE fol) END AS thw_p25,
       CASE WHEN count_if(fol) > 5 THEN avg((thw < 1)::INT) FILTER (WHERE fol) END AS close_follow_rate,
       avg((leadOne_status > 0.5)::INT) AS lead_present_rate FROM wfd GROUP BY win_id)
-    SELECT win_id, {rsel("thw_median thw_p25 close_follow_rate lead_present_rate", 9)} FROM h""",
+    SELECT win_id, {rsel("thw_median thw_p25 close_follow_rate lead_present_rate", 7, 0.0317)} FROM h""",
 )
 def headway_stats(spark, d):
-    return rounded(ft.headway_stats(wf(spark, d)), 9)
+    return rounded(ft.headway_stats(wf(spark, d)), 7, 0.0317)
 
 
 @query(
     "ttc_min",
     f"""WITH {WF}, h AS (SELECT win_id, CASE WHEN count_if(fol) > 5 THEN
       min(leadOne_dRel / -leadOne_vRel) FILTER (WHERE fol AND leadOne_vRel < -0.5) END AS ttc_min FROM wfd GROUP BY win_id)
-    SELECT win_id, {rsel("ttc_min")} FROM h""",
+    SELECT win_id, {rsel("ttc_min", 7, 0.0317)} FROM h""",
 )
 def ttc_min(spark, d):
-    return rounded(ft.ttc_min(wf(spark, d)))
+    return rounded(ft.ttc_min(wf(spark, d)), 7, 0.0317)
 
 
 @query(

@@ -271,17 +271,20 @@ def best_lag_corr(
     names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = int(pdf["_c"].iloc[0])
-        lo = c * chunk - max_lag
-        size = chunk + 2 * max_lag
-        xs, ys = np.full(size, np.nan), np.full(size, np.nan)
-        at = (pdf["_o"] - lo).to_numpy()
-        xs[at] = pdf["_a"].to_numpy()
-        ys[at] = pdf["_b"].to_numpy()
-        y = ys[max_lag : max_lag + chunk]
+        at = pdf["_o"].to_numpy()
+        own = at // chunk == pdf["_c"].iloc[0]
+        if not own.any():
+            return pd.DataFrame(columns=[*keys, "lag", *names])
+        lo, hi = at[own].min(), at[own].max()
+        y = np.full(hi - lo + 1, np.nan)
+        y[at[own] - lo] = pdf["_b"].to_numpy()[own]
+        # x covers the own stretch and max_lag frames on both sides.
+        x = np.full(len(y) + 2 * max_lag, np.nan)
+        near = (at >= lo - max_lag) & (at <= hi + max_lag)
+        x[at[near] - lo + max_lag] = pdf["_a"].to_numpy()[near]
         rows = []
         for lag in range(-max_lag, max_lag + 1):
-            z = xs[max_lag + lag : max_lag + lag + chunk]
+            z = x[max_lag + lag : max_lag + lag + len(y)]
             ok = ~(np.isnan(z) | np.isnan(y))
             p, q = z[ok], y[ok]
             rows.append((lag, len(p), p.sum(), q.sum(), p @ p, q @ q, p @ q))
