@@ -73,7 +73,7 @@ def win_frames(spark: SparkSession, d: str) -> DataFrame:
         f = sig(spark, d)
         return sp.slide_frames(f, human_spans(f), COARSE["win"], COARSE["stride"], COARSE["min_len"])
 
-    return stage(spark, "window_frames", d, build)
+    return stage(spark, "window_frames", d, build, ["win_id"], ["pos"])
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:

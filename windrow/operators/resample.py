@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -270,32 +270,31 @@ def best_lag_corr(
     x = x.withColumn("_c", F.explode(F.sequence(chunk_of(F.col("_o") - max_lag, chunk), chunk_of(F.col("_o") + max_lag, chunk))))
     names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf["_o"].to_numpy()
-        own = at // chunk == pdf["_c"].iloc[0]
-        if not own.any():
-            return pd.DataFrame(columns=[*keys, "lag", *names])
-        lo, hi = at[own].min(), at[own].max()
-        y = np.full(hi - lo + 1, np.nan)
-        y[at[own] - lo] = pdf["_b"].to_numpy()[own]
-        # x covers the own stretch and max_lag frames on both sides.
-        x = np.full(len(y) + 2 * max_lag, np.nan)
-        near = (at >= lo - max_lag) & (at <= hi + max_lag)
-        x[at[near] - lo + max_lag] = pdf["_a"].to_numpy()[near]
-        rows = []
-        for lag in range(-max_lag, max_lag + 1):
-            z = x[max_lag + lag : max_lag + lag + len(y)]
-            ok = ~(np.isnan(z) | np.isnan(y))
-            p, q = z[ok], y[ok]
-            rows.append((lag, len(p), p.sum(), q.sum(), p @ p, q @ q, p @ q))
-        out = pd.DataFrame(rows, columns=["lag", *names])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "lag", *names]][out["n"] > 0]
+    def partial(group: pa.Table) -> pa.Table:
+        at = group["_o"].to_numpy()
+        own = at // chunk == group["_c"][0].as_py()
+        stats = {c: [] for c in ["lag", *names]}
+        if own.any():
+            lo, hi = at[own].min(), at[own].max()
+            y = np.full(hi - lo + 1, np.nan)
+            y[at[own] - lo] = group["_b"].to_numpy()[own]
+            # x covers the own stretch and max_lag frames on both sides.
+            x = np.full(len(y) + 2 * max_lag, np.nan)
+            near = (at >= lo - max_lag) & (at <= hi + max_lag)
+            x[at[near] - lo + max_lag] = group["_a"].to_numpy()[near]
+            for lag in range(-max_lag, max_lag + 1):
+                z = x[max_lag + lag : max_lag + lag + len(y)]
+                ok = ~(np.isnan(z) | np.isnan(y))
+                p, q = z[ok], y[ok]
+                for c, v in zip(stats, (lag, len(p), p.sum(), q.sum(), p @ p, q @ q, p @ q)):
+                    stats[c].append(v)
+        n = len(stats["lag"])
+        key_cols = {k: pa.array([group[k][0].as_py()] * n, group.schema.field(k).type) for k in keys}
+        return pa.table({**key_cols, **{c: pa.array(v, pa.int64() if c in ("lag", "n") else pa.float64()) for c, v in stats.items()}})
 
     types = dict(frames.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "lag bigint", "n bigint", *[f"{c} double" for c in names[1:]]])
-    part = x.groupBy(*keys, "_c").applyInPandas(partial, schema)
+    part = x.groupBy(*keys, "_c").applyInArrow(partial, schema).filter("n > 0")
     s = part.groupBy(*keys, "lag").agg(*[F.sum(c).alias(c) for c in names]).join(mean.select(*keys, "_n"), keys)
     n = F.col("n")
     vx, vy = F.col("sxx") - F.col("sx") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n

@@ -8,6 +8,7 @@ chunk summaries (a row or two per chunk) are ordered over the whole key.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -312,22 +313,33 @@ def exact_quantiles(
     Rank positions come from ``running_totals``; at most two distinct values per
     (group, prob) survive the filter.
     """
-    by = list(by)
+    by, probs = list(by), sorted({float(p) for p in probs})
     ranked = running_totals(df.filter(F.col(value).isNotNull()), by, value, {"c": F.count(F.lit(1))})
-    pos = lambda p: p * (F.col("tot_c") - 1)
-    # A rank of p*(n-1) that is a whole number up to float noise counts as whole.
-    low = lambda p: F.floor(pos(p) + 1e-9)
-    high = lambda p: F.ceil(pos(p) - 1e-9)
-    start = F.col("cum_c") - F.col("c")
-    hit = lambda p: ((start <= low(p)) & (low(p) < F.col("cum_c"))) | ((start <= high(p)) & (high(p) < F.col("cum_c")))
-    wanted = F.filter(F.lit([float(p) for p in probs]), hit)
-    hits = ranked.select(*by, value, F.col("tot_c").alias("n"), "tot_c", F.explode(wanted).alias("prob"))
-    frac = F.greatest(pos(F.col("prob")) - low(F.col("prob")), F.lit(0.0))
-    hits = hits.withColumn("_f", frac)
-    out = hits.groupBy(*by, "prob", "n").agg(
+    start, last = F.col("cum_c") - F.col("c"), F.col("tot_c") - 1
+    # A row covers a small stretch of the probability axis. A lookup of 1024 cells tells which
+    # wanted probabilities can lie in it: for nearly every row none, and it ends there.
+    cells = 1024
+    first = F.lit([bisect_left(probs, g / cells) for g in range(cells + 1)] + [len(probs)] * 2)
+    width = F.greatest(last, F.lit(1))
+    lo_cell = F.greatest(F.floor((start - 1 - 1e-6) / width * cells), F.lit(0)).cast("int")
+    hi_cell = F.least(F.floor((F.col("cum_c") + 1e-6) / width * cells) + 1, F.lit(cells + 1)).cast("int")
+    near = ranked.select(
+        *by, value, start.alias("_s"), F.col("cum_c").alias("_e"), last.alias("_last"), first[lo_cell].alias("_i"), first[hi_cell].alias("_j")
+    ).filter(F.col("_i") < F.col("_j"))
+    # A rank of p * (n - 1) that is a whole number up to float noise counts as whole.
+    low = lambda p: F.floor(p * F.col("_last") + 1e-9)
+    high = lambda p: F.ceil(p * F.col("_last") - 1e-9)
+    covers = lambda at: (F.col("_s") <= at) & (at < F.col("_e"))
+    some = F.slice(F.lit(probs), F.col("_i") + 1, F.col("_j") - F.col("_i"))
+    hits = near.select(
+        *by, value, "_last", F.explode(F.filter(some, lambda p: covers(low(p)) | covers(high(p)))).alias("prob")
+    )
+    hits = hits.withColumn("_f", F.greatest(F.col("prob") * F.col("_last") - low(F.col("prob")), F.lit(0.0)))
+    out = hits.groupBy(*by, "prob", "_last").agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.first("_f").alias("_f")
     )
-    return out.select(*by, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("q"), "n")
+    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")
+    return out.select(*by, "prob", q.alias("q"), (F.col("_last") + 1).alias("n"))
 
 
 def quantile_columns(df: DataFrame, by: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:

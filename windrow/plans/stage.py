@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,17 +28,34 @@ def shared_folder(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write the table to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/windrow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+def materialize(df: DataFrame, name: str = "table", bucket_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> DataFrame:
+    """Write the table to the shared folder and read it back.
 
-def stage(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    With ``bucket_by`` (only for keys whose groups are small) it is written in hash buckets,
+    so later windows, groupings and joins on that key need no shuffle and no sort.
+    """
+    spark = df.sparkSession
+    unique = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/windrow/{unique}"
+    if not bucket_by:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # buckets: one per shuffle task
+    writer = df.repartition(n, *bucket_by).write.bucketBy(n, *bucket_by).sortBy(*bucket_by, *sort_by)
+    writer.option("path", path).format("parquet").saveAsTable(f"windrow_{unique}")
+    return spark.table(f"windrow_{unique}")
+
+
+def stage(
+    spark: SparkSession,
+    name: str,
+    source: str,
+    build: Callable[[], DataFrame],
+    bucket_by: Sequence[str] = (),
+    sort_by: Sequence[str] = (),
+) -> DataFrame:
     """The stage table ``name`` derived from ``source``, written on first use in this application."""
     key = (spark.sparkContext.applicationId, f"{name}@{source}")
     if key not in _STAGES:
-        _STAGES[key] = materialize(build(), name)
+        _STAGES[key] = materialize(build(), name, bucket_by, sort_by)
     return _STAGES[key]
