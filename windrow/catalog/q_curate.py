@@ -418,11 +418,16 @@ pairs AS (SELECT * FROM allp QUALIFY row_number() OVER (PARTITION BY same_entity
   <= least((SELECT count(*) FROM posp), (SELECT count(*) FROM negp), 25000))"""
 
 
-def pairs(spark, d):
+def mined(spark, d):
     k = keyed(spark, d)
     return pr.balance_pairs(pr.positive_pairs(k), pr.negative_pairs(k))
 
 
+def pairs(spark, d):
+    """The pair manifest, a stage that the pair queries read."""
+    return c.stage(spark, "pairs", d, lambda: mined(spark, d))
+
+
 @query("positive_pairs", f"WITH {KEYED}, {POS} SELECT * FROM posp")
 def positive_pairs(spark, d):
     return pr.positive_pairs(keyed(spark, d))
@@ -435,7 +440,7 @@ def negative_pairs(spark, d):
 
 @query("balance_pairs", f"WITH {PAIRS} SELECT * FROM pairs")
 def balance_pairs(spark, d):
-    return pairs(spark, d)
+    return mined(spark, d)
 
 
 @query(

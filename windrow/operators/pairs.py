@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vec
 from ..functions.hashing import hash_order
 from ..plans.ordered import exact_quantiles, hash_rank, hash_top_n
+from ..plans.stage import materialize
 
 # Right-closed bins, open at 0 (a value outside gets "nan").
 V_BINS = (0.0, 10.0, 20.0, 30.0, float("inf"))
@@ -76,7 +77,7 @@ def negative_pairs(
 
 def balance_pairs(pos: DataFrame, neg: DataFrame, target: int = 25_000, seed: int = 42) -> DataFrame:
     """Equally many of both classes: min(positives, negatives, target), by hash."""
-    both = pos.unionByName(neg)
+    both = materialize(pos.unionByName(neg), "pairs")
     ranked = hash_rank(both, ["same_entity"], ["key", "win_a", "win_b"], seed, "_r", "_n")
     sizes = both.groupBy("same_entity").agg(F.count(F.lit(1)).alias("_c"))
     n = sizes.agg(F.least(F.min("_c"), F.lit(target), F.when(F.count(F.lit(1)) < 2, F.lit(0))).alias("_m"))
