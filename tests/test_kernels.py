@@ -118,3 +118,30 @@ def test_blocks_do_not_change_ranks(spark):
     for block in (4, 100):
         got = {r.pid: r.nn for r in blocks.nearest(pts, "pid", "e", block=block).collect()}
         assert got == {i: int(d[i].argmin()) for i in range(23)}
+
+
+def test_detectors_do_not_depend_on_the_chunk(spark, sf):
+    from windrow.catalog import common
+    from windrow.operators import detect, spans
+
+    f = common.sig(spark, sf).filter(F.col("entity").isin("S1", "S2"))
+    jobs = {
+        "onset": lambda c: detect.onset_runs(f, F.col("aEgo") < -1.2, 2, 3, 2, chunk=c),
+        "near": lambda c: detect.onset_runs(f, F.col("aEgo") < -1.2, 1, 3, 4, chunk=c, near=(F.abs("steeringRateDeg"), 3, 2, 30.0)),
+        "follow": lambda c: detect.following_frames(f, jump=40.0, turn_k=0.018, turn_len=2, chunk=c),
+        "jump": lambda c: detect.lane_jump(f, chunk=c),
+        "drift": lambda c: detect.lane_drift(f, 2, 6, 0.5, 0.0195, None, ["entity", "route"], "idx", c),
+        "sshape": lambda c: detect.lane_sshape(f, k_max=0.011, min_len=2, chunk=c),
+        "calm": lambda c: detect.calm_cross(f, "aEgo", w=3, chunk=c),
+        "first": lambda c: detect.first_sustained(f, F.col("vEgo") > 6, 4, ["entity", "route"], "idx", chunk=c),
+    }
+    for name, job in jobs.items():
+        want = as_set(job(None))
+        assert want, name
+        assert as_set(job(9)) == want, name
+    pred = F.col("vEgo") > 2
+    for chunk in (9, 1000):
+        got = spans.tumble_compact(f, pred, 7, chunk=chunk).select("entity", "route", "idx", "win_no", "pos")
+        if chunk == 9:
+            small = as_set(got)
+    assert small == as_set(got)

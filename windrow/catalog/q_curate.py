@@ -295,12 +295,10 @@ def append_slots(spark, d):
     SELECT conv_id, turn, answer FROM conversations JOIN l ON id = conv_id AND chk = role""",
 )
 def carry_answers(spark, d):
-    from pyspark.sql import Window
-
     conv = tb.table(spark, d, "conversations").select("conv_id", "turn", "role")
     lab = tb.table(spark, d, "labels").select("doc_id", "quality")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    a = conv.withColumn("chk", F.lag("role").over(w)).join(lab, F.col("doc_id") == F.col("conv_id") + F.col("turn"), "left")
+    prev = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("chk"))
+    a = conv.join(prev, ["conv_id", "turn"], "left").join(lab, F.col("doc_id") == F.col("conv_id") + F.col("turn"), "left")
     answer = F.when(F.col("quality") == 1, "yes").when(F.col("quality") == 0, "no")
     a = a.select("conv_id", F.col("chk").alias("role"), F.col("turn").alias("seq"), answer.alias("answer"))
     return sm.carry_answers(conv, a, "conv_id", "role").select("conv_id", "turn", "answer")

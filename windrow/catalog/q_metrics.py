@@ -1,6 +1,5 @@
 """Verification, retrieval, classification, distance and prediction-quality queries."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import distance as ds
@@ -349,8 +348,8 @@ def audit_agreement(spark, d):
 )
 def annotator_agreement(spark, d):
     conv = tb.table(spark, d, "conversations").select("conv_id", "turn", "role", (F.length("text") > 300).alias("long"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    b = conv.select("conv_id", "turn", F.lag("role").over(w).alias("role"), (F.col("turn") % 2 == 0).alias("long"))
+    prev = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), "role")
+    b = conv.select("conv_id", "turn", (F.col("turn") % 2 == 0).alias("long")).join(prev, ["conv_id", "turn"], "left")
     key = lambda df: df.withColumn("id", F.concat_ws("|", "conv_id", "turn"))
     return rounded(mt.annotator_agreement(key(conv), key(b), "id", ["role", "long"]))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +44,6 @@ def hist_intersection(a: str | Column, b: str | Column) -> Column:
 
 
 def mean_vector(df: DataFrame, by: list[str], vec: str, out: str = "vec") -> DataFrame:
-    """Mean vector per group: average by dimension, so a hot group is pre-aggregated map-side."""
-    dims = df.select(*by, F.posexplode(as_double(vec)).alias("_dim", "_x"))
-    means = dims.groupBy(*by, "_dim").agg(F.avg("_x").alias("_x"))
-    packed = means.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_dim", "_x"))).alias("_v"))
-    return packed.select(*by, F.col("_v._x").alias(out))
+    """Mean vector per group: one vector aggregate with a partial result per map task, so a hot group is harmless."""
+    means = df.groupBy(*by).agg(Summarizer.mean(array_to_vector(as_double(vec))).alias("_m"))
+    return means.select(*by, vector_to_array("_m").alias(out))

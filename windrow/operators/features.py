@@ -326,11 +326,10 @@ def quantile_labels(
     """Scenario-conditioned labels p_<primitive> in {+1, 0, -1, null}.
 
     Cut points are exact quantiles per scenario (few groups, each of any size). They
-    come back as one row per scenario, so joining them is a lookup in a table whose
-    size does not grow with the data.
+    come back as one row per scenario (six at most), so they are broadcast.
     """
     cuts = label_cuts(stats, spec, [lo, hi], min_n)
-    out = apply_labels(stats.join(cuts, "scenario", "left"), spec, hi, lo)
+    out = apply_labels(stats.join(F.broadcast(cuts), "scenario", "left"), spec, hi, lo)
     return out.drop(*[c for c in cuts.columns if c.startswith("q_")])
 
 
@@ -349,7 +348,8 @@ def label_sensitivity(
 ) -> DataFrame:
     """Share of labels that change under other cut points, over rows non-neutral in either setting."""
     levels = sorted({p for pair in [base, *pairs] for p in pair})
-    cut = stats.join(label_cuts(stats, spec, levels, min_n), "scenario", "left")
+    cuts = label_cuts(stats, spec, levels, min_n)
+    cut = stats.join(F.broadcast(cuts), "scenario", "left")  # one row per scenario
     for i, (h, l) in enumerate([base, *pairs]):
         cut = apply_labels(cut, spec, h, l, f"s{i}_")
     # One row per (window, setting, primitive): the base label next to the changed one.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double
-from ..plans.ordered import CHUNK, carry, chunk_of
+from ..plans.ordered import CHUNK, carry, chunk_of, join_per_key
 
 KEYS = ("entity", "route")
 
@@ -89,14 +89,17 @@ def hold_last(
     return line.filter(F.col("_g") == 1).select(*keys, "idx", "t_us", value.alias(out))
 
 
-def route_fallback(df: DataFrame, a: str, b: str, keys: Sequence[str] = KEYS, out: str = "value") -> DataFrame:
+def route_fallback(
+    df: DataFrame, a: str, b: str, keys: Sequence[str] = KEYS, order: str = "idx", out: str = "value"
+) -> DataFrame:
     """Stream ``a``, or stream ``b`` where ``a`` has no value on the whole route.
 
     One small aggregate per route joined back, not a window over the route.
     """
     keys = list(keys)
     has = df.groupBy(*keys).agg((F.count(a) > 0).alias("_has"))
-    return df.join(has, keys).withColumn(out, F.when(F.col("_has"), F.col(a)).otherwise(F.col(b))).drop("_has")
+    joined = join_per_key(df, has, keys, order)
+    return joined.withColumn(out, F.when(F.col("_has"), F.col(a)).otherwise(F.col(b))).drop("_has")
 
 
 def guarded_ratio(
@@ -119,7 +122,7 @@ def chunk_index(
     """Index of the recording file that holds time t: the route's smallest file index + floor(t / len_s)."""
     keys = list(keys)
     first = chunks.groupBy(*keys).agg(F.min("k").alias("k_min"))
-    out = df.join(first, keys, "left").withColumn("k_min", F.coalesce("k_min", F.lit(0)))
+    out = join_per_key(df, first, keys, t, "left", len_s * 1024).withColumn("k_min", F.coalesce("k_min", F.lit(0)))
     return out.withColumn("k", (F.col("k_min") + F.floor(F.col(t) / len_s)).cast("bigint"))
 
 
@@ -264,7 +267,7 @@ def best_lag_corr(
     """
     keys = list(keys)
     mean = frames.groupBy(*keys).agg(F.avg(a).alias("_ma"), F.avg(b).alias("_mb"), (F.max(order) + 1).alias("_n"))
-    x = frames.join(mean, keys).select(
+    x = join_per_key(frames.select(*keys, order, a, b), mean, keys, order).select(
         *keys, F.col(order).alias("_o"), (F.col(a) - F.col("_ma")).alias("_a"), (F.col(b) - F.col("_mb")).alias("_b")
     )
     x = x.withColumn("_c", F.explode(F.sequence(chunk_of(F.col("_o") - max_lag, chunk), chunk_of(F.col("_o") + max_lag, chunk))))

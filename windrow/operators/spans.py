@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import CHUNK, attach, exact_quantiles, running_sum, runs
+from ..plans.ordered import CHUNK, attach, exact_quantiles, join_per_key, running_sum, runs
 
 ROUTE = ("entity", "route")
 
@@ -148,7 +148,7 @@ def tumble_compact(
     kept = frames.filter(F.coalesce(pred, F.lit(False)))
     sizes = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
     ranked = running_sum(kept, keys, order, {"_rn": F.lit(1)}, chunk)
-    out = ranked.join(sizes, list(keys))
+    out = join_per_key(ranked, sizes, keys, order, chunk=chunk)
     out = out.withColumn("win_no", F.floor((F.col("_rn") - 1) / win).cast("bigint"))
     out = out.withColumn("pos", ((F.col("_rn") - 1) % win).cast("bigint"))
     return out.filter((F.col("win_no") + 1) * win <= F.col("_all")).drop("_rn", "_all")

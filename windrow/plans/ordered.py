@@ -158,6 +158,28 @@ def carry(
     return df.select(*cols, *[F.coalesce(out, "_e" + out).alias(out) for out in outs])
 
 
+def join_per_key(
+    frames: DataFrame,
+    per_key: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    how: str = "inner",
+    chunk: float | None = CHUNK,
+) -> DataFrame:
+    """Join a table with one row per key to the frames of that key.
+
+    A plain join on the key would put all frames of a hot key into one task, and later
+    chunked steps would inherit that partitioning. So the small table is first copied to
+    each of the key's chunks, and the frames are joined per chunk.
+    """
+    keys = list(keys)
+    if chunk is None:
+        return frames.join(per_key, keys, how)
+    chunks = frames.select(*keys, chunk_of(order, chunk).alias("_jc")).distinct()
+    spread = chunks.join(per_key, keys)
+    return frames.withColumn("_jc", chunk_of(order, chunk)).join(spread, [*keys, "_jc"], how).drop("_jc")
+
+
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
