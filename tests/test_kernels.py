@@ -145,3 +145,16 @@ def test_detectors_do_not_depend_on_the_chunk(spark, sf):
         if chunk == 9:
             small = as_set(got)
     assert small == as_set(got)
+
+
+def test_worker_functions_travel_by_value(tmp_path):
+    """A Python worker without this package can load and run what is sent to it."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(blocks.similarity))
+    code = "import pickle, sys, numpy as np; f = pickle.load(open('f.pkl', 'rb')); print(f('cosine', np.eye(2), np.eye(2)).shape)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert "(2, 2)" in out.stdout, out.stderr

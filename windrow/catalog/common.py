@@ -73,7 +73,10 @@ def win_frames(spark: SparkSession, d: str) -> DataFrame:
         f = sig(spark, d)
         return sp.slide_frames(f, human_spans(f), COARSE["win"], COARSE["stride"], COARSE["min_len"])
 
-    return stage(spark, "window_frames", d, build, ["win_id"], ["pos"])
+    def rows() -> int:
+        return sig(spark, d).count() * COARSE["win"] // COARSE["stride"]
+
+    return stage(spark, "window_frames", d, build, ["win_id"], ["pos"], rows)
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:

@@ -14,6 +14,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_PER_BUCKET = 2_000_000
+
 _FOLDERS: dict[str, str] = {}
 _STAGES: dict[tuple[str, str], DataFrame] = {}
 
@@ -28,11 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
-def materialize(df: DataFrame, name: str = "table", bucket_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> DataFrame:
+def materialize(
+    df: DataFrame, name: str = "table", bucket_by: Sequence[str] = (), sort_by: Sequence[str] = (), rows: int | None = None
+) -> DataFrame:
     """Write the table to the shared folder and read it back.
 
     With ``bucket_by`` (only for keys whose groups are small) it is written in hash buckets,
-    so later windows, groupings and joins on that key need no shuffle and no sort.
+    so later windows, groupings and joins on that key need no shuffle and no sort. The number
+    of buckets follows the expected ``rows``, but uses every core.
     """
     spark = df.sparkSession
     unique = f"{name}_{uuid.uuid4().hex}"
@@ -40,7 +45,7 @@ def materialize(df: DataFrame, name: str = "table", bucket_by: Sequence[str] = (
     if not bucket_by:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # buckets: one per shuffle task
+    n = max(spark.sparkContext.defaultParallelism, -(-(rows or 0) // ROWS_PER_BUCKET))
     writer = df.repartition(n, *bucket_by).write.bucketBy(n, *bucket_by).sortBy(*bucket_by, *sort_by)
     writer.option("path", path).format("parquet").saveAsTable(f"windrow_{unique}")
     return spark.table(f"windrow_{unique}")
@@ -53,9 +58,10 @@ def stage(
     build: Callable[[], DataFrame],
     bucket_by: Sequence[str] = (),
     sort_by: Sequence[str] = (),
+    rows: Callable[[], int] | None = None,
 ) -> DataFrame:
     """The stage table ``name`` derived from ``source``, written on first use in this application."""
     key = (spark.sparkContext.applicationId, f"{name}@{source}")
     if key not in _STAGES:
-        _STAGES[key] = materialize(build(), name, bucket_by, sort_by)
+        _STAGES[key] = materialize(build(), name, bucket_by, sort_by, rows() if rows else None)
     return _STAGES[key]
