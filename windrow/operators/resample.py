@@ -297,7 +297,9 @@ def best_lag_corr(
 
     types = dict(frames.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "lag bigint", "n bigint", *[f"{c} double" for c in names[1:]]])
-    part = x.groupBy(*keys, "_c").applyInArrow(partial, schema).filter("n > 0")
+    # The work per row is in Python: spread it over all tasks, however few bytes it is.
+    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = x.repartition(n, *keys, "_c").groupBy(*keys, "_c").applyInArrow(partial, schema).filter("n > 0")
     s = part.groupBy(*keys, "lag").agg(*[F.sum(c).alias(c) for c in names]).join(mean.select(*keys, "_n"), keys)
     n = F.col("n")
     vx, vy = F.col("sxx") - F.col("sx") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n
