@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..functions.hashing import hash_order
 from ..plans.ordered import exact_quantiles, hash_rank, hash_top_n
 from ..plans.stage import materialize
 
@@ -173,8 +172,3 @@ def matched_lift(pairs: DataFrame, attrs: DataFrame, cols: Sequence[str], seed:
         F.avg(F.when(F.col("kind") == "r", F.col("eq"))).alias("random"),
     )
     return out.withColumn("lift", F.when(F.col("random") > 0, F.col("matched") / F.col("random")))
-
-
-def shuffled(df: DataFrame, seed: int, *keys: str) -> DataFrame:
-    """Presentation order by keyed hash."""
-    return df.orderBy(hash_order(seed, *keys))
