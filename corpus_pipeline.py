@@ -9,10 +9,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import dedup, neardup
+from windrow.llm import decontam, dedup, langid, neardup, packing
 from windrow.plans.stage import shared_folder
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of an unknown language go: no letter in them, or no language of any likelihood."""
+    return langid.keep_known(docs, langid.train(docs))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays: the one of the largest doc_id."""
     return dedup.drop_exact_copies(docs)
@@ -23,7 +28,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.one_of_each(docs, similarity=80, size=5)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go of whose words a twentieth or more lies in 13-word windows of the benchmark."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences and their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return packing.pack(packing.pieces(docs, with_ids=False))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: Language, near copies and tokens are beyond SQL; the tests compare with a plain version.
 ORACLE_SQL = None
@@ -34,6 +55,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/windrow/pipeline_{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        out = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out
+        out.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, neardup
+from . import decontam, dedup, langid, neardup, packing
 from .common import table
 
 QUERIES = {}
@@ -36,3 +36,43 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+ORACLES["op3_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+b AS (SELECT item_id, {WORDS_SQL} AS ws, least(len(ws), 13) AS n FROM benchmark WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item_id, n, list_slice(ws, i, i + n - 1) AS w FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM b)),
+p AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n),
+h AS (SELECT doc_id, i, p.n, item_id FROM (SELECT doc_id, n, i, list_slice(ws, i, i + n - 1) AS w FROM p) p JOIN bw ON bw.n = p.n AND bw.w = p.w),
+c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM h GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: tokens. The tests compare the ids with the tokenizer's and rebuild every sequence."""
+    parts = packing.pieces(table(spark, sf_dir, "documents"), with_ids=False)
+    return packing.pack(parts)
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: a trained model. The tests hold it to its accuracy on the rows it never saw."""
+    docs = table(spark, sf_dir, "documents")
+    told = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return told.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
