@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, dedup, langid, neardup, packing, secrets
+from . import chat, decontam, dedup, html, langid, neardup, packing, pii, secrets
 from .common import table
 
 QUERIES = {}
@@ -117,3 +117,20 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[_count(k) for k in base], F.sha2(secrets.spans_text(F.col("spans"), base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans")
     )
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: DuckDB has no match positions. The tests compare with a plain scan by the rules."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.personal_data(docs, pii.train(docs))
+    return found.select(
+        "doc_id", *[_count(k) for k in pii.KINDS], F.sha2(secrets.spans_text(F.col("spans"), pii.KINDS), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans")
+    )
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: a trained model. The tests compare with the articles of the pages' own markup."""
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.train(pages)).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
