@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, dedup, html, langid, neardup, packing, pii, secrets
+from . import chat, decontam, dedup, html, langid, licenses, neardup, packing, pii, secrets
 from .common import table
 
 QUERIES = {}
@@ -134,3 +134,44 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: a trained model. The tests compare with the articles of the pages' own markup."""
     pages = table(spark, sf_dir, "pages")
     return html.extract(pages, html.train(pages)).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a folder for each source, in it 97 folders by doc_id, and 7 in each of those."""
+    docs = table(spark, sf_dir, "documents")
+    part = lambda n: (F.col("doc_id") % n).cast("string")
+    path = F.concat_ws("/", "source", part(97), part(7), F.col("doc_id").cast("string"))
+    found = licenses.licences(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
+    return found.withColumnRenamed("file_id", "doc_id")
+
+
+_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
+_LICENCE_WORDS = rf"regexp_extract_all(translate({{}}, '{UPPER}', '{LOWER}'), '{licenses.WORD}')"
+
+ORACLES["op7_license_scan"] = rf"""
+WITH k AS (SELECT * FROM (VALUES {_VALUES}) t(licence, text)),
+f AS (SELECT doc_id, concat_ws('/', source, doc_id % 97, doc_id % 7) AS dir, len({_LICENCE_WORDS.format("coalesce(text, '')")}) AS n_words FROM documents),
+l0 AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i AS line, says FROM (SELECT doc_id, unnest(ls) AS says, unnest(range(len(ls))) AS i FROM l0) WHERE regexp_matches(says, '{licenses.CUE}')),
+d AS (SELECT says, count(*) AS n FROM l GROUP BY 1),
+own AS (SELECT licence, word, count(*) AS tf FROM (SELECT licence, unnest({_LICENCE_WORDS.format("text")}) AS word FROM k) GROUP BY 1, 2),
+mine AS (SELECT says, n, word, count(*) AS tf FROM (SELECT says, n, unnest({_LICENCE_WORDS.format("says")}) AS word FROM d) GROUP BY 1, 2, 3),
+df AS (SELECT word, sum(n) AS df FROM (SELECT word, n FROM mine UNION ALL SELECT word, 1 FROM own) GROUP BY 1),
+idf AS (SELECT word, ln((1 + (SELECT coalesce(sum(n), 0) FROM d) + (SELECT count(*) FROM k)) / (1 + df)) + 1 AS idf FROM df),
+w AS (SELECT licence, word, tf * idf AS w FROM own JOIN idf USING (word)),
+v AS (SELECT says, word, tf * idf AS v FROM mine JOIN idf USING (word)),
+c AS (SELECT says, licence, round(sum(v * w) / any_value(sqrt(lv)) / any_value(sqrt(lw)), 6) AS cosine FROM v JOIN w USING (word)
+      JOIN (SELECT says, sum(v * v) AS lv FROM v GROUP BY 1) USING (says) JOIN (SELECT licence, sum(w * w) AS lw FROM w GROUP BY 1) USING (licence) GROUP BY 1, 2),
+b AS (SELECT * FROM c WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY says ORDER BY cosine DESC, licence) = 1),
+t AS (SELECT doc_id, line, licence, cosine, len({_LICENCE_WORDS.format("says")}) AS size FROM l JOIN b USING (says)),
+o AS (SELECT doc_id, arg_min(licence, (-cosine, line, licence)) AS licence, max(cosine) AS cosine, count(*) AS n_notices, sum(size) AS said FROM t GROUP BY 1),
+r AS (SELECT * FROM f LEFT JOIN o USING (doc_id)),
+of_dir AS (SELECT dir AS above, arg_min(licence, (-cosine, licence)) AS dir_licence, max(cosine) AS dir_cosine FROM r WHERE said >= 0.1 * n_words GROUP BY 1),
+up AS (SELECT dir, depth, array_to_string(list_slice(p, 1, depth), '/') AS above FROM (SELECT dir, string_split(dir, '/') AS p, unnest(range(len(string_split(dir, '/')) + 1)) AS depth FROM (SELECT DISTINCT dir FROM f))),
+near AS (SELECT dir, above, dir_licence, dir_cosine FROM up JOIN of_dir USING (above) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY depth DESC) = 1)
+SELECT doc_id, coalesce(licence, dir_licence) AS licence, coalesce(cosine, dir_cosine) AS cosine,
+       CASE WHEN licence IS NOT NULL THEN 'notice' WHEN dir_licence IS NOT NULL THEN 'inherited' END AS basis,
+       CASE WHEN licence IS NULL AND dir_licence IS NOT NULL THEN above END AS from_dir, coalesce(n_notices, 0)::BIGINT AS n_notices
+FROM r LEFT JOIN near USING (dir)
+"""
