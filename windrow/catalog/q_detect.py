@@ -26,7 +26,7 @@ def onset_runs(spark, d):
     return dt.onset_runs(c.sig(spark, d), F.col("aEgo") < -1.2, 2, 3, 2)
 
 
-ACCEL = f"""{WF},
+ACCEL_PARTS = """
 sm0 AS (SELECT win_id, pos, vEgo AS v, round(sum(vEgo) OVER w / 5, 9) AS vs, round(sum(aEgo) OVER w / 5, 9) AS s_a,
     max(pos) OVER (PARTITION BY win_id) AS last
   FROM wf WINDOW w AS (PARTITION BY win_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
@@ -49,6 +49,7 @@ picks AS (
   SELECT p.win_id, (SELECT min(k.onset) FROM cand k WHERE k.win_id = p.win_id AND k.onset >= p.onset + 10)
   FROM picks p WHERE p.onset IS NOT NULL
 )"""
+ACCEL = f"{WF},{ACCEL_PARTS}"
 ACC = dict(win=10, min_gain=3.0, rise_min=4, dec_max=6, a_dur=1)
 
 
@@ -62,19 +63,17 @@ def accel_events(spark, d):
 
 
 def reversing_sql(cand, pre=8, post=8):
+    """Phases of a clip as running maxima: has moved, has halted after that, and since the halt rolls, then drives, again."""
+    run = "(PARTITION BY win_id, onset ORDER BY pos)"
     return f"""
-seg AS (SELECT k.win_id, k.onset, w.pos, w.vEgo AS v, w.steeringAngleDeg AS a,
-    round(sum(w.vEgo) OVER (PARTITION BY k.win_id, k.onset ORDER BY w.pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 9) AS s
+clip AS (SELECT k.win_id, k.onset, w.pos, w.vEgo AS v, w.steeringAngleDeg AS angle,
+    round(sum(w.vEgo) OVER (PARTITION BY k.win_id, k.onset ORDER BY w.pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 9) AS smooth
   FROM {cand} k JOIN wf w ON w.win_id = k.win_id AND w.pos BETWEEN k.onset - {pre} AND k.onset + {post}),
-m1 AS (SELECT win_id, onset, min(v) AS vmin, max(pos) + 1 AS stop_at, min(pos) FILTER (WHERE s > 1) AS m FROM seg GROUP BY ALL),
-st AS (SELECT s.win_id, s.onset, min(pos) FILTER (WHERE s < 0.3) AS st FROM seg s JOIN m1 USING (win_id, onset)
-  WHERE pos >= m GROUP BY ALL),
-go AS (SELECT s.win_id, s.onset, count(*) FILTER (WHERE s > 1) > 0 AS again, min(pos) FILTER (WHERE s >= 0.5) AS e
-  FROM seg s JOIN st USING (win_id, onset) WHERE pos >= st GROUP BY ALL),
-ang AS (SELECT s.win_id, s.onset, max(abs(a)) AS held FROM seg s JOIN st USING (win_id, onset) JOIN go USING (win_id, onset)
-  JOIN m1 USING (win_id, onset) WHERE pos >= st AND pos < coalesce(e, stop_at) GROUP BY ALL),
-rev AS (SELECT win_id, onset, vmin < -0.2 OR coalesce(again AND held > 45, false) AS reversing
-  FROM m1 LEFT JOIN st USING (win_id, onset) LEFT JOIN go USING (win_id, onset) LEFT JOIN ang USING (win_id, onset))"""
+moving AS (SELECT *, max((smooth > 1)::INT) OVER {run} AS moved FROM clip),
+halting AS (SELECT *, max((moved = 1 AND smooth < 0.3)::INT) OVER {run} AS halted FROM moving),
+phases AS (SELECT *, max((halted = 1 AND smooth >= 0.5)::INT) OVER {run} AS rolls, max((halted = 1 AND smooth > 1)::INT) OVER {run} AS drives FROM halting),
+rev AS (SELECT win_id, onset, min(v) < -0.2 OR coalesce(max(drives) = 1 AND max(abs(angle)) FILTER (WHERE halted = 1 AND rolls = 0) > 45, false) AS reversing
+  FROM phases GROUP BY ALL)"""
 
 
 @query(
@@ -91,19 +90,23 @@ def has_reversing(spark, d):
 TURN_PRED = "abs(steeringAngleDeg) > 20 AND vEgo > 1.5 AND vEgo < 15"
 
 
-@query(
-    "turn_events",
-    f"""WITH {WF}, live AS (SELECT win_id FROM wf GROUP BY win_id HAVING stddev_pop(steeringAngleDeg) > 0.1
-      AND count(*) = count(steeringAngleDeg)), lf AS (SELECT * FROM wf SEMI JOIN live USING (win_id)),
-    {onset_sql(TURN_PRED, 'o', src='lf', keys='win_id', order='pos')},
-    quick AS (SELECT win_id, onset FROM o WHERE (SELECT max(abs(steeringRateDeg)) FROM wf w WHERE w.win_id = o.win_id
-      AND w.pos BETWEEN o.onset - 5 AND o.onset + 4) > 40),
-    {reversing_sql("quick")} SELECT win_id, onset FROM rev WHERE NOT reversing""",
-)
+TURNS = f"""
+live AS (SELECT win_id FROM wf GROUP BY win_id HAVING stddev_pop(steeringAngleDeg) > 0.1
+  AND count(*) = count(steeringAngleDeg)), lf AS (SELECT * FROM wf SEMI JOIN live USING (win_id)),
+{onset_sql(TURN_PRED, 'o', src='lf', keys='win_id', order='pos')},
+quick AS (SELECT win_id, onset FROM o WHERE (SELECT max(abs(steeringRateDeg)) FROM wf w WHERE w.win_id = o.win_id
+  AND w.pos BETWEEN o.onset - 5 AND o.onset + 4) > 40),
+{reversing_sql("quick")},
+turns AS (SELECT win_id, onset FROM rev WHERE NOT reversing)"""
+
+
+def turns(f):
+    return dt.turn_events(f, angle=20, rate=40, min_len=2, min_start=3, quiet=2, v_lo=1.5, v_hi=15, clip=8)
+
+
+@query("turn_events", f"WITH {WF}, {TURNS} SELECT * FROM turns")
 def turn_events(spark, d):
-    return dt.turn_events(
-        c.win_frames(spark, d), angle=20, rate=40, min_len=2, min_start=3, quiet=2, v_lo=1.5, v_hi=15, clip=8
-    )
+    return turns(c.win_frames(spark, d))
 
 
 @query(
@@ -115,27 +118,41 @@ def curve_events(spark, d):
     return dt.curve_events(c.sig(spark, d), min_len=2, min_start=3, quiet=2)
 
 
-FOLLOW = f"""{SIG},
-fl0 AS (SELECT entity, route, idx, leadOne_dRel AS dist,
-    lag(leadOne_dRel) OVER (PARTITION BY entity, route ORDER BY idx) AS prev_dist,
+def follow_sql(src="sig", keys="entity, route", order="idx"):
+    ks = [k.strip() for k in keys.split(",")]
+    on = lambda x, y: " AND ".join(f"{x}.{k} = {y}.{k}" for k in ks)
+    ksel = ", ".join(f"k.{k}" for k in ks)
+    return f"""
+fl0 AS (SELECT {keys}, {order}, leadOne_dRel AS dist,
+    lag(leadOne_dRel) OVER (PARTITION BY {keys} ORDER BY {order}) AS prev_dist,
     CASE WHEN leadOne_dRel > 0 AND vEgo > 2 THEN leadOne_dRel / greatest(vEgo, 2) END AS thw,
     abs(actual_curvature) > 0.018 OR (abs(steeringAngleDeg) > 100 AND stddev_pop(steeringAngleDeg)
-      OVER (PARTITION BY entity, route) > 0.1) AS turn
-  FROM sig),
-{runs_sql("turn", 1, "fl0", "truns")},
+      OVER (PARTITION BY {keys}) > 0.1) AS turn
+  FROM {src}),
+{runs_sql("turn", 1, "fl0", "truns", keys, order)},
+turning AS (SELECT {keys}, unnest(range(i0, i1 + 1)) AS {order} FROM truns WHERE n >= 2),
 fl AS (SELECT *, coalesce(thw < 5, false)
     AND NOT (round(abs(dist - coalesce(prev_dist, dist)), 9) > 40 AND abs(dist - coalesce(prev_dist, dist))
       > 0.5 * greatest(coalesce(prev_dist, dist), 1e-3))
-    AND NOT EXISTS (SELECT 1 FROM truns t WHERE t.n >= 2 AND t.entity = fl0.entity AND t.route = fl0.route
-      AND fl0.idx BETWEEN t.i0 AND t.i1) AS ok FROM fl0),
-{runs_sql("ok", 1, "fl", "fruns")},
-fchunks AS (SELECT entity, route, i0 AS i, i0 + unnest(range(0, n // 3)) * 3 AS onset FROM fruns),
-fc AS (SELECT k.entity, k.route, k.i, k.onset, avg(thw) AS mean_thw FROM fchunks k JOIN fl f ON f.entity = k.entity
-    AND f.route = k.route AND f.idx BETWEEN k.onset AND k.onset + 2 GROUP BY ALL)"""
+    AND NOT EXISTS (SELECT 1 FROM turning t WHERE {on("t", "fl0")} AND t.{order} = fl0.{order}) AS ok FROM fl0),
+{runs_sql("ok", 1, "fl", "fruns", keys, order)},
+fchunks AS (SELECT {keys}, i0 AS i, i0 + unnest(range(0, n // 3)) * 3 AS onset FROM fruns),
+fsteps AS (SELECT *, onset + unnest([0, 1, 2]) AS {order} FROM fchunks),
+fc AS (SELECT {ksel}, k.i, k.onset, avg(thw) AS mean_thw, min(thw) FILTER (WHERE f.{order} < k.onset + 2) AS near,
+    bool_or(f.{order} = k.onset AND coalesce(f.prev_dist > 0 AND f.dist < 0.7 * f.prev_dist, false)) AS fell
+  FROM fsteps k JOIN fl f ON {on("f", "k")} AND f.{order} = k.{order} GROUP BY {ksel}, k.i, k.onset),
+fcut AS (SELECT *, CASE WHEN onset = i AND (near < 1.5 OR fell) THEN 'cutin' ELSE '' END AS subtype FROM fc)"""
+
+
+FOLLOW = f"{SIG},{follow_sql()}"
+
+
+def following_of(f, **at):
+    return dt.following_frames(f, jump=40.0, turn_k=0.018, turn_angle=100.0, turn_len=2, **at)
 
 
 def following(spark, d):
-    return dt.following_frames(c.sig(spark, d), jump=40.0, turn_k=0.018, turn_angle=100.0, turn_len=2)
+    return following_of(c.sig(spark, d))
 
 
 @query("following_chunks", f"WITH {FOLLOW} SELECT entity, route, i, onset, {rsel('mean_thw')} FROM fc")
@@ -143,13 +160,7 @@ def following_chunks(spark, d):
     return rounded(dt.following_chunks(following(spark, d), 3))
 
 
-@query(
-    "cutin_tag",
-    f"""WITH {FOLLOW} SELECT entity, route, i, onset, CASE WHEN onset = i AND (
-      (SELECT min(thw) FROM fl f WHERE f.entity = fc.entity AND f.route = fc.route AND f.idx BETWEEN onset AND onset + 1) < 1.5
-      OR (SELECT coalesce(f.prev_dist > 0 AND f.dist < 0.7 * f.prev_dist, false) FROM fl f WHERE f.entity = fc.entity
-        AND f.route = fc.route AND f.idx = onset)) THEN 'cutin' ELSE '' END AS subtype FROM fc""",
-)
+@query("cutin_tag", f"WITH {FOLLOW} SELECT entity, route, i, onset, subtype FROM fcut")
 def cutin_tag(spark, d):
     f = following(spark, d)
     out = dt.cutin_tag(dt.following_chunks(f, 3), f, first=2)
@@ -177,12 +188,12 @@ ld AS (SELECT win_id, pos, round(abs(coalesce(lead(laneLeft_y, 5) OVER w, CASE W
     CASE WHEN lead(pos, 5) OVER w IS NOT NULL THEN 0 END) - coalesce(laneRight_y, 0)), 9) AS r,
     max(abs(actual_curvature)) OVER (PARTITION BY win_id ORDER BY pos ROWS BETWEEN 0 PRECEDING AND 5 FOLLOWING) AS k
   FROM wf WINDOW w AS (PARTITION BY win_id ORDER BY pos)),
-drifts AS (SELECT win_id, pos + 3 AS step, 'drift' AS rule FROM ld WHERE pos % 2 = 0 AND k < 0.0195 AND l > 0.5 AND pos < 18
-  UNION ALL SELECT win_id, pos + 3, 'driftR' FROM ld WHERE pos % 2 = 0 AND k < 0.0195 AND r > 0.5 AND pos < 18)"""
+drifts AS (SELECT win_id, pos + 3 AS step, 'drift' AS rule FROM ld WHERE pos % 2 = 0 AND k < 0.0195 AND l > 0.5
+  UNION ALL SELECT win_id, pos + 3, 'driftR' FROM ld WHERE pos % 2 = 0 AND k < 0.0195 AND r > 0.5)"""
 
 
 def drifts(f):
-    return dt.lane_drift(f, every=2, seg=6, thr=0.5, k_max=0.0195, limit=18)
+    return dt.lane_drift(f, every=2, seg=6, thr=0.5, k_max=0.0195)
 
 
 @query("lane_drift", f"WITH {WF}, {DRIFT} SELECT * FROM drifts")
@@ -235,28 +246,38 @@ def lane_candidates(spark, d):
 
 EVENTS = f"""{LANE}, {onset_sql('aEgo < -1.2', 'dec', src='wf', keys='win_id', order='pos')},
 {onset_sql('abs(actual_curvature) > 0.005 AND abs(actual_curvature) < 0.03 AND vEgo >= 10', 'cur', src='wf', keys='win_id', order='pos')},
+{ACCEL_PARTS}, {TURNS}, {follow_sql("wf", "win_id", "pos")},
 evt AS (SELECT win_id, 'lane_change' AS cls, step AS onset, score, subtype FROM lanes
-  UNION ALL SELECT win_id, 'decel', onset, 1.0, '' FROM dec UNION ALL SELECT win_id, 'curve', onset, 1.0, '' FROM cur)"""
+  UNION ALL SELECT win_id, 'decel', onset, 1.0, '' FROM dec UNION ALL SELECT win_id, 'curve', onset, 1.0, '' FROM cur
+  UNION ALL SELECT win_id, 'turn', onset, 1.0, '' FROM turns UNION ALL SELECT win_id, 'car_following', onset, mean_thw, subtype FROM fcut
+  UNION ALL SELECT win_id, 'accel', onset, gain, '' FROM cand JOIN picks USING (win_id, onset) WHERE onset >= 2)"""
 
 
 def events(f):
+    """All six classes of a window's events."""
     win = dict(keys=dt.WIN, order="pos", chunk=None)
+    fol = following_of(f, **win)
+    tagged = dt.cutin_tag(dt.following_chunks(fol, 3, **win), fol, first=2, keys=dt.WIN, order="pos")
     return dt.event_table(
         dt.as_events(lanes(f), "lane_change", "step", F.col("score"), F.col("subtype")),
         dt.as_events(dt.onset_runs(f, F.col("aEgo") < -1.2, 2, 3, 2, **win), "decel"),
         dt.as_events(dt.curve_events(f, min_len=2, min_start=3, quiet=2, **win), "curve"),
+        dt.as_events(turns(f), "turn"),
+        dt.as_events(dt.accel_events(f, min_start=2, **ACC), "accel", score=F.col("gain")),
+        dt.as_events(tagged, "car_following", score=F.col("mean_thw"), subtype=F.col("subtype")),
     )
 
 
-@query("event_table", f"WITH RECURSIVE {EVENTS} SELECT cls, score, count(*) AS n FROM evt GROUP BY ALL")
+@query("event_table", f"""WITH RECURSIVE {EVENTS} SELECT cls, subtype, count(*) AS n, round(avg(score), 6) + 0.0 AS score FROM evt GROUP BY ALL""")
 def event_table(spark, d):
-    return dt.event_counts(events(c.win_frames(spark, d)))
+    return rounded(dt.event_counts(events(c.win_frames(spark, d))))
 
 
 @query(
     "dominant_event",
-    f"""WITH RECURSIVE {EVENTS} SELECT win_id, coalesce((SELECT arg_min(cls, CASE cls WHEN 'curve' THEN 1
-      WHEN 'lane_change' THEN 3 ELSE 4 END) FROM evt WHERE evt.win_id = bounds.win_id), 'none') AS cls FROM bounds""",
+    f"""WITH RECURSIVE {EVENTS}, top AS (SELECT win_id, arg_min(cls, CASE cls WHEN 'curve' THEN 1 WHEN 'turn' THEN 2 WHEN 'lane_change' THEN 3
+      WHEN 'decel' THEN 4 WHEN 'accel' THEN 5 ELSE 6 END) AS cls FROM evt GROUP BY win_id)
+    SELECT win_id, coalesce(cls, 'none') AS cls FROM bounds LEFT JOIN top USING (win_id)""",
 )
 def dominant_event(spark, d):
     f = c.win_frames(spark, d)
