@@ -9,7 +9,7 @@ from .common import shared
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of every node of ``edges`` (u, v: bigint, u != v): the smallest id that it reaches.
+    """(id, root) of every node of ``edges`` (u, v of one orderable type, u <> v): the smallest id that it reaches.
 
     Each turn points the larger neighbours of a node at its least neighbour, then the smaller ones; the
     edges end as one star a component, after a number of turns that grows with the logarithm of the longest path.
@@ -20,21 +20,31 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _sign(cur)
     while seen[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        least = both.groupBy(F.col("u").alias("v")).agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = cur.join(least, "v").select("u", F.col("m").alias("v")).where("u <> v")
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u")
-        nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
-        cur = shared(nxt.where("u <> v").distinct(), "edges")
+        nxt = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        cur = shared(nxt.select("e.*").where("u <> v").distinct(), "edges")
         now = _sign(cur)
         if now == seen:
             break
         seen = now
-    root = cur.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
+    root = cur.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return root.unionByName(root.select(F.col("root").alias("id"), "root").distinct())
 
 
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` (id, root) after further ``edges`` (u, v) between ids: only what they connect is gone through again."""
+    at = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+    e = edges.join(at("u"), "u", "left").join(at("v"), "v", "left")
+    e = shared(e.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")).where("u <> v").distinct(), "joins")
+    up = components(e).select(F.col("id").alias("root"), F.col("root").alias("top"))
+    old = roots.join(up, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    new = up.select(F.col("root").alias("id"), F.col("top").alias("root")).join(roots.select("id"), "id", "left_anti")
+    return old.unionByName(new)
+
+
 def _sign(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return r[0], r[1]

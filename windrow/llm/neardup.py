@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import attach, only_with, shared
-from .graph import components
+from .common import attach, fresh, only_with, shared
+from .graph import components, joined
 
 BANDS, BAND_ROWS = 32, 5
 #: Pairs whose estimate is under the threshold by more than four standard errors of it are not looked at.
@@ -123,8 +123,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, size: int = 2, text:
         ),
         "classes",
     )
-    links = _links(docs, classes, similarity, size, text)
-    root = components(links)
+    root = _roots(docs, classes, similarity, size, text)
     member = classes.select("set_id", "rows", "least_id").join(root.withColumnRenamed("id", "set_id"), "set_id", "left")
     member = shared(member.withColumn("root", F.coalesce("root", "set_id")), "members")
     least = member.where("root <> set_id or rows > 0").groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("parts"))
@@ -138,8 +137,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, size: int = 2, text:
     )
 
 
-def _links(docs: DataFrame, classes: DataFrame, similarity: int, size: int, text: str) -> DataFrame:
-    """Confirmed links (u, v) between classes: a spanning forest of the graph of all links."""
+def _roots(docs: DataFrame, classes: DataFrame, similarity: int, size: int, text: str) -> DataFrame:
+    """(id, root) of the classes with links: the components of the graph of all confirmed links."""
     enough = least_estimate(similarity / 100)
     keyed = classes.select("set_id", F.explode("bands").alias("band"))
     draw = F.xxhash64("band", "set_id")
@@ -161,7 +160,7 @@ def _links(docs: DataFrame, classes: DataFrame, similarity: int, size: int, text
     more = at.where("root <> main").join(other, "band").where("root <> v_root and (v_root = v_main or set_id < v)")
     more = shared(more.where(estimate("bits", "v_bits") >= enough).select(F.col("set_id").alias("u"), "v").distinct(), "across")
     if not more.isEmpty():
-        cluster = components(star.unionByName(more))
+        cluster = joined(cluster, more)
     cluster = shared(cluster, "clusters")
 
     # Texts of the classes in clusters, dealt to blocks.
@@ -176,16 +175,16 @@ def _links(docs: DataFrame, classes: DataFrame, similarity: int, size: int, text
     hubs = big.where(F.pmod(F.xxhash64(F.lit("hub"), "id"), F.col("blocks") * (BLOCK // HUBS)) == 0)
     hubs = hubs.select("root", "id", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
     met = rows.select("root", "block", "id", "text").unionByName(hubs.select("root", "block", "id", "text"))
-    links = shared(_decide(met, ["root", "block"], similarity, size), "links")
+    found = shared(components(_decide(met, ["root", "block"], similarity, size)), "parts")
     if big.isEmpty():
-        return links
-    part = components(links).withColumnRenamed("root", "part")
-    left = shared(big.drop("text").join(part, "id", "left").withColumn("part", F.coalesce("part", "id")), "parts")
+        return found
+    part = found.withColumnRenamed("root", "part")
+    left = big.drop("text").join(part, "id", "left").withColumn("part", F.coalesce("part", "id"))
     main = left.groupBy("root", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("root").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
     left = shared(left.join(main, "root"), "left")
     rest = left.where("part <> main").groupBy("root").agg(F.count(F.lit(1)).alias("rest"))
     if rest.isEmpty():
-        return links
+        return found
     # What is not in the main part is dealt anew to blocks, and each meets every block of its cluster.
     rest = rest.withColumn("groups", F.ceil(F.col("rest") / BLOCK))
     text_of = big.select("id", "text")
@@ -197,7 +196,7 @@ def _links(docs: DataFrame, classes: DataFrame, similarity: int, size: int, text
     host = host.withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
     cols = ["root", "block", "group", "id", "text", "part"]
     met = visit.select(*cols).unionByName(host.select(*cols))
-    return links.unionByName(shared(_decide(met, ["root", "block", "group"], similarity, size), "links"))
+    return joined(found, _decide(met, ["root", "block", "group"], similarity, size))
 
 
 def _decide(met: DataFrame, keys: list[str], similarity: int, size: int) -> DataFrame:
@@ -267,5 +266,6 @@ def one_of_each(docs: DataFrame, similarity: int = 80, size: int = 5, text: str
     out = only_with(docs, row_key(text), lose.unionByName(twice), "row_key", "anti")
     if twice.isEmpty():
         return out
-    again = only_with(docs, row_key(text), twice, "row_key").withColumn("row_key_", row_key(text)).dropDuplicates(["row_key_"]).drop("row_key_")
+    k = fresh(docs, "row_key")
+    again = only_with(docs, row_key(text), twice, "row_key").withColumn(k, row_key(text)).dropDuplicates([k]).drop(k)
     return out.unionByName(again)
