@@ -7,12 +7,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 8, 8
-#: Training bounds: rows of each language, languages, and windows of each row.
+#: Training bounds: rows of each language (about), languages, and windows of each row.
 ROWS_PER_LANG, MAX_LANGS, WINDOWS_PER_ROW = 600, 200, 2
 UNKNOWN = "und"
 
@@ -30,19 +29,18 @@ class Net:
 
 
 def training_rows(docs: DataFrame, lang: str = "lang", id_col: str = "doc_id", rows: int = ROWS_PER_LANG) -> DataFrame:
-    """(lang, text): of each language the ``rows`` labelled rows of least hash, of those with crc32(doc_id) mod 5 not 0.
+    """(lang, text, id): of each language about ``rows`` labelled rows, of those with crc32(doc_id) mod 5 not 0.
 
-    Ids are picked first, at most ``rows`` a task and language; then their texts are fetched.
+    Rows are counted by language; then each stays by a hash of its id, at the rate that leaves ``rows`` of its language. The
+    MAX_LANGS most frequent languages are learned.
     """
     crc = F.crc32(F.col(id_col).cast("string"))
-    own = docs.where(f"`{lang}` is not null").where(crc % 5 != 0)
-    draw = F.xxhash64(F.lit("train"), id_col)
-    w = Window.partitionBy(lang).orderBy(draw, id_col)
-    pick = own.select(id_col, lang).withColumn("draw_rank", F.row_number().over(w)).where(F.col("draw_rank") <= rows)
-    few = pick.select(F.col(id_col).alias("picked_id")).distinct().limit(rows * MAX_LANGS)  # a bound for the broadcast below
-    return own.join(F.broadcast(few), F.col(id_col) == F.col("picked_id"), "left_semi").select(
+    own = docs.where(f"`{lang}` is not null").where(crc % 5 != 0).select(
         F.col(lang).cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col(id_col).cast("string").alias("id")
     )
+    rate = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang", (F.lit(float(rows)) / F.col("count")).alias("rate"))
+    draw = F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 24)) / float(1 << 24)
+    return own.join(F.broadcast(rate), "lang").where(draw < F.col("rate")).select("lang", "text", "id")
 
 
 def train(docs: DataFrame, lang: str = "lang", id_col: str = "doc_id", rows: int = ROWS_PER_LANG, epochs: int = 12) -> Net | None:
