@@ -64,11 +64,49 @@ def test_stream_takes_each_file_once(spark, tmp_path):
 
 
 def test_stage_is_written_once_to_the_shared_folder(spark):
-    from windrow.plans.stage import materialize, shared_folder, stage
+    from windrow.plans.stage import materialize, release, shared_folder, stage
 
     a = stage(spark, "t", "here", lambda: spark.range(5))
     assert stage(spark, "t", "here", lambda: 1 / 0) is a
     assert shared_folder(spark) in a.inputFiles()[0]
+    release(spark, "here")
+    assert stage(spark, "t", "here", lambda: spark.range(7)).count() == 7
     b = materialize(spark.range(100).selectExpr("id % 10 AS k", "id"), "b", ["k"], ["id"])
     plan = b.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and b.count() == 100
+
+
+def test_stream_counts_every_batch(spark, tmp_path):
+    """More batches in one call than Spark keeps reports of."""
+    src, dst, ck = (str(tmp_path / n) for n in ("src", "dst", "ck"))
+    spark.range(0, 1200, 1, 120).write.parquet(src)
+    files = sum(1 for f in (tmp_path / "src").iterdir() if f.name.startswith("part-"))
+    assert files > 100
+    assert ingest_folder(spark, src, "id bigint", dst, ck, files_per_batch=1) == 1200
+
+
+def test_residuals_keep_rows_with_missing_statistics(spark):
+    from windrow.operators import ml
+
+    rows = [(f"w{i}", float(i % 7), None if i % 2 else float(i % 5), float(i % 3) if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "win_id string, a double, b double, ctx double")
+    out, r2 = ml.residualize(df, ["a", "b"], ["ctx"], iters=2)
+    got = out.select("r_a", "r_b").collect()
+    assert len(got) == 60 and all(r.r_a is not None for r in got) and sum(r.r_b is not None for r in got) == 30
+    assert {r.stat for r in r2.collect()} == {"a", "b"}
+
+
+def test_drift_late_in_a_long_window(spark):
+    from windrow.operators import detect
+
+    rows = [("w", i, 0.0 if i < 900 else 2.0, 0.0, 0.0) for i in range(1000)]
+    f = spark.createDataFrame(rows, "win_id string, pos bigint, laneLeft_y double, laneRight_y double, actual_curvature double")
+    assert detect.lane_drift(f).count() > 0
+
+
+def test_gate_judges_columns_around_zero_by_their_spread(spark):
+    from windrow.operators import metrics
+
+    a = spark.createDataFrame([(float(i % 11 - 5), 3.0) for i in range(1100)], "x double, still double")
+    r = metrics.distribution_gate(a, a.selectExpr("x + 0.001 AS x", "still"), ["x", "still"]).collect()
+    assert [x.col for x in r] == ["x"] and r[0].ok

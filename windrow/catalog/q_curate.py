@@ -216,6 +216,18 @@ def topk_other(spark, d):
     return cu.topk_other(tb.table(spark, d, "part"), "p_brand", 5, "brand").groupBy("brand").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "one_hot",
+    """WITH t AS (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 3),
+    k AS (SELECT p_partkey, CASE WHEN p_brand IN (FROM t) THEN p_brand ELSE 'OTHER' END AS brand FROM part)
+    SELECT p_partkey, (brand = 'OTHER')::INT AS is_other, (brand = 'Brand#11')::INT AS is_b11, (brand = 'Brand#23')::INT AS is_b23 FROM k""",
+)
+def one_hot(spark, d):
+    k = cu.topk_other(tb.table(spark, d, "part"), "p_brand", 3, "brand")
+    hot = cu.one_hot(k, "brand", ["OTHER", "Brand#11", "Brand#23"])
+    return hot.select("p_partkey", F.col("is_OTHER").alias("is_other"), F.col("is_Brand#11").alias("is_b11"), F.col("is_Brand#23").alias("is_b23"))
+
+
 @query(
     "entity_profile",
     f"""WITH {ROUTES}, ce AS (SELECT entity, multi_grp, count(*) AS n FROM routes GROUP BY ALL),

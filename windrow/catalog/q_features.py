@@ -288,12 +288,12 @@ def brake_events(f):
       ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS k FROM wf SEMI JOIN ok USING (win_id)),
     h AS (SELECT win_id, onset, avg(aEgo) FILTER (WHERE pos < onset) AS pre_a,
       max(vEgo) FILTER (WHERE pos = onset - 4) AS v0, max(k) FILTER (WHERE pos >= onset) AS peak
-      FROM ev JOIN sm USING (win_id) WHERE onset BETWEEN 5 AND 14 AND pos BETWEEN onset - 4 AND onset + 3 GROUP BY ALL)
+      FROM ev JOIN sm USING (win_id) WHERE pos BETWEEN onset - 4 AND onset + 3 GROUP BY ALL HAVING count(*) = 8)
     SELECT win_id, onset, {rsel("pre_a v0 peak")} FROM h""",
 )
 def event_features(spark, d):
     f = wf(spark, d)
-    return rounded(ft.event_features(f, brake_events(f), 4, 4, 5, 14))
+    return rounded(ft.event_features(f, brake_events(f), 4, 4))
 
 
 @query(

@@ -185,7 +185,8 @@ def own_vs_best_other(spark, d):
     return rounded(mt.own_vs_best_other(e.filter(F.col("route") >= 3), protos))
 
 
-CROSS = f"""{EMB},
+CROSS = f"""{EMB.replace("emb AS", "raw AS", 1)},
+emb AS (SELECT win_id, entity, route, grp, list_transform(vec, lambda x: x / (sqrt(list_sum(list_transform(vec, lambda y: y * y))) + 1e-9)) AS vec FROM raw),
 cl AS (SELECT entity, grp, count(*) AS n FROM emb GROUP BY ALL HAVING count(*) >= 10),
 cells AS (SELECT * FROM cl WHERE entity IN (SELECT entity FROM cl GROUP BY entity HAVING count(*) >= 2)),
 rws AS (SELECT emb.*, n, row_number() OVER (PARTITION BY entity, grp ORDER BY md5(concat_ws(':', '42', win_id)), win_id) AS r FROM emb JOIN cells USING (entity, grp)),
@@ -216,6 +217,22 @@ def cross_group_verify(spark, d):
     return rounded(cross(spark, d))
 
 
+@query(
+    "cross_group_summary",
+    f"""WITH {CROSS}, {roc_sql("ss", "kind, entity, enroll_grp, query_grp", "s")},
+    per AS (SELECT kind, entity, avg(auroc) AS v FROM roc_m WHERE n_neg >= 10 AND n_pos > 0 GROUP BY ALL),
+    slots AS (SELECT kind, v, row_number() OVER (PARTITION BY kind ORDER BY md5(concat_ws(':', '42-slot', kind, entity)), entity) AS s, count(*) OVER (PARTITION BY kind) AS n FROM per),
+    draws AS (SELECT kind, s, n, unnest(range(1, 201)) AS b FROM slots),
+    dd AS (SELECT kind, b, ('0x' || substr(md5(concat_ws(':', '42-boot', b, s)), 1, 8))::BIGINT % n + 1 AS s FROM draws),
+    ms AS (SELECT kind, b, avg(v) AS m FROM dd JOIN slots USING (kind, s) GROUP BY kind, b),
+    ci AS (SELECT kind, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM ms GROUP BY kind)
+    SELECT kind, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(any_value(lo), 6) + 0.0 AS lo, round(any_value(hi), 6) + 0.0 AS hi FROM per JOIN ci USING (kind) GROUP BY kind""",
+)
+def cross_group_summary(spark, d):
+    """Mean over entities and its interval, across groups and within one (the control)."""
+    return rounded(mt.cluster_bootstrap(cross(spark, d), "entity", "auroc", 200, by=["kind"]))
+
+
 BOOT = """slots AS (SELECT entity, v, row_number() OVER (ORDER BY md5(concat_ws(':', '42-slot', entity)), entity) AS s, count(*) OVER () AS n FROM per),
 draws AS (SELECT s, n, unnest(range(1, 201)) AS b FROM slots),
 dd AS (SELECT b, ('0x' || substr(md5(concat_ws(':', '42-boot', b, s)), 1, 8))::BIGINT % n + 1 AS s FROM draws),
@@ -391,18 +408,18 @@ def signal_agreement(spark, d):
 
 @query(
     "distribution_gate",
-    f"""WITH {SIG}, l AS (SELECT col, x, side FROM (SELECT route % 2 AS side, unnest(['vEgo', 'leadOne_dRel']) AS col, unnest([vEgo, leadOne_dRel]) AS x FROM sig)),
+    f"""WITH {SIG}, l AS (SELECT col, x, side FROM (SELECT route % 2 AS side, unnest(['vEgo', 'leadOne_dRel', 'aEgo', 'actual_curvature']) AS col, unnest([vEgo, leadOne_dRel, aEgo, actual_curvature]) AS x FROM sig)),
     m AS (SELECT col, avg(x) FILTER (WHERE side = 0) AS ma, avg(x) FILTER (WHERE side = 1) AS mb, stddev_pop(x) FILTER (WHERE side = 0) AS sa,
       stddev_pop(x) FILTER (WHERE side = 1) AS sb, quantile_cont(x, {[i / 100 for i in range(1, 100)]}) FILTER (WHERE side = 0) AS qa,
       quantile_cont(x, {[i / 100 for i in range(1, 100)]}) FILTER (WHERE side = 1) AS qb FROM l GROUP BY col),
-    g AS (SELECT col, 100 * abs(ma - mb) / (abs(mb) + 1e-9) AS mean_pct, 100 * abs(sa - sb) / (abs(sb) + 1e-9) AS std_pct,
-      list_max(list_transform(list_zip(qa, qb), lambda z: abs(z[1] - z[2]))) AS max_gap FROM m)
+    g AS (SELECT col, 100 * abs(ma - mb) / greatest(abs(mb), sb, 1e-6) AS mean_pct, 100 * abs(sa - sb) / greatest(sb, 1e-6) AS std_pct,
+      list_max(list_transform(list_zip(qa, qb), lambda z: abs(z[1] - z[2]))) AS max_gap FROM m WHERE sa >= 1e-6 OR sb >= 1e-6)
     SELECT col, {rsel("mean_pct std_pct max_gap")}, mean_pct <= 1.5 AND std_pct <= 1.5 AS ok FROM g""",
 )
 def distribution_gate(spark, d):
     f = c.sig(spark, d)
     side = lambda r: f.filter(F.col("route") % 2 == r)
-    return rounded(mt.distribution_gate(side(0), side(1), ["vEgo", "leadOne_dRel"]))
+    return rounded(mt.distribution_gate(side(0), side(1), ["vEgo", "leadOne_dRel", "aEgo", "actual_curvature"]))
 
 
 # ---- distances: even routes against odd routes, per region and signal ----------------------
@@ -467,6 +484,23 @@ def style_distance(spark, d):
     return rounded(ds.style_distance(st.filter(F.col("route") % 2 == 0), st.filter(F.col("route") % 2 == 1), ["jerk_rms", "v_mean"]))
 
 
+@query(
+    "style_distance_kl",
+    f"""WITH {STATS}, st AS (SELECT scenario, feature, x, side FROM (SELECT scenario, (route % 2)::INT AS side, unnest(['jerk_rms', 'v_mean']) AS feature,
+      unnest([jerk_rms, v_mean]) AS x FROM stats) WHERE x IS NOT NULL AND scenario IN (SELECT scenario FROM stats WHERE route % 2 = 1 GROUP BY scenario HAVING count(*) >= 20)),
+    r AS (SELECT scenario, feature, quantile_cont(x, 0.005) AS lo, quantile_cont(x, 0.995) AS hi FROM st GROUP BY ALL HAVING count(*) FILTER (WHERE side = 0) >= 5 AND count(*) FILTER (WHERE side = 1) >= 5),
+    b AS (SELECT scenario, feature, least(floor(round((x - lo) / (hi - lo) * 30, 9)), 29)::BIGINT AS b, side FROM st JOIN r USING (scenario, feature) WHERE x BETWEEN lo AND hi),
+    n AS (SELECT scenario, feature, g.b, count(b.side) FILTER (WHERE side = 0) AS na, count(b.side) FILTER (WHERE side = 1) AS nb
+      FROM (SELECT scenario, feature, unnest(range(30)) AS b FROM r) g LEFT JOIN b USING (scenario, feature, b) GROUP BY ALL),
+    p AS (SELECT scenario, feature, (na + 1e-6) / (sum(na) OVER o + 30 * 1e-6) AS p, (nb + 1e-6) / (sum(nb) OVER o + 30 * 1e-6) AS q FROM n WINDOW o AS (PARTITION BY scenario, feature)),
+    k AS (SELECT sum(p * ln(p / q)) AS kl FROM p GROUP BY scenario, feature)
+    SELECT count(*) AS cells, round(avg(kl), 6) + 0.0 AS distance FROM k""",
+)
+def style_distance_kl(spark, d):
+    st = c.stats(spark, d)
+    return rounded(ds.style_distance(st.filter(F.col("route") % 2 == 0), st.filter(F.col("route") % 2 == 1), ["jerk_rms", "v_mean"], "kl"))
+
+
 # ---- prediction quality: true acceleration against a generic and a personal constant -------
 
 PRED = f"""{SIG}, gm AS (SELECT grp, avg(aEgo) AS generic FROM sig WHERE route % 2 = 0 GROUP BY grp),
@@ -577,9 +611,9 @@ def trajectory_stats(spark, d):
 
 @query(
     "history_future",
-    f"""WITH {ANCHORS}, a AS (SELECT DISTINCT win_id, a FROM pos_a) SELECT a.win_id, a, part, step, aEgo FROM (SELECT win_id, pos, aEgo FROM wf) w JOIN a USING (win_id),
-    LATERAL (SELECT CASE WHEN pos < a THEN 'history' ELSE 'future' END AS part, CASE WHEN pos < a THEN pos - a + 6 ELSE pos - a + 1 END AS step)
-    WHERE pos BETWEEN a - 5 AND a + 4""",
+    f"""WITH {ANCHORS}, a AS (SELECT win_id, a, a + unnest(range(-5, 5)) AS pos FROM (SELECT DISTINCT win_id, a FROM pos_a))
+    SELECT win_id, a, CASE WHEN pos < a THEN 'history' ELSE 'future' END AS part, CASE WHEN pos < a THEN pos - a + 6 ELSE pos - a + 1 END AS step, aEgo
+    FROM a JOIN wf USING (win_id, pos)""",
 )
 def history_future(spark, d):
     f = c.win_frames(spark, d).select("win_id", "pos", "aEgo")

@@ -12,16 +12,20 @@ from .q_curate import emb
 from .q_detect import anchors, negatives
 
 SMALL = dict(k=3, trees=10, depth=5)
+CHANNELS = ["vEgo", "aEgo", "steeringAngleDeg", "actual_curvature", "leadOne_dRel"]
 
 
 @query(
     "channel_norm",
-    f"""WITH {WF}, s AS (SELECT win_id FROM (SELECT DISTINCT win_id FROM wf) ORDER BY md5(concat_ws(':', '42', win_id)), win_id LIMIT 300),
-    l AS (SELECT unnest(['vEgo', 'aEgo']) AS channel, unnest([vEgo, aEgo]) AS x FROM wf SEMI JOIN s USING (win_id))
+    f"""WITH {STATS}, g AS (SELECT entity, count(*) AS n FROM stats GROUP BY entity), r AS (SELECT *, (row_number() OVER (ORDER BY n DESC, entity) - 1) % 10 AS a FROM g),
+    train AS (SELECT entity FROM r WHERE a NOT IN (0, 9)),
+    l AS (SELECT unnest({CHANNELS}) AS channel, unnest([{", ".join(CHANNELS)}]) AS x FROM wf SEMI JOIN train USING (entity))
     SELECT channel, round(avg(x), 6) + 0.0 AS mu, round(stddev_pop(x) + 1e-3, 6) + 0.0 AS sd FROM l GROUP BY channel""",
 )
 def channel_norm(spark, d):
-    return rounded(ml.channel_norm(c.win_frames(spark, d), ["vEgo", "aEgo"], 300))
+    # All frames of the train entities: fold 0 of five is held out.
+    train = ml.group_kfold(c.stats(spark, d), "entity", 5).filter(F.col("fold") > 0)
+    return rounded(ml.channel_norm(c.win_frames(spark, d).join(train, "entity", "left_semi"), CHANNELS))
 
 
 @query(
@@ -65,7 +69,7 @@ def cross_group_transfer(spark, d):
 
 @query("residualize")
 def residualize(spark, d):
-    return rounded(ml.residualize(c.stats(spark, d), ["jerk_rms", "decel_p05"], ["v_mean", "lead_frac", "stop_frac"], iters=5)[1])
+    return rounded(ml.residualize(c.stats(spark, d), ["jerk_rms", "decel_p05", "thw_median"], ["v_mean", "lead_frac", "stop_frac"], iters=5)[1])
 
 
 @query(

@@ -266,10 +266,10 @@ def best_lag_corr(spark, d):
 @query(
     "pack_windows",
     f"""WITH {WF} SELECT win_id, string_agg(concat((vEgo * 10)::INT, ',', (coalesce(laneLeft_y, 0) * 10)::INT), ';' ORDER BY pos)
-      FILTER (WHERE pos < 16) || repeat(';0,0', 16 - least(count(*), 16)::INT) AS x, least(count(*), 16) AS n FROM wf GROUP BY win_id""",
+      || repeat(';0,0', 24 - count(*)::INT) AS x, count(*) AS n FROM wf GROUP BY win_id""",
 )
 def pack_windows(spark, d):
-    p = rs.pack_windows(c.win_frames(spark, d), ["vEgo", "laneLeft_y"], 16)
+    p = rs.pack_windows(c.win_frames(spark, d), ["vEgo", "laneLeft_y"], 24)
     cell = lambda v: F.array_join(F.transform(v, lambda x: F.round(x * 10).cast("int").cast("string")), ",")
     return p.select(
         "win_id",

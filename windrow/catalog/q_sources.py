@@ -73,6 +73,27 @@ def ingest_new(spark, d):
     return ingest.ingest_new(orders.select("o_orderkey", "o_custkey"), done, ["o_orderkey"])
 
 
+@query(
+    "ingest_stream",
+    """SELECT event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS value, count(*) FILTER (WHERE event_id % 3 = 0) AS in_first,
+      (SELECT count(*) FROM events WHERE event_id % 3 = 0) AS first, (SELECT count(*) FROM events WHERE event_id % 3 <> 0) AS second FROM events GROUP BY 1""",
+)
+def ingest_stream(spark, d):
+    """A folder that grows between two calls: each call adds what is new, in batches of one file."""
+    from ..streaming.ingest import ingest_folder
+
+    ev = tb.table(spark, d, "events").select("event_id", "event_type", "value")
+    src, dst, ck = (scratch(spark, n) for n in ("stream-source", "stream-target", "stream-state"))
+    counts = []
+    for part in (F.col("event_id") % 3 == 0, F.col("event_id") % 3 != 0):
+        ev.filter(part).repartition(4).write.mode("append").parquet(src)
+        counts.append(ingest_folder(spark, src, ev.schema, dst, ck, files_per_batch=1))
+    out = spark.read.parquet(dst).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"), F.count_if(F.col("event_id") % 3 == 0).alias("in_first")
+    )
+    return rounded(out.withColumns({"first": F.lit(counts[0]).cast("bigint"), "second": F.lit(counts[1]).cast("bigint")}), 4)
+
+
 @query(
     "prefer_source",
     """SELECT l_orderkey, l_linestatus, l_linenumber::BIGINT AS l_linenumber, l_partkey, round(l_quantity, 6) + 0.0 AS l_quantity
@@ -131,11 +152,13 @@ def with_aliases(spark, d):
     """WITH s AS (SELECT user_id AS entity, epoch_us(ts) // 86400000000 AS day, event_type, value, event_id FROM events)
     SELECT entity, day, round(arg_max(value, event_id) FILTER (WHERE event_type = 'click'), 6) + 0.0 AS click,
       round(arg_max(value, event_id) FILTER (WHERE event_type = 'view'), 6) + 0.0 AS view,
-      round(arg_max(value, event_id) FILTER (WHERE event_type = 'error'), 6) + 0.0 AS error FROM s GROUP BY ALL""",
+      round(arg_max(value, event_id) FILTER (WHERE event_type = 'error'), 6) + 0.0 AS error,
+      round(arg_max(value, event_id) FILTER (WHERE event_type = 'signup'), 6) + 0.0 AS signup,
+      round(arg_max(value, event_id) FILTER (WHERE event_type = 'purchase'), 6) + 0.0 AS purchase FROM s GROUP BY ALL""",
 )
 def pivot_fields(spark, d):
     s = tb.samples(spark, d).withColumn("day", F.floor(F.col("t_us") / 86_400_000_000))
-    return rounded(ingest.pivot_fields(s, ["entity", "day"], ["click", "view", "error"]))
+    return rounded(ingest.pivot_fields(s, ["entity", "day"], ["click", "view", "error", "signup", "purchase"]))
 
 
 @query(

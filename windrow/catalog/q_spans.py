@@ -124,9 +124,8 @@ def session_merge(spark, d):
 
 @query(
     "event_slice",
-    f"""WITH {SIG}, ev AS (SELECT entity, route, idx AS onset FROM sig WHERE aEgo < -2.9)
-    SELECT e.entity, e.route, onset, idx, (idx - onset)::DOUBLE AS t_rel, aEgo
-    FROM ev e JOIN sig s ON s.entity = e.entity AND s.route = e.route AND idx BETWEEN onset - 5 AND onset + 3""",
+    f"""WITH {SIG}, ev AS (SELECT entity, route, idx AS onset, idx + unnest(range(-5, 4)) AS idx FROM sig WHERE aEgo < -2.9)
+    SELECT entity, route, onset, idx, (idx - onset)::DOUBLE AS t_rel, aEgo FROM ev JOIN sig USING (entity, route, idx)""",
 )
 def event_slice(spark, d):
     f = c.sig(spark, d)

@@ -30,6 +30,12 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return dot(a, b) / ((norm(a) + NORM_EPS) * (norm(b) + NORM_EPS))
 
 
+def unit(a: str | Column) -> Column:
+    """The vector scaled to length 1."""
+    size = norm(a) + NORM_EPS
+    return F.transform(as_double(a), lambda x: x / size)
+
+
 def neg_l2(a: str | Column, b: str | Column) -> Column:
     sq = F.zip_with(as_double(a), as_double(b), lambda x, y: (x - y) * (x - y))
     return -F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))

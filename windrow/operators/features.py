@@ -437,28 +437,34 @@ def event_features(
     events: DataFrame,
     pre: int = 40,
     post: int = 40,
-    lo: int = 60,
-    hi: int = 500,
+    lo: int | None = None,
+    hi: int | None = None,
     k: int = 5,
     keys: Sequence[str] = WIN,
     order: str = "pos",
     chunk: int | None = None,
 ) -> DataFrame:
-    """Per event with lo <= onset <= hi on a sane sensor: mean acceleration of the ``pre`` frames
+    """Per event on a sane sensor whose clip lies wholly in the window (and lo <= onset <= hi, if given): mean acceleration of the ``pre`` frames
     before, speed ``pre`` frames before, and the smoothed curvature peak of the ``post`` frames after."""
     keys = list(keys)
     sane = frames.join(sensor_ok(frames, keys=keys), keys, "left_semi")
     cols = sane.select(*keys, order, "aEgo", "vEgo", F.abs("actual_curvature").alias("_k"))
     smooth = moving_avg_zero_pad(cols, "_k", k, keys, order, chunk)
-    near = events.filter(F.col("onset").between(lo, hi))
+    near = events
+    if lo is not None:
+        near = near.filter(F.col("onset") >= lo)
+    if hi is not None:
+        near = near.filter(F.col("onset") <= hi)
     bounds = near.withColumn("_lo", F.col("onset") - pre).withColumn("_hi", F.col("onset") + post - 1)
     j = attach(smooth, bounds, keys, order, "_lo", "_hi", block=max(pre + post, 64))
     before = F.col(order) < F.col("onset")
-    return j.groupBy(*keys, "onset").agg(
+    out = j.groupBy(*keys, "onset").agg(
+        F.count(F.lit(1)).alias("_frames"),
         F.avg(F.when(before, F.col("aEgo"))).alias("pre_a"),
         F.max(F.when(F.col(order) == F.col("onset") - pre, F.col("vEgo"))).alias("v0"),
         F.max(F.when(~before, F.col("smooth"))).alias("peak"),
     )
+    return out.filter(F.col("_frames") == pre + post).drop("_frames")
 
 
 def lead_free(

@@ -266,10 +266,10 @@ def cross_group_verify(
     """Enroll an entity on group A, verify it on group B against that group's other entities.
 
     ``kind`` is "cross" (A <> B) or "same" (both halves of one group, the control). One row per
-    trial: kind, entity, enroll_grp, query_grp, n_pos, n_neg, auroc, eer.
+    trial: kind, entity, enroll_grp, query_grp, n_pos, n_neg, auroc, eer. Vectors are scaled to length 1 first.
     """
     c_proto, c_pos, c_neg = caps
-    unit = emb.select(key, "entity", "grp", vec.as_double("vec").alias("vec"))
+    unit = emb.select(key, "entity", "grp", vec.unit("vec").alias("vec"))
     cells = eligible_cells(unit, min_n)
     rows = hash_rank(unit.join(cells, ["entity", "grp"]), ["entity", "grp"], [key], seed, "_r").withColumnRenamed("n", "_n")
     rows = materialize(rows, "cells")
@@ -454,7 +454,11 @@ def signal_agreement(frames: DataFrame, a: str, b: str, by: Sequence[str], min_r
 
 
 def distribution_gate(a: DataFrame, b: DataFrame, cols: Sequence[str], tol: float = 1.5) -> DataFrame:
-    """Per column: mean and spread differences in percent, largest gap of 99 quantiles, and the gate."""
+    """Per column: mean and spread differences in percent, largest gap of 99 quantiles, and the gate.
+
+    The difference of means is taken of the larger of ``b``'s mean and spread, so that columns around zero are
+    judged by their spread. Columns that are constant on both sides are left out.
+    """
     pairs = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in cols)
     long = lambda df, s: df.selectExpr(f"'{s}' AS side", f"stack({len(cols)}, {pairs}) AS (col, x)")
     both = long(a, "a").unionByName(long(b, "b"))
@@ -464,6 +468,9 @@ def distribution_gate(a: DataFrame, b: DataFrame, cols: Sequence[str], tol: floa
     q = exact_quantiles(both, ["col", "side"], "x", [i / 100 for i in range(1, 100)])
     q = q.groupBy("col", "prob").agg(*[F.max(F.when(F.col("side") == s, F.col("q"))).alias("q" + s) for s in "ab"])
     gap = q.groupBy("col").agg(F.max(F.abs(F.col("qa") - F.col("qb"))).alias("max_gap"))
-    pct = lambda n: 100 * F.abs(F.col(f"{n}_a") - F.col(f"{n}_b")) / (F.abs(F.col(f"{n}_b")) + 1e-9)
-    out = m.join(gap, "col").select("col", pct("mean").alias("mean_pct"), pct("std").alias("std_pct"), "max_gap")
+    pct = lambda n, scale: 100 * F.abs(F.col(f"{n}_a") - F.col(f"{n}_b")) / scale
+    least = F.lit(1e-6)
+    of_mean, of_std = F.greatest(F.abs("mean_b"), F.col("std_b"), least), F.greatest(F.col("std_b"), least)
+    moving = m.filter((F.col("std_a") >= 1e-6) | (F.col("std_b") >= 1e-6))
+    out = moving.join(gap, "col").select("col", pct("mean", of_mean).alias("mean_pct"), pct("std", of_std).alias("std_pct"), "max_gap")
     return out.withColumn("ok", (F.col("mean_pct") <= tol) & (F.col("std_pct") <= tol))

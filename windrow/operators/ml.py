@@ -49,11 +49,16 @@ def impute_standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def channel_norm(
-    frames: DataFrame, cols: Sequence[str], n: int = 3000, eps: float = 1e-3, seed: int = 42, key: str = "win_id"
+    frames: DataFrame, cols: Sequence[str], n: int | None = None, eps: float = 1e-3, seed: int = 42, key: str = "win_id"
 ) -> DataFrame:
-    """Mean and sd + eps per channel over the frames of n windows drawn by hash: channel, mu, sd."""
-    drawn = frames.select(key).distinct().withColumn("_h", hash_order(seed, key)).orderBy("_h", key).limit(n).select(key)
-    long = _long(frames.join(drawn, key, "left_semi"), cols)
+    """Mean and sd + eps per channel over all ``frames`` (give those of the train fold): channel, mu, sd.
+
+    With ``n`` the sample is defined as the frames of n windows drawn by hash.
+    """
+    if n is not None:
+        drawn = frames.select(key).distinct().withColumn("_h", hash_order(seed, key)).orderBy("_h", key).limit(n).select(key)
+        frames = frames.join(drawn, key, "left_semi")
+    long = _long(frames, cols)
     return long.groupBy(F.col("col").alias("channel")).agg(F.avg("x").alias("mu"), (F.stddev_pop("x") + eps).alias("sd"))
 
 
@@ -113,10 +118,11 @@ def cross_val_predict(
 
 
 def probe_score(pred: DataFrame) -> DataFrame:
-    """Balanced accuracy of predictions (_y, _p) and chance 1 / n_classes."""
+    """Balanced and plain accuracy of predictions (_y, _p) and chance 1 / n_classes."""
     classes = pred.select("_y").distinct().agg((1.0 / F.count(F.lit(1))).alias("chance"))
     rep = classification_report(pred, "_y", "_p").filter(F.col("cls") == "all")
-    return rep.select(F.col("recall").alias("bal_acc"), F.col("support").alias("n")).join(classes)  # one row each
+    plain = pred.agg(F.avg((F.col("_y") == F.col("_p")).cast("double")).alias("acc"))
+    return rep.select(F.col("recall").alias("bal_acc"), F.col("support").alias("n")).join(classes).join(plain)  # one row each
 
 
 def leakage_probe(
@@ -152,7 +158,7 @@ def identifiability(
         win = probe_score(pred)
         vote = majority_vote(pred, ["_route", "_y"], "_p")
         vote = vote.agg(F.avg((F.col("vote") == F.col("_y")).cast("double")).alias("vote_acc"), F.count(F.lit(1)).alias("routes"))
-        part = win.join(vote).select(F.lit(name).alias("features"), "bal_acc", "vote_acc", "chance", "n", "routes")  # one row each
+        part = win.join(vote).select(F.lit(name).alias("features"), "bal_acc", "acc", "vote_acc", "chance", "n", "routes")  # one row each
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -184,7 +190,7 @@ def cross_group_transfer(
         rows = materialize(_features(df.join(both.select(entity), entity, "left_semi"), features, entity, [grp]), "transfer")
         model = _forest(features, trees, depth, seed).fit(rows.filter(F.col(grp) == a))
         part = probe_score(_named_prediction(model, rows.filter(F.col(grp) == b), []))
-        part = part.select(F.lit(a).alias("train_grp"), F.lit(b).alias("test_grp"), "bal_acc", "chance", "n")
+        part = part.select(F.lit(a).alias("train_grp"), F.lit(b).alias("test_grp"), "bal_acc", "acc", "chance", "n")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -192,24 +198,28 @@ def cross_group_transfer(
 def residualize(
     df: DataFrame, behav: Sequence[str], context: Sequence[str], keys: Sequence[str] = ("win_id",), depth: int = 4, iters: int = 150, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """Behaviour minus what a boosted-tree model of the context predicts: (rows with r_<stat>, R2 per stat)."""
+    """Behaviour minus what a boosted-tree model of the context predicts: (rows with r_<stat>, R2 per stat).
+
+    Every row stays. A statistic is fitted on the rows that know it; its residual is null in the others.
+    """
     rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*behav, *context])])
-    rows = materialize(rows.na.drop(subset=list(behav)), "residual")
     filled = [c + "_f" for c in context]
-    prep = Pipeline(
-        stages=[
-            Imputer(strategy="median", inputCols=list(context), outputCols=filled),
-            VectorAssembler(inputCols=filled, outputCol="_vec"),
-        ]
-    ).fit(rows)
-    out = prep.transform(rows).drop(*filled)
-    for b in behav:
-        gbt = GBTRegressor(labelCol=b, featuresCol="_vec", predictionCol="_pred", maxDepth=depth, maxIter=iters, seed=seed)
-        out = gbt.fit(out).transform(out).withColumn("r_" + b, F.col(b) - F.col("_pred")).drop("_pred")
+    med = _one_row(exact_quantiles(_long(rows, context), ["col"], "x", [0.5]), context, "q", "_m_")
+    known = rows.join(F.broadcast(med)).withColumns({c + "_f": F.coalesce(c, "_m_" + c, F.lit(0.0)) for c in context})  # med is one row
+    prep = VectorAssembler(inputCols=filled, outputCol="_vec").transform(known.drop(*med.columns)).drop(*filled)
+    prep = materialize(prep.withColumn("_v", vector_to_array("_vec")).drop("_vec"), "residual").withColumn("_vec", array_to_vector("_v")).drop("_v")
+    models = {b: _boosted(b, depth, iters, seed).fit(prep.filter(F.col(b).isNotNull())) for b in behav}
+    out = prep
+    for b, model in models.items():
+        out = model.transform(out).withColumn("r_" + b, F.col(b) - F.col("_pred")).drop("_pred")
     out = out.drop("_vec")
     return out, r_squared(out, behav)
 
 
+def _boosted(label: str, depth: int, iters: int, seed: int) -> GBTRegressor:
+    return GBTRegressor(labelCol=label, featuresCol="_vec", predictionCol="_pred", maxDepth=depth, maxIter=iters, seed=seed)
+
+
 def residualize_means(df: DataFrame, behav: Sequence[str], context: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The linear variant: behaviour minus its mean over equal (categorical) context."""
     means = df.groupBy(*context).agg(*[F.avg(b).alias("_m_" + b) for b in behav])
@@ -314,10 +324,12 @@ def few_shot_predict(
 ) -> DataFrame:
     """Generic linear predictor against the same plus the entity's mean residual on k support rows.
 
-    Returns the query rows with err_generic and err_personal (absolute errors).
+    A missing feature is its exact median; only rows without the target are left out. Returns the query rows with err_generic and err_personal (absolute errors).
     """
     rows = samples.select(key, "entity", "route", F.col(target).cast("double").alias("_t"), *[F.col(f).cast("double").alias(f) for f in features])
-    rows = rows.na.drop(subset=["_t", *features])
+    med = _one_row(exact_quantiles(_long(rows, features), ["col"], "x", [0.5]), features, "q", "_m_")
+    rows = rows.filter(F.col("_t").isNotNull()).join(F.broadcast(med))  # one row
+    rows = rows.withColumns({f: F.coalesce(f, "_m_" + f, F.lit(0.0)) for f in features}).drop(*med.columns)
     vec = VectorAssembler(inputCols=list(features), outputCol="_vec")
     roles = materialize(support_query(rows, key, None, seed), "fewshot")
     rows = vec.transform(roles)

@@ -2,8 +2,11 @@
 
 The written table lies in the session's ``spark.checkpoint.dir`` (a folder all executors
 share), so it survives a lost executor, cuts the lineage, and is read back with column
-pruning and known size. Only where the setting is unset (tests, local runs) a temporary
-folder is made.
+pruning and known size. Only where the setting is unset and the master is local (tests) a temporary
+folder is made; on a cluster that would be a folder of one machine, so it is an error.
+
+``stage`` and ``materialize`` run a job when they are called, that is while a plan is built. ``release``
+forgets the stage tables of an input, as is needed when its files have changed.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         _FOLDERS[app] = tempfile.mkdtemp(prefix="windrow-stage-")
@@ -65,3 +71,10 @@ def stage(
     if key not in _STAGES:
         _STAGES[key] = materialize(build(), name, bucket_by, sort_by, rows() if rows else None)
     return _STAGES[key]
+
+
+def release(spark: SparkSession, source: str) -> None:
+    """Forget the stage tables of ``source``: the next use writes them anew."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _STAGES if k[0] == app and k[1].endswith(f"@{source}")]:
+        del _STAGES[key]
