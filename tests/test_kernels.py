@@ -158,3 +158,23 @@ def test_worker_functions_travel_by_value(tmp_path):
     code = "import pickle, sys, numpy as np; f = pickle.load(open('f.pkl', 'rb')); print(f('cosine', np.eye(2), np.eye(2)).shape)"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert "(2, 2)" in out.stdout, out.stderr
+
+
+def test_rank_splits_equal_values(spark):
+    """A million rows of one value are ranked by their ties, and no task has more than twice its share."""
+    n = 1_000_000
+    df = spark.range(n).selectExpr("'c' AS cls", "1.0D AS score", "CAST(id AS STRING) AS id")
+    out = ordered.exact_rank(df, ["cls"], "score", ["id"], name="r")
+    got = out.agg(F.min("r"), F.max("r"), F.count_distinct("r")).first()
+    assert tuple(got) == (1, n, n)
+    first = {r.id for r in out.filter("r <= 5").collect()}
+    assert first == set(sorted(map(str, range(n)))[:5])
+    parts = [p for p in out.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    assert max(p["count"] for p in parts) <= 2 * n / 8 + 1000
+
+
+def test_rank_of_values_close_together(spark):
+    df = spark.range(100_000).selectExpr("'c' AS cls", "1.0D + (id * 7919 % 100000) * 1e-14 AS x", "id")
+    out = ordered.exact_rank(df, ["cls"], "x", ["id"], name="r", descending=True, total="n")
+    r = out.orderBy("r").limit(3).collect()
+    assert [x.r for x in r] == [1, 2, 3] and r[0].x >= r[1].x >= r[2].x and r[0].n == 100_000

@@ -422,7 +422,16 @@ def _pairs_sql(name, by, seed, last, cond, same):
 
 
 POS = _pairs_sql("posp", "key, entity", "pos", 8, "a.route <> b.route", 1)
-NEG = _pairs_sql("negp", "key", "neg", 200, "a.entity <> b.entity", 0)
+NEG = """
+nk AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(concat_ws(':', '42-neg', win_id)), win_id) AS r, count(*) OVER (PARTITION BY key) AS n FROM keyed
+  WHERE key IN (SELECT key FROM keyed GROUP BY key HAVING count(*) >= 4 AND count(DISTINCT entity) >= 2)),
+nd AS (SELECT key, n, unnest(range(1, least(2 * n, 200) + 1)) AS i FROM (SELECT key, any_value(n) AS n FROM nk GROUP BY key)),
+ndraw AS (SELECT key, ('0x' || substr(md5(concat_ws(':', '42-nega', key, i)), 1, 8))::BIGINT % n + 1 AS ra,
+  ('0x' || substr(md5(concat_ws(':', '42-negb', key, i)), 1, 8))::BIGINT % n + 1 AS rb FROM nd),
+nc AS (SELECT DISTINCT d.key, least(a.win_id, b.win_id) AS win_a, greatest(a.win_id, b.win_id) AS win_b FROM ndraw d
+  JOIN nk a ON a.key = d.key AND a.r = ra JOIN nk b ON b.key = d.key AND b.r = rb WHERE a.entity <> b.entity),
+negp AS (SELECT key, win_a, win_b, 0::BIGINT AS same_entity FROM nc
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY md5(concat_ws(':', '42-negcap', key, win_a, win_b)), key, win_a, win_b) <= 30)"""
 PAIRS = f"""{KEYED}, {POS}, {NEG}, allp AS (SELECT * FROM posp UNION ALL SELECT * FROM negp),
 pairs AS (SELECT * FROM allp QUALIFY row_number() OVER (PARTITION BY same_entity ORDER BY md5(concat_ws(':', '42', key, win_a, win_b)), key, win_a, win_b)
   <= least((SELECT count(*) FROM posp), (SELECT count(*) FROM negp), 25000))"""
@@ -478,13 +487,14 @@ def contrast_pairs(spark, d):
     f"""WITH {STATS} SELECT a.grp, a.win_id AS id_a, b.win_id AS id_b, round(abs(a.decel_p05 - b.decel_p05), 6) + 0.0 AS contrast
     FROM stats a JOIN stats b ON a.grp = b.grp AND a.win_id < b.win_id AND a.entity <> b.entity
     WHERE round(abs(a.curv_p95 - b.curv_p95) - 0.05 * greatest(a.curv_p95, b.curv_p95), 9) <= 0 AND a.curv_p95 > 0 AND b.curv_p95 > 0
-      AND round(abs(a.v_mean - b.v_mean), 9) <= 0.5 AND round(abs(a.decel_p05 - b.decel_p05), 9) > 1.2""",
+      AND round(abs(a.v_mean - b.v_mean), 9) <= 0.5 AND round(abs(a.decel_p05 - b.decel_p05), 9) > 1.2
+    QUALIFY row_number() OVER (PARTITION BY a.grp ORDER BY round(abs(a.decel_p05 - b.decel_p05), 9) DESC, a.win_id, b.win_id) <= 500""",
 )
 def band_pairs(spark, d):
     ev = c.stats(spark, d).select(
         "grp", "entity", F.col("win_id").alias("id"), F.col("curv_p95").alias("peak"), F.col("v_mean").alias("v0"), F.col("decel_p05").alias("pre_a")
     )
-    return rounded(pr.band_pairs(ev, 0.05, 0.5, 1.2))
+    return rounded(pr.band_pairs(ev, 0.05, 0.5, 1.2, top=500))
 
 
 @query(

@@ -174,7 +174,7 @@ def pedal_speed_features(spark, d):
     SELECT win_id, {rsel("lane_bias lane_sdlp lane_width")} FROM h""",
 )
 def select_feature_group(spark, d):
-    return rounded(ft.select_feature_group(ft.style_features(with_touch(wf(spark, d)), RATE), "lane"))
+    return rounded(ft.select_feature_group(ft.style_features(with_touch(wf(spark, d)), RATE, group="lane"), "lane"))
 
 
 @query("scenario_bucket", f"WITH {STATS} SELECT win_id, scenario FROM stats")

@@ -25,9 +25,10 @@ def scan_corpus(spark, d):
     sup = tb.table(spark, d, "supplier").join(geo, F.col("s_nationkey") == F.col("n_nationkey"))
     li = tb.table(spark, d, "lineitem").join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
     name = F.concat(F.regexp_replace("n_name", " ", "-"), F.lit("__"), F.year("l_shipdate").cast("string"), F.lit(".parquet"))
+    # Rebalancing splits a large (group, file) over several tasks and part files.
     root = scratch(spark, "corpus")
     out = li.select("l_quantity", "l_tax", F.col("r_name").alias("g"), name.alias("f"))
-    scan.write_table(out.repartition("g", "f"), root, "parquet", ["g", "f"])
+    scan.write_table(out.hint("rebalance", "g", "f"), root, "parquet", ["g", "f"])
     df = scan.scan_corpus(spark, root, ["l_quantity"], "l_quantity double")
     return rounded(df.groupBy("grp", "entity", "route").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty")))
 

@@ -49,6 +49,10 @@ FEATURE_GROUPS = {
 }
 
 
+def named(exprs: dict[str, Column]) -> list[Column]:
+    return [e.alias(n) for n, e in exprs.items()]
+
+
 def share(cond: Column) -> Column:
     """Share of rows where the condition holds; an unknown condition counts as false."""
     return F.avg(F.when(cond, 1.0).otherwise(0.0))
@@ -105,46 +109,64 @@ def diff_rms(frames: DataFrame, col: str, rate: float = 10.0, keys: Sequence[str
     return f.groupBy(*keys).agg(rms(F.col("_d")).alias("diff_rms"))
 
 
-def headway_stats(frames: DataFrame, min_n: int = 5, keys: Sequence[str] = WIN) -> DataFrame:
-    """Time headway over moving frames with a lead: median, p25, share below 1 s; null if <= min_n frames."""
+def _headway_exprs(min_n: int = 5) -> dict[str, Column]:
     follow = _following()
     enough = F.count_if(follow) > min_n
     thw = F.when(follow, _headway())
-    return frames.groupBy(*keys).agg(
-        F.when(enough, F.percentile(thw, F.lit(0.5))).alias("thw_median"),
-        F.when(enough, F.percentile(thw, F.lit(0.25))).alias("thw_p25"),
-        F.when(enough, F.avg(F.when(thw < 1.0, 1.0).when(follow, 0.0))).alias("close_follow_rate"),
-        share(F.col("leadOne_status") > 0.5).alias("lead_present_rate"),
-    )
+    return {
+        "thw_median": F.when(enough, F.percentile(thw, F.lit(0.5))),
+        "thw_p25": F.when(enough, F.percentile(thw, F.lit(0.25))),
+        "close_follow_rate": F.when(enough, F.avg(F.when(thw < 1.0, 1.0).when(follow, 0.0))),
+        "lead_present_rate": share(F.col("leadOne_status") > 0.5),
+    }
 
 
-def ttc_min(frames: DataFrame, closing: float = -0.5, min_n: int = 5, keys: Sequence[str] = WIN) -> DataFrame:
-    """Smallest time to collision over following frames closing faster than ``closing``."""
+def headway_stats(frames: DataFrame, min_n: int = 5, keys: Sequence[str] = WIN) -> DataFrame:
+    """Time headway over moving frames with a lead: median, p25, share below 1 s; null if <= min_n frames."""
+    return frames.groupBy(*keys).agg(*named(_headway_exprs(min_n)))
+
+
+def _ttc_exprs(closing: float = -0.5, min_n: int = 5) -> dict[str, Column]:
     near = _following() & (F.col("leadOne_vRel") < closing)
     ttc = F.min(F.when(near, F.col("leadOne_dRel") / -F.col("leadOne_vRel")))
-    return frames.groupBy(*keys).agg(F.when(F.count_if(_following()) > min_n, ttc).alias("ttc_min"))
+    return {
+        "ttc_min": F.when(F.count_if(_following()) > min_n, ttc),
+    }
+
+
+def ttc_min(frames: DataFrame, closing: float = -0.5, min_n: int = 5, keys: Sequence[str] = WIN) -> DataFrame:
+    """Smallest time to collision over following frames closing faster than ``closing``."""
+    return frames.groupBy(*keys).agg(*named(_ttc_exprs(closing, min_n)))
+
+
+def _long_exprs() -> dict[str, Column]:
+    return {
+        "accel_std": F.stddev_pop("aEgo"),
+        "accel_p95": F.percentile("aEgo", F.lit(0.95)),
+        "decel_p05": F.percentile("aEgo", F.lit(0.05)),
+        "jerk_rms": rms(F.col("_jerk")),
+        "hard_brake_rate": share(F.col("aEgo") < -2.0),
+        "hard_accel_rate": share(F.col("aEgo") > 1.5),
+    }
 
 
 def long_features(frames: DataFrame, rate: float = 10.0, keys: Sequence[str] = WIN) -> DataFrame:
     """Longitudinal group."""
     f = frames.withColumn("_jerk", _delta("aEgo", keys, rate))
-    return f.groupBy(*keys).agg(
-        F.stddev_pop("aEgo").alias("accel_std"),
-        F.percentile("aEgo", F.lit(0.95)).alias("accel_p95"),
-        F.percentile("aEgo", F.lit(0.05)).alias("decel_p05"),
-        rms(F.col("_jerk")).alias("jerk_rms"),
-        share(F.col("aEgo") < -2.0).alias("hard_brake_rate"),
-        share(F.col("aEgo") > 1.5).alias("hard_accel_rate"),
-    )
+    return f.groupBy(*keys).agg(*named(_long_exprs()))
+
+
+def _input_exprs() -> dict[str, Column]:
+    return {
+        "steer_std": F.stddev_pop("steeringAngleDeg"),
+        "steer_rate_rms": rms(F.col("steeringRateDeg")),
+        "steer_touch_rate": F.avg("steeringPressed"),
+    }
 
 
 def lateral_input_features(frames: DataFrame, keys: Sequence[str] = WIN) -> DataFrame:
     """Lateral actuation group (without entropy and reversals, which have their own operators)."""
-    return frames.groupBy(*keys).agg(
-        F.stddev_pop("steeringAngleDeg").alias("steer_std"),
-        rms(F.col("steeringRateDeg")).alias("steer_rate_rms"),
-        F.avg("steeringPressed").alias("steer_touch_rate"),
-    )
+    return frames.groupBy(*keys).agg(*named(_input_exprs()))
 
 
 def steering_entropy(frames: DataFrame, col: str = "steeringAngleDeg", keys: Sequence[str] = WIN) -> DataFrame:
@@ -213,60 +235,69 @@ def reversal_rate(
     return packed.select(*keys, revs.cast("bigint").alias("revs"), per_min.alias("steer_reversal_rate"))
 
 
+def _path_exprs() -> dict[str, Column]:
+    k = F.abs("actual_curvature")
+    return {
+        "curv_absmean": F.avg(k),
+        "curv_std": F.stddev_pop("actual_curvature"),
+        "curv_p95": F.percentile(k, F.lit(0.95)),
+        "curv_rate_rms": rms(F.col("_dc")),
+        "sharp_corner_rate": share(k > 0.01),
+        "slip_absmean": F.avg(F.abs("slip")),
+        "slip_std": F.stddev_pop("slip"),
+    }
+
+
 def path_features(frames: DataFrame, rate: float = 10.0, keys: Sequence[str] = WIN) -> DataFrame:
     """Realised path group: curvature and slip."""
     f = frames.withColumn("_dc", _delta("actual_curvature", keys, rate))
-    k = F.abs("actual_curvature")
-    return f.groupBy(*keys).agg(
-        F.avg(k).alias("curv_absmean"),
-        F.stddev_pop("actual_curvature").alias("curv_std"),
-        F.percentile(k, F.lit(0.95)).alias("curv_p95"),
-        rms(F.col("_dc")).alias("curv_rate_rms"),
-        share(k > 0.01).alias("sharp_corner_rate"),
-        F.avg(F.abs("slip")).alias("slip_absmean"),
-        F.stddev_pop("slip").alias("slip_std"),
-    )
+    return f.groupBy(*keys).agg(*named(_path_exprs()))
 
 
-def lane_features(frames: DataFrame, keys: Sequence[str] = WIN) -> DataFrame:
-    """Lane placement group; null where no left line is known."""
+def _lane_exprs() -> dict[str, Column]:
     ok = F.count("laneLeft_y") > 0
     center = (F.col("laneLeft_y") + F.col("laneRight_y")) / 2
-    return frames.groupBy(*keys).agg(
-        F.when(ok, F.avg(center)).alias("lane_bias"),
-        F.when(ok, F.stddev_pop(center)).alias("lane_sdlp"),
-        F.when(ok, F.avg(F.col("laneRight_y") - F.col("laneLeft_y"))).alias("lane_width"),
-    )
+    return {
+        "lane_bias": F.when(ok, F.avg(center)),
+        "lane_sdlp": F.when(ok, F.stddev_pop(center)),
+        "lane_width": F.when(ok, F.avg(F.col("laneRight_y") - F.col("laneLeft_y"))),
+    }
+
+
+def lane_features(frames: DataFrame, keys: Sequence[str] = WIN) -> DataFrame:
+    """Lane placement group; null where no left line is known."""
+    return frames.groupBy(*keys).agg(*named(_lane_exprs()))
+
+
+def _pedal_exprs() -> dict[str, Column]:
+    return {
+        "brake_rate": F.avg("brakePressed"),
+        "gas_rate": F.avg("gasPressed"),
+        "brake_mag_p95": F.percentile("brake", F.lit(0.95)),
+        "speed_mean": F.avg("vEgo"),
+        "speed_std": F.stddev_pop("vEgo"),
+    }
 
 
 def pedal_speed_features(frames: DataFrame, keys: Sequence[str] = WIN) -> DataFrame:
     """Pedal and speed groups."""
-    return frames.groupBy(*keys).agg(
-        F.avg("brakePressed").alias("brake_rate"),
-        F.avg("gasPressed").alias("gas_rate"),
-        F.percentile("brake", F.lit(0.95)).alias("brake_mag_p95"),
-        F.avg("vEgo").alias("speed_mean"),
-        F.stddev_pop("vEgo").alias("speed_std"),
-    )
+    return frames.groupBy(*keys).agg(*named(_pedal_exprs()))
 
 
-def style_features(frames: DataFrame, rate: float = 10.0, keys: Sequence[str] = WIN) -> DataFrame:
-    """All style feature groups of each window, side by side."""
-    parts = [
-        long_features(frames, rate, keys),
-        lateral_input_features(frames, keys),
-        steering_entropy(frames, keys=keys),
-        reversal_rate(frames, rate=rate, keys=keys).drop("revs"),
-        path_features(frames, rate, keys),
-        lane_features(frames, keys),
-        headway_stats(frames, keys=keys),
-        ttc_min(frames, keys=keys),
-        pedal_speed_features(frames, keys),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, list(keys))
-    return out
+def style_features(frames: DataFrame, rate: float = 10.0, keys: Sequence[str] = WIN, group: str | None = None) -> DataFrame:
+    """All style feature groups of each window, side by side; with ``group`` only its columns.
+
+    Everything but entropy and reversals is one aggregation; those two join only if they are wanted.
+    """
+    wanted = FEATURE_GROUPS[group] if group else [c for cols in FEATURE_GROUPS.values() for c in cols]
+    parts = {"steer_entropy": lambda: steering_entropy(frames, keys=keys), "steer_reversal_rate": lambda: reversal_rate(frames, rate=rate, keys=keys).drop("revs")}
+    f = frames.withColumn("_jerk", _delta("aEgo", keys, rate)).withColumn("_dc", _delta("actual_curvature", keys, rate))
+    exprs = {**_long_exprs(), **_input_exprs(), **_path_exprs(), **_lane_exprs(), **_headway_exprs(), **_ttc_exprs(), **_pedal_exprs()}
+    out = f.groupBy(*keys).agg(*[exprs[c].alias(c) for c in wanted if c in exprs]) if set(wanted) & set(exprs) else frames.select(*keys).distinct()
+    for c in dict.fromkeys(wanted):
+        if c in parts:
+            out = out.join(parts[c](), list(keys))
+    return out.select(*keys, *dict.fromkeys(wanted))
 
 
 def select_feature_group(df: DataFrame, group: str, keys: Sequence[str] = WIN) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..plans.ordered import exact_quantiles, hash_rank, hash_top_n
+from ..functions.hashing import hash_draw
+from ..plans.ordered import exact_quantiles, hash_rank, hash_top_n, top_n
 from ..plans.stage import materialize
 
 # Right-closed bins, open at 0 (a value outside gets "nan").
@@ -67,10 +68,18 @@ def positive_pairs(
 def negative_pairs(
     keyed: DataFrame, per_key: int = 30, draws: int = 200, seed: int = 42, min_rows: int = 4, min_entities: int = 2
 ) -> DataFrame:
-    """Same key, different entity: at most ``draws`` draws, per_key pairs per key."""
-    rows = keyed.select("key", "entity", "route", "win_id").join(_usable_keys(keyed, min_rows, min_entities), "key", "left_semi")
-    ranked = hash_top_n(rows, ["key"], draws + 1, f"{seed}-neg", "win_id", name="_r")
-    cand = _neighbours(ranked, ["key"], "_r", draws).filter(F.col("_ea") != F.col("_eb"))
+    """Same key, different entity: min(2 n, draws) draws of two of a key's n rows, at most per_key pairs per key.
+
+    Draws are numbered; each draws two positions of the key's keyed shuffle by hash, so every row of a key can be drawn.
+    """
+    rows = keyed.select("key", "entity", "win_id").join(_usable_keys(keyed, min_rows, min_entities), "key", "left_semi")
+    ranked = hash_rank(rows, ["key"], ["win_id"], f"{seed}-neg", "_r", "_n")
+    sizes = ranked.groupBy("key").agg(F.max("_n").alias("_n"))
+    drawn = sizes.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(2 * F.col("_n"), F.lit(draws)))))
+    side = lambda s: hash_draw(f"{seed}-neg{s}", F.col("_n"), "key", "_i") + 1
+    drawn = drawn.select("key", side("a").alias("_ra"), side("b").alias("_rb"))
+    at = lambda s: ranked.select("key", F.col("_r").alias(f"_r{s}"), F.col("win_id").alias(f"_{s}"), F.col("entity").alias(f"_e{s}"))
+    cand = drawn.join(at("a"), ["key", "_ra"]).join(at("b"), ["key", "_rb"]).filter(F.col("_ea") != F.col("_eb"))
     return _finish(cand, 0, per_key, f"{seed}-negcap")
 
 
@@ -117,23 +126,27 @@ def band_pairs(
     min_contrast: float = 0.8,
     top: int | None = None,
     grp: str = "grp",
+    salt: int = 4,
 ) -> DataFrame:
     """Event pairs of one group and two entities with close peak, close speed and contrasting approach.
 
     A band join on two axes: speeds within dv meet in neighbouring cells of width dv, and
     peaks within a share ``rel`` of each other in neighbouring cells of the log scale. So
-    only rows of the same small cell meet, however large the group is.
+    only rows of the same small cell meet, however large the group is; a cell's left rows are dealt
+    by hash to ``salt`` tasks, to which its right rows are copied. ``top`` is the length of each group's
+    ranked list (greatest contrast first); without it all pairs are given.
     """
     width = -math.log1p(-rel) * 1.0001
     e = events.select(grp, "entity", "id", "peak", "v0", "pre_a").filter(F.col("peak") > 0)
     e = e.withColumn("_v", F.floor(F.col("v0") / dv)).withColumn("_p", F.floor(F.ln("peak") / width))
-    a = e.select(grp, "_v", "_p", *[F.col(c).alias(c + "_a") for c in ("entity", "id", "peak", "v0", "pre_a")])
+    a = e.select(grp, "_v", "_p", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int").alias("_salt"), *[F.col(c).alias(c + "_a") for c in ("entity", "id", "peak", "v0", "pre_a")])
     near = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
     b = e.withColumn("_dv", F.explode(near)).withColumn("_dp", F.explode(near))
     b = b.select(
         grp,
         (F.col("_v") + F.col("_dv")).alias("_v"),
         (F.col("_p") + F.col("_dp")).alias("_p"),
+        F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"),
         *[F.col(c).alias(c + "_b") for c in ("entity", "id", "peak", "v0", "pre_a")],
     )
     contrast = F.abs(F.col("pre_a_a") - F.col("pre_a_b"))
@@ -144,8 +157,8 @@ def band_pairs(
         & (F.round(F.abs(F.col("v0_a") - F.col("v0_b")), 9) <= dv)
         & (F.round(contrast, 9) > min_contrast)
     )
-    out = a.join(b, [grp, "_v", "_p"]).filter(close).select(grp, "id_a", "id_b", contrast.alias("contrast"))
-    return out.orderBy(F.desc("contrast"), "id_a", "id_b").limit(top) if top else out
+    out = a.join(b, [grp, "_v", "_p", "_salt"]).filter(close).select(grp, "id_a", "id_b", contrast.alias("contrast"))
+    return top_n(out, [grp], top, F.desc(F.round("contrast", 9)), "id_a", "id_b") if top else out
 
 
 def pair_hist_intersection(pairs: DataFrame, vecs: DataFrame, key: str = "win_id") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_order
+from .stage import materialize
 
 # Frames per chunk. One task sees at most this many rows of one key at a time.
 CHUNK = 32_768
@@ -269,15 +270,23 @@ def exact_rank(
     name: str = "rnk",
     total: str | None = None,
 ) -> DataFrame:
-    """1-based row number per group by a numeric ``order`` (then ``ties``), for groups of any size."""
+    """1-based row number per group by ``order`` (then ``ties``), for groups of any size and any number of ties.
+
+    Rows are written in ranges of (group, order, ties), so that equal values are split too; a range's rank is its
+    local row number plus the rows of its group in the ranges before. The written ranges stay as they are, so a
+    task that runs again gives the same ranks. Runs a job while the plan is built.
+    """
     by, cols = list(by), df.columns
     df = df.withColumn("_ord", -F.col(order) if descending else F.col(order))
-    df = df.select("*", *[c.alias(n) for n, c in _slices("_ord").items()])
-    sizes = df.groupBy(*by, "_hi", "_lo").agg(F.count(F.lit(1)).alias("_tk"))
-    w = Window.partitionBy(*by, "_hi", "_lo").orderBy("_ord", *ties)
-    out = df.withColumn("_r", F.row_number().over(w)).join(_slice_offsets(sizes, by, ["k"]), [*by, "_hi", "_lo"])
-    extra = [F.col("tot_k").alias(total)] if total else []
-    return out.select(*cols, (F.col("_r") + F.col("_pk")).cast("bigint").alias(name), *extra)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = materialize(df.repartitionByRange(parts, *by, "_ord", *ties).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = df.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_k"))
+    w = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_k").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*by, "_part", before.alias("_before"), F.sum("_k").over(w).alias("_all"))
+    out = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_ord", *ties))).join(sizes, [*by, "_part"])
+    extra = [F.col("_all").alias(total)] if total else []
+    return out.select(*cols, (F.col("_r") + F.col("_before")).cast("bigint").alias(name), *extra)
 
 
 def hash_rank(
