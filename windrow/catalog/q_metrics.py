@@ -217,14 +217,18 @@ def cross_group_verify(spark, d):
     return rounded(cross(spark, d))
 
 
+def weights_sql(keys="entity"):
+    """CTE bw of ``per`` (v and the keys): Poisson weights w of 200 resamples b."""
+    return f"""bw AS (SELECT *, list_sum(list_transform({list(mt.POISSON)}, lambda t: (u >= t)::INT)) AS w FROM (
+  SELECT *, ('0x' || substr(md5(concat_ws(':', '42-boot', {keys}, b)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT *, unnest(range(1, 201)) AS b FROM per)))"""
+
+
 @query(
     "cross_group_summary",
     f"""WITH {CROSS}, {roc_sql("ss", "kind, entity, enroll_grp, query_grp", "s")},
     per AS (SELECT kind, entity, avg(auroc) AS v FROM roc_m WHERE n_neg >= 10 AND n_pos > 0 GROUP BY ALL),
-    slots AS (SELECT kind, v, row_number() OVER (PARTITION BY kind ORDER BY md5(concat_ws(':', '42-slot', kind, entity)), entity) AS s, count(*) OVER (PARTITION BY kind) AS n FROM per),
-    draws AS (SELECT kind, s, n, unnest(range(1, 201)) AS b FROM slots),
-    dd AS (SELECT kind, b, ('0x' || substr(md5(concat_ws(':', '42-boot', b, s)), 1, 8))::BIGINT % n + 1 AS s FROM draws),
-    ms AS (SELECT kind, b, avg(v) AS m FROM dd JOIN slots USING (kind, s) GROUP BY kind, b),
+    {weights_sql("kind, entity")},
+    ms AS (SELECT kind, b, sum(w * v) / sum(w) AS m FROM bw GROUP BY kind, b HAVING sum(w) > 0),
     ci AS (SELECT kind, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM ms GROUP BY kind)
     SELECT kind, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(any_value(lo), 6) + 0.0 AS lo, round(any_value(hi), 6) + 0.0 AS hi FROM per JOIN ci USING (kind) GROUP BY kind""",
 )
@@ -233,10 +237,8 @@ def cross_group_summary(spark, d):
     return rounded(mt.cluster_bootstrap(cross(spark, d), "entity", "auroc", 200, by=["kind"]))
 
 
-BOOT = """slots AS (SELECT entity, v, row_number() OVER (ORDER BY md5(concat_ws(':', '42-slot', entity)), entity) AS s, count(*) OVER () AS n FROM per),
-draws AS (SELECT s, n, unnest(range(1, 201)) AS b FROM slots),
-dd AS (SELECT b, ('0x' || substr(md5(concat_ws(':', '42-boot', b, s)), 1, 8))::BIGINT % n + 1 AS s FROM draws),
-ms AS (SELECT b, avg(v) AS m FROM dd JOIN slots USING (s) GROUP BY b),
+BOOT = f"""{weights_sql()},
+ms AS (SELECT b, sum(w * v) / sum(w) AS m FROM bw GROUP BY b HAVING sum(w) > 0),
 boot AS (SELECT (SELECT count(*) FROM per) AS n, (SELECT avg(v) FROM per) AS mean, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM ms)"""
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..functions.hashing import hash_draw
+from ..functions.hashing import hash_draw, hash_uint
 from ..plans.blocks import block_grid, count_better, nearest, similarity
 from ..plans.ordered import exact_quantiles, hash_rank, hash_top_n, running_totals, top_n
 from ..plans.stage import materialize
@@ -293,20 +294,26 @@ def cross_group_verify(
     return out.filter((F.col("n_neg") >= min_n) & F.col("auroc").isNotNull())
 
 
+#: A uniform number at or over the first k of these stands for a Poisson(1) count of k or more.
+POISSON = tuple(round(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)), 12) for k in range(9))
+
+
 def cluster_bootstrap(
     df: DataFrame, entity: str = "entity", value: str = "value", B: int = 2000, seed: int = 42, by: Sequence[str] = ()
 ) -> DataFrame:
     """95 % interval of the mean over entities, resampling entities: by, n, mean, lo, hi.
 
-    An entity row is a slot; slot s of resample b draws an entity number by hash, and the
-    draws meet the values in one equi-join that is averaged map-side.
+    Every entity gets a Poisson(1) weight in each of the B resamples, by hash of the entity and the resample's number, in
+    place of drawing as many entities with repetition. No draw moves: weighted sums are formed where the entities lie, and only
+    B rows of each task are shuffled.
     """
     by = list(by)
-    per = df.groupBy(*by, entity).agg(F.avg(value).alias("_v"))
-    per = materialize(hash_rank(per, by, [*by, entity], f"{seed}-slot", "_s", "_E"), "slots")
-    draws = per.select(*by, "_s", "_E", F.explode(F.sequence(F.lit(1), F.lit(B))).alias("_b"))
-    draws = draws.select(*by, "_b", (hash_draw(f"{seed}-boot", F.col("_E"), "_b", "_s") + 1).alias("_s"))
-    means = draws.join(per.select(*by, "_s", "_v"), [*by, "_s"]).groupBy(*by, "_b").agg(F.avg("_v").alias("_m"))
+    per = materialize(df.groupBy(*by, entity).agg(F.avg(value).alias("_v")), "entities")
+    boot = per.select(*by, entity, "_v", F.explode(F.sequence(F.lit(1), F.lit(B))).alias("_b"))
+    u = hash_uint(f"{seed}-boot", *by, entity, "_b") / F.lit(float(1 << 32))
+    weight = sum((F.when(F.col("_u") >= t, 1).otherwise(0) for t in POISSON), F.lit(0))
+    boot = boot.withColumn("_u", u).select(*by, "_b", "_v", weight.alias("_w"))
+    means = boot.groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m")).filter("_m IS NOT NULL")
     ci = means.groupBy(*by).agg(
         F.percentile("_m", F.lit(0.025)).alias("lo"), F.percentile("_m", F.lit(0.975)).alias("hi")
     )
