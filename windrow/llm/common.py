@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, where the session has Spark's defaults: texts are long, and a task holds a batch several times."""
+    for key, default, small in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
+    ):
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, small)
+
+
 def shared(df: DataFrame, name: str) -> DataFrame:
     """Write to the cluster's shared folder and read back: cuts the lineage, survives lost executors."""
     return materialize(df, name)

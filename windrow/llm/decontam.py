@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels
-from .common import FILTER_WORDS, bloom, only_with, shared
+from .common import FILTER_WORDS, bloom, bounded_batches, only_with, shared
 from .neardup import row_key
 
 
@@ -74,6 +74,7 @@ def found_items(docs: DataFrame, items: DataFrame, window: int = 13, size: int =
     it lets pass in vain ends in the join. Null texts have no words.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     wins = shared(item_windows(items, window, size).drop("item_id").groupBy("words", "n", "k").agg(F.first("shingles").alias("shingles")), "windows")
     sizes = sorted(r.k for r in wins.select("k").distinct().collect())  # at most ``size``
     each = wins.select("words", "n", "k", F.posexplode("shingles").alias("place", "h"))

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 8, 8
@@ -161,6 +163,7 @@ def identify(docs: DataFrame, net: Net | None, text: str = "text") -> DataFrame:
     The score is the mean probability over windows, weighted by their bytes. ``und`` with score 0 for null texts,
     texts without a letter, and if nothing was there to learn from. Existing columns of these names are replaced.
     """
+    bounded_batches(docs.sparkSession)
     out = docs.drop("lang_pred", "score")
     names = out.columns
     at = names.index(text)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import attach, fresh, only_with, shared
+from .common import attach, bounded_batches, fresh, only_with, shared
 from .graph import components, joined
 
 BANDS, BAND_ROWS = 32, 5
@@ -114,6 +114,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, size: int = 2, text:
 
     Runs jobs while it is built: tables in the shared folder cut the lineage.
     """
+    bounded_batches(docs.sparkSession)
     sig = shared(signatures(docs, text, size), "signatures")
     total = sig.count()
     classes = shared(

@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared
+from .common import bounded_batches, shared
 
 END = 2
+#: Pieces of text whose ids a worker process remembers (about 200 bytes each).
+MEMORY = 200_000
 #: Items that one task packs at a time. Each group leaves one sequence partly filled at most, so the loss is about one in GROUP / 2.
 GROUP = 8192
 
@@ -34,6 +36,7 @@ def encoder(path: str | None):
 def _encoder(path: str | None):
     import json
     from array import array
+    from functools import cache
 
     import tiktoken
     from tokenizers import Tokenizer
@@ -42,8 +45,12 @@ def _encoder(path: str | None):
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    @cache  # seldom needed, and large
+    def whole() -> Tokenizer:
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        return t
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     printable = [b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)]
@@ -63,7 +70,7 @@ def _encoder(path: str | None):
         def __missing__(self, piece: str) -> bytes:
             if not piece or piece.strip() != piece:  # white space beside a space
                 raise LookupError
-            if len(self) > 600_000:
+            if len(self) > MEMORY:
                 self.clear()
             ids = self[piece] = raw(fast.encode_ordinary(" " + piece))
             return ids
@@ -77,7 +84,7 @@ def _encoder(path: str | None):
                 raise LookupError
             return raw(fast.encode_ordinary(head)) + b"".join([memory[p] for p in pieces])
         except LookupError:
-            return raw(whole.encode(text, add_special_tokens=False).ids)
+            return raw(whole().encode(text, add_special_tokens=False).ids)
 
     return encode
 
@@ -88,6 +95,7 @@ def pieces(docs: DataFrame, size: int = 1024, tokenizer: str | None = None, text
     Only longer documents are cut, into pieces of exactly ``size`` behind a first one that takes the remainder.
     A null or empty text is one piece of the end id alone. ``ids_crc32`` is over the ids as little-endian 32 bits.
     """
+    bounded_batches(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches):

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_with, shared
+from .common import bounded_batches, only_with, shared
 from .neardup import row_key
 
 
@@ -127,6 +127,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: s
     fetched (behind a filter of fixed size); rules without scan every text. Null and empty texts have no spans;
     rows equal in doc_id and text have the same spans. Overlaps between rules stay.
     """
+    bounded_batches(docs.sparkSession)
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not None}
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key(text).alias("row_key"), F.col(text).cast("string").alias("text"))
