@@ -80,6 +80,20 @@ def test_personal_data_equals_a_plain_scan(spark, sf, ugly, nothing):
     assert pii.personal_data(nothing, None).count() == 0 and pii.train(nothing) is None
 
 
+def test_rules_in_linear_time_find_the_same():
+    import random
+    import time
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        t = "".join(rng.choice("ab1@..-+ 2(9_") for _ in range(rng.randint(0, 60)))
+        assert pii.base_spans(t) == [(a, rank, e) for a, rank, _, e in personal(t)], t
+    t0 = time.time()
+    long = "a" * 300_000 + "@ " + "7" * 300_000 + " 000000255.1.1.1 " + "9" * 6000 + ".1.1.1 x@y.zz"
+    assert [long[a:e] for a, _, e in pii.base_spans(long)] == ["000000255.1.1.1", "x@y.zz"]
+    assert time.time() - t0 < 5
+
+
 def test_repeated_tokens_share_their_label():
     """A token that is unclear by itself takes the label of its clear repeats, through the skip links."""
     import numpy as np
