@@ -249,7 +249,9 @@ def _decide(met: DataFrame, keys: list[str], similarity: int, size: int) -> Data
                 v.append(ids[j])
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
-    return met.groupBy(*keys).applyInArrow(run, "u binary, v binary")
+    # The work is in Python, and much for few bytes: use every shuffle partition.
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(parts, *keys).groupBy(*keys).applyInArrow(run, "u binary, v binary")
 
 
 def one_of_each(docs: DataFrame, similarity: int = 80, size: int = 5, text: str = "text") -> DataFrame:
