@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Training bounds: pages, and trees of the model with their depth and bins.
 TRAIN_PAGES = 400
 TREES, DEPTH, BINS, RATE = 40, 4, 24, 0.25
@@ -295,8 +297,12 @@ def training_table(pages: list[str], seed: int = 11) -> tuple[np.ndarray, np.nda
 def train(pages: DataFrame, html: str = "html", id_col: str = "page_id") -> Boosted | None:
     """Fit on the TRAIN_PAGES pages of least hash among those whose markup tells the article; None without any."""
     own = pages.where(f"`{html}` rlike '(?i)<(article|main)[ >]'").select(F.xxhash64(F.lit("html"), id_col).alias("draw"), F.col(html).alias("html"))
-    got = own.where(F.length("html") < 200_000).orderBy("draw", "html").limit(TRAIN_PAGES).select("html").collect()
-    x, y, w = training_table([r.html for r in got])
+    own = own.where(F.length("html") < 200_000)
+    cut = own.select("draw").orderBy("draw").limit(TRAIN_PAGES).agg(F.max("draw")).first()[0]  # hashes alone come from every task
+    if cut is None:
+        return None
+    got = own.where(F.col("draw") <= cut).limit(2 * TRAIN_PAGES).select("html").collect()
+    x, y, w = training_table(sorted(r.html for r in got))
     return boost(x, y, w) if len(y) and 0 < y.mean() < 1 else None
 
 
@@ -308,6 +314,7 @@ def extract(pages: DataFrame, model: Boosted | None, html: str = "html", id_col:
     """
     from pyspark.sql.types import StringType, StructType
 
+    bounded_batches(pages.sparkSession)
     src = pages.drop("text")
     at = src.columns.index(html)
 
