@@ -1,4 +1,4 @@
-"""Model-based queries. Forests and boosted trees have no SQL twin; small settings keep them quick."""
+"""Model-based queries. Forests and boosted trees have no SQL twin. identifiability, cross_group_transfer, residualize and embed_map still have small settings (README)."""
 
 from pyspark.sql import functions as F
 
@@ -39,13 +39,13 @@ def group_kfold(spark, d):
 
 @query("leakage_probe")
 def leakage_probe(spark, d):
-    return rounded(ml.leakage_probe(c.stats(spark, d), STAT_NAMES, "grp", "entity", **SMALL))
+    return rounded(ml.leakage_probe(c.stats(spark, d), STAT_NAMES, "grp", "entity"))
 
 
 @query("source_probe")
 def source_probe(spark, d):
     st = c.stats(spark, d).withColumn("src", F.when(F.col("route") % 2 == 0, "low").otherwise("high"))
-    return rounded(ml.source_probe(st, STAT_NAMES, "src", "entity", 20, **SMALL))
+    return rounded(ml.source_probe(st, STAT_NAMES, "src", "entity", 20))
 
 
 @query("identifiability")
@@ -56,7 +56,7 @@ def identifiability(spark, d):
 
 @query("importances")
 def importances(spark, d):
-    return rounded(ml.importances(c.stats(spark, d), STAT_NAMES, "scenario", 10, 5))
+    return rounded(ml.importances(c.stats(spark, d), STAT_NAMES, "scenario"))
 
 
 @query("cross_group_transfer")
@@ -84,12 +84,12 @@ def residualize_means(spark, d):
 
 @query("linear_probe")
 def linear_probe(spark, d):
-    return rounded(ml.linear_probe(emb(spark, d), "vec", "entity", iters=20))
+    return rounded(ml.linear_probe(emb(spark, d), "vec", "entity"))
 
 
 @query("probe_contrast")
 def probe_contrast(spark, d):
-    return rounded(ml.probe_contrast(emb(spark, d), "vec", ["entity", "route", "grp"], iters=10))
+    return rounded(ml.probe_contrast(emb(spark, d), "vec", ["entity", "route", "grp"]))
 
 
 @query("embed_map")
@@ -110,7 +110,7 @@ def anchor_table(spark, d):
 def forecast_events(spark, d):
     f, a = anchor_table(spark, d)
     folds = cu.entity_folds(a, few=0.0, test=0.3, val=0.0)
-    scored = c.stage(spark, "forecast", d, lambda: ml.forecast_events(a, f, folds, 5, "logistic", 10))
+    scored = c.stage(spark, "forecast", d, lambda: ml.forecast_events(a, f, folds, 5))
     slices = {"all": F.lit(True), "near": (F.col("y") == 0) | (F.col("lead") <= 2), "far": (F.col("y") == 0) | (F.col("lead") > 2)}
     au = mt.sliced_auroc(scored, slices, min_pos=20)
     ap = mt.average_precision(mt.with_slices(scored, slices), "score", "y", ["slice"])
