@@ -30,6 +30,50 @@ def text_chunks(column, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarr
         a = b
 
 
+def gathered(batches, text: int, limit: int) -> Iterator[list]:
+    """The columns of consecutive Arrow batches as whole arrays, of about ``limit`` bytes of column ``text`` or one larger batch."""
+    import pyarrow as pa
+
+    def whole(held):
+        names = range(held[0].num_columns)
+        large = [[pa.array(b.column(i).cast(pa.large_string())) if i == text else b.column(i) for b in held] for i in names]
+        return [pa.chunked_array(c).combine_chunks() for c in large]
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(text).nbytes
+        if size >= limit:
+            yield whole(held)
+            held, size = [], 0
+    if held:
+        yield whole(held)
+
+
+def masked_runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true bytes; no run goes over the end of a text."""
+    start, end = mask.copy(), mask.copy()
+    if len(mask):
+        start[1:] &= ~mask[:-1]
+        end[:-1] &= ~mask[1:]
+        cut = off[(off > 0) & (off < len(mask))]
+        start[cut] = mask[cut]
+        end[cut - 1] = mask[cut - 1]
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def string_array(data: np.ndarray, s: np.ndarray, e: np.ndarray):
+    """The byte ranges of valid UTF-8 as an Arrow array of strings."""
+    import pyarrow as pa
+
+    size = (e - s).astype(np.int64)
+    at = np.zeros(len(s) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    own = data[np.repeat(s - at[:-1], size) + np.arange(at[-1])]
+    return pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(at), pa.py_buffer(own))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = h ^ (h >> np.uint64(31))
