@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, dedup, html, langid, licenses, neardup, packing, pii, secrets
+from . import chat, decontam, dedup, html, langid, licenses, neardup, packing, phrases, pii, secrets, spelling, topk
 from .common import table
 
 QUERIES = {}
@@ -205,3 +205,68 @@ j AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN j USING (doc_id)
 """
+
+
+@query
+def op11_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_phrase_collocation"] = rf"""
+WITH p AS (SELECT lang, doc_id, row_number() OVER () AS r, piece FROM (SELECT coalesce(lang, 'und') AS lang, doc_id,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, ws[i:i + m - 1] AS words, count(*) AS f
+      FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(ws) >= m) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE m > 1 AND f >= 10),
+cut AS (SELECT lang, m, words, f, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT cut.lang, cut.m, cut.words, cut.f AS a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * cut.f * cut.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM cut JOIN g x ON x.lang = cut.lang AND x.words = cut.words[1:k] JOIN g y ON y.lang = cut.lang AND y.words = cut.words[k + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+long AS (SELECT lang, words, f FROM c WHERE m = 3),
+inner2 AS (SELECT lang, words[1:2] AS words, f FROM long UNION ALL SELECT lang, words[2:3], f FROM long),
+top AS (SELECT lang, words, max(f) AS most FROM inner2 GROUP BY ALL),
+o AS (SELECT b.lang, array_to_string(b.words, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN top ON top.lang = b.lang AND top.words = b.words WHERE NOT coalesce(100 * most >= 50 * a, false)),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM k JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLES["op12_spelling_variants"] = rf"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{UPPER}', '{LOWER}') AS run FROM documents),
+o AS (SELECT doc_id, run, count(*) AS n FROM d WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT doc_id, run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS bytes FROM o),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(bytes, lambda x: x::BIGINT)), lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+r AS (SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM r WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+k AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM k a JOIN k b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+      UNION SELECT DISTINCT k.word, w.word, w.n FROM k JOIN w ON k.less = w.word
+      UNION SELECT DISTINCT w.word, k.word, k.n FROM k JOIN w ON k.less = w.word),
+g AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS best, max(other_n) AS most FROM p GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n THEN best END AS form, CASE WHEN most >= 5 * n THEN most END AS form_n FROM w LEFT JOIN g USING (word)),
+u AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT u.word, f.word, f.form FROM u JOIN f ON u.next = f.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN u ON u.word = f.word AND u.next IS NULL
+"""
+
+
+@query
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_topk_search"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
