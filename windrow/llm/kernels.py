@@ -64,13 +64,15 @@ def masked_runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def string_array(data: np.ndarray, s: np.ndarray, e: np.ndarray):
-    """The byte ranges of valid UTF-8 as an Arrow array of strings."""
+    """Byte ranges of valid UTF-8, in order and apart from each other, as an Arrow array of strings."""
     import pyarrow as pa
 
-    size = (e - s).astype(np.int64)
+    step = np.zeros(len(data) + 1, np.int8)
+    step[s] += 1
+    step[e] -= 1  # ranges that touch cancel out
     at = np.zeros(len(s) + 1, np.int64)
-    np.cumsum(size, out=at[1:])
-    own = data[np.repeat(s - at[:-1], size) + np.arange(at[-1])]
+    np.cumsum(e - s, out=at[1:])
+    own = data[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
     return pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(at), pa.py_buffer(own))
 
 

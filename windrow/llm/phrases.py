@@ -16,30 +16,59 @@ from .decontam import _filter, _passes
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 UNKNOWN = "und"
 #: Bytes of text whose phrases a task counts before it sends them on.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
+
+
+def _finder() -> tuple[np.ndarray, kernels.Words]:
+    """The kind of each byte (0 of a word, 1 between words, 2 between pieces), and what finds and hashes words."""
+    kind = np.zeros(256, np.uint8)
+    kind[list(BLANKS)], kind[list(BREAKS)] = 1, 2
+    return kind, kernels.Words(kind == 0)
+
+
+def _salts(names) -> np.ndarray:
+    return np.array([zlib.crc32(x.encode()) for x in names.to_pylist()], np.uint64) << np.uint64(17)
+
+
+def _word_hashes(finder: kernels.Words, words) -> np.ndarray:
+    """Hashes of the strings of an Arrow array."""
+    off = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return finder.hashes(np.frombuffer(words.buffers()[2] or b"", np.uint8), off[:-1], off[1:])
+
+
+def _hashed(batches):
+    """(lang, phrase) to h, the hash of a phrase of a language that the filter holds."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    _, finder = _finder()
+    for batch in batches:
+        if batch.num_rows:
+            names = batch.column(0).dictionary_encode()
+            words = pc.split_pattern(batch.column(1).cast(pa.large_string()), " ")
+            size = np.diff(np.asarray(words.offsets))
+            each = words.flatten().dictionary_encode()
+            h = _word_hashes(finder, each.dictionary)[each.indices.to_numpy()]
+            h = kernels.shingles(kernels.mix(h ^ np.repeat(_salts(names.dictionary)[names.indices.to_numpy()], size)), int(size[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(h[np.cumsum(size) - size].view(np.int64))], names=["h"])
 
 
 def _tally(n: int, usual):
     """Counts of the n-word phrases of which both parts of n - 1 words pass the filter ``usual`` (n = 1: of all words).
 
-    Yields lang, phrase (words with one space between), h (a hash of both, for the next filter), f. For n = 1 a row without
-    phrase has the number of words of the language.
+    Yields lang, phrase (words with one space between), f. For n = 1 a row without phrase has the number of words of the language.
     """
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        kind = np.zeros(256, np.uint8)
-        kind[list(BLANKS)], kind[list(BREAKS)] = 1, 2
+        kind, finder = _finder()
         low = np.arange(256, dtype=np.uint8)
         low[65:91] += 32
-        finder = kernels.Words(kind == 0)
-        bits = usual.value if usual is not None else None
         for langs, texts in kernels.gathered(batches, 1, BLOCK):
             names = langs.dictionary_encode()
-            salt = np.array([zlib.crc32(x.encode()) for x in names.dictionary.to_pylist()], np.uint64) << np.uint64(17)
-            of_row = names.indices.to_numpy()
+            of_row, salt = names.indices.to_numpy(), _salts(names.dictionary)
             for a, b, off, data in kernels.text_chunks(texts, BLOCK):
                 data = low[data]
                 s, e, first = finder.find(off, data)
@@ -51,14 +80,15 @@ def _tally(n: int, usual):
                 linked = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
                 lang = of_row[row]
                 words = kernels.string_array(data, s, e).dictionary_encode()
-                code, spelled = words.indices.to_numpy().astype(np.int64), words.dictionary
-                h = kernels.mix(finder.hashes(data, s, e) ^ salt[lang])
+                code, spelled = words.indices.to_numpy(), words.dictionary
                 whole = np.ones(size, bool)
                 for j in range(n - 1):
                     whole &= linked[j : j + size]
                 if n > 1:
-                    good = _passes(bits, kernels.shingles(h, n - 1))
+                    h = kernels.mix(_word_hashes(finder, spelled)[code] ^ salt[lang])
+                    good = _passes(usual.value, kernels.shingles(h, n - 1))
                     whole &= good[:size] & good[1 : size + 1]
+                    h = good = None
                 at = np.flatnonzero(whole)
                 key = lang[at].astype(np.int64)
                 for j in range(n):
@@ -67,15 +97,14 @@ def _tally(n: int, usual):
                     key = key * len(spelled) + code[at + j]
                 _, where, f = np.unique(key, return_index=True, return_counts=True)
                 at = at[where]
-                h = kernels.shingles(h, n)
                 phrase = [spelled.take(pa.array(code[at + j])) for j in range(n)]
                 phrase = phrase[0] if n == 1 else pc.binary_join_element_wise(*phrase, pa.scalar(" ", pa.large_string()))
-                cols = [names.dictionary.take(pa.array(lang[at])), phrase.cast(pa.large_string()), pa.array(h[at].view(np.int64)), pa.array(f.astype(np.int64))]
+                cols = [names.dictionary.take(pa.array(lang[at])), phrase.cast(pa.large_string()), pa.array(f.astype(np.int64))]
                 if n == 1:
                     who, total = np.unique(lang, return_counts=True)
-                    more = [names.dictionary.take(pa.array(who)), pa.nulls(len(who), pa.large_string()), pa.array(np.zeros(len(who), np.int64)), pa.array(total.astype(np.int64))]
+                    more = [names.dictionary.take(pa.array(who)), pa.nulls(len(who), pa.large_string()), pa.array(total.astype(np.int64))]
                     cols = [pa.concat_arrays([x.cast(y.type), y]) for x, y in zip(cols, more)]
-                yield from pa.table(dict(zip(("lang", "phrase", "h", "f"), cols))).to_batches(max_chunksize=1 << 16)
+                yield from pa.table(dict(zip(("lang", "phrase", "f"), cols))).to_batches(max_chunksize=1 << 16)
 
     return run
 
@@ -91,15 +120,14 @@ def counts(docs: DataFrame, longest: int, least: int, text: str = "text", lang:
     src = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     usual, streams, totals = None, [], None
     for n in range(1, longest + 1):
-        part = src.mapInArrow(_tally(n, usual), "lang string, phrase string, h bigint, f bigint")
-        total = part.groupBy("lang", "phrase").agg(F.max("h").alias("h"), F.sum("f").alias("f"))
+        total = src.mapInArrow(_tally(n, usual), "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
         total = shared(total.where(F.col("phrase").isNull() | (F.col("f") >= least)), f"phrases_{n}")
         known = total.where("phrase IS NOT NULL")
         if n == 1:
             totals = total.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
         streams.append(known.select("lang", F.split("phrase", " ").alias("words"), "f"))
         if n < longest:
-            usual = spark.sparkContext.broadcast(_filter(known.select("h")))
+            usual = spark.sparkContext.broadcast(_filter(known.select("lang", "phrase").mapInArrow(_hashed, "h bigint")))
     out = streams[0]
     for x in streams[1:]:
         out = out.unionByName(x)
