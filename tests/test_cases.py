@@ -276,3 +276,23 @@ def test_normal_nll(spark):
     assert abs(distance.gaussian_nll(df, "y", "m", "v").collect()[0].nll - want) < 1e-12
     mix = df.select("y", F.lit([3.0]).alias("w"), F.array("m").alias("m"), F.array("v").alias("v"))
     assert abs(distance.mixture_nll(mix, "y", "w", "m", "v").collect()[0].nll - want) < 1e-12
+
+
+def test_resampling_needs_both_neighbours(spark):
+    from windrow.operators import resample
+
+    rows = [("k", i, None if i == 2 else float(i * i)) for i in range(6) if i != 4]
+    df = spark.createDataFrame(rows, "entity string, idx bigint, value double")
+    got = {r.i: r.v for r in resample._resampled(df, ["entity"], 11, "idx", "value").collect()}
+    assert [got.get(i) for i in range(11)] == [0.0, 0.5, 1.0, None, None, None, 9.0, None, None, None, 25.0]
+
+
+def test_steering_onsets(spark):
+    from windrow.operators import detect
+
+    k = [0.0, 0.0, 0.001, 0.0, 0.03, 0.03, 0.0, 0.0, 0.0, 0.0, 0.05]
+    f = spark.createDataFrame([("w", i, v) for i, v in enumerate(k)], "win_id string, pos bigint, actual_curvature double")
+    t = {r.pos: round(r.turning, 6) for r in detect.turning(f).collect()}
+    assert [t[i] for i in (0, 2, 4, 5, 6, 10)] == [0.0, -0.001, -0.03, 0.0, -0.03, -0.05]
+    on = detect.calm_cross(detect.turning(f), "turning", -0.02, -0.01, 3, ["win_id"], "pos", None)
+    assert sorted(r.onset for r in on.collect()) == [4, 10]

@@ -6,10 +6,10 @@ import pytest
 
 from windrow.catalog import QUERIES, q_ml
 
-SETTINGS = {"k", "trees", "depth", "iters", "model"}
+SETTINGS = {"k", "trees", "depth", "iters", "model", "pca", "rows", "min_routes", "min_windows", "min_shared"}
 
 
-@pytest.mark.parametrize("name", ["leakage_probe", "source_probe", "importances", "linear_probe", "probe_contrast", "forecast_events"])
+@pytest.mark.parametrize("name", ["leakage_probe", "source_probe", "identifiability", "cross_group_transfer", "residualize", "embed_map", "importances", "linear_probe", "probe_contrast", "forecast_events"])
 def test_settings_are_the_defaults(monkeypatch, spark, sf, name):
     real = getattr(q_ml.ml, name)
     sig, seen = inspect.signature(real), {}

@@ -295,19 +295,25 @@ def calm_cross(spark, d):
     return dt.calm_cross(c.sig(spark, d), "aEgo", w=COARSE["calm_w"])
 
 
-ANCHORS = f"""{WF}, onsets AS ({calm_sql("wf", "win_id", "pos")}),
-pos_a AS (SELECT win_id, onset, lead, onset - lead AS a, 1::BIGINT AS y FROM (SELECT *, unnest([1, 2, 3, 4, 5]::BIGINT[]) AS lead
+#: A quick change of curvature after calm steering: thresholds of the fixture's steps of 0.005 a frame.
+STEER = dict(thr=-0.027, calm=-0.022)
+
+ANCHORS = f"""{WF}, turn AS (SELECT win_id, pos, -abs(actual_curvature - coalesce(lag(actual_curvature) OVER (PARTITION BY win_id ORDER BY pos), actual_curvature)) AS turning FROM wf),
+onsets AS (SELECT *, 'brake' AS kind FROM ({calm_sql("wf", "win_id", "pos")}) UNION ALL SELECT *, 'steer' FROM ({calm_sql("turn", "win_id", "pos", "turning", **STEER)})),
+pos_a AS (SELECT win_id, kind, onset, lead, onset - lead AS a, 1::BIGINT AS y FROM (SELECT *, unnest([1, 2, 3, 4, 5]::BIGINT[]) AS lead
   FROM onsets WHERE onset >= 6) WHERE onset - lead >= 5)"""
 
 
 def anchors(f):
-    onsets = dt.calm_cross(f, "aEgo", w=COARSE["calm_w"], keys=dt.WIN, order="pos", chunk=None)
+    brake = dt.calm_cross(f, "aEgo", w=COARSE["calm_w"], keys=dt.WIN, order="pos", chunk=None)
+    steer = dt.calm_cross(dt.turning(f), "turning", w=COARSE["calm_w"], keys=dt.WIN, order="pos", chunk=None, **STEER)
+    onsets = brake.withColumn("kind", F.lit("brake")).unionByName(steer.withColumn("kind", F.lit("steer")))
     return onsets, dt.positive_anchors(onsets, hist=5, leads=(1, 2, 3, 4, 5), margin=1)
 
 
-@query("positive_anchors", f"WITH {ANCHORS} SELECT win_id, onset, lead, a, y FROM pos_a")
+@query("positive_anchors", f"WITH {ANCHORS} SELECT win_id, kind, onset, lead, a, y FROM pos_a")
 def positive_anchors(spark, d):
-    return anchors(c.win_frames(spark, d))[1].select("win_id", "onset", "lead", "a", "y")
+    return anchors(c.win_frames(spark, d))[1].select("win_id", "kind", "onset", "lead", "a", "y")
 
 
 NEGATIVES = f"""{ANCHORS},

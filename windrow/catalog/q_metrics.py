@@ -218,9 +218,9 @@ def cross_group_verify(spark, d):
 
 
 def weights_sql(keys="entity"):
-    """CTE bw of ``per`` (v and the keys): Poisson weights w of 200 resamples b."""
+    """CTE bw of ``per`` (v and the keys): Poisson weights w of 2000 resamples b."""
     return f"""bw AS (SELECT *, list_sum(list_transform({list(mt.POISSON)}, lambda t: (u >= t)::INT)) AS w FROM (
-  SELECT *, ('0x' || substr(md5(concat_ws(':', '42-boot', {keys}, b)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT *, unnest(range(1, 201)) AS b FROM per)))"""
+  SELECT *, ('0x' || substr(md5(concat_ws(':', '42-boot', {keys}, b)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT *, unnest(range(1, 2001)) AS b FROM per)))"""
 
 
 @query(
@@ -234,7 +234,7 @@ def weights_sql(keys="entity"):
 )
 def cross_group_summary(spark, d):
     """Mean over entities and its interval, across groups and within one (the control)."""
-    return rounded(mt.cluster_bootstrap(cross(spark, d), "entity", "auroc", 200, by=["kind"]))
+    return rounded(mt.cluster_bootstrap(cross(spark, d), "entity", "auroc", by=["kind"]))
 
 
 BOOT = f"""{weights_sql()},
@@ -248,7 +248,7 @@ boot AS (SELECT (SELECT count(*) FROM per) AS n, (SELECT avg(v) FROM per) AS mea
 )
 def cluster_bootstrap(spark, d):
     o = tb.table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), (F.col("o_totalprice") / 50000).alias("value"))
-    return rounded(mt.cluster_bootstrap(o, B=200))
+    return rounded(mt.cluster_bootstrap(o))
 
 
 EVP = """ep AS (SELECT event_type AS y, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pred, user_id, ts FROM events),
@@ -460,15 +460,19 @@ def kl_hist(spark, d):
     return rounded(ds.kl_hist(ab(spark, d), ["grp"]))
 
 
-@query(
-    "mmd_rbf",
-    f"""WITH {AB}, v AS (SELECT grp, x, count(*) FILTER (WHERE side = 0) AS na, count(*) FILTER (WHERE side = 1) AS nb, count(*) AS w FROM ab GROUP BY ALL),
+#: CTEs k (grp, xx, yy, xy: kernel sums) and t (grp, a, b: sizes) of ``ab`` (grp, x, side).
+MMD = """v AS (SELECT grp, x, count(*) FILTER (WHERE side = 0) AS na, count(*) FILTER (WHERE side = 1) AS nb, count(*) AS w FROM ab GROUP BY ALL),
     g AS (SELECT a.grp, abs(a.x - b.x) AS d, a.w * b.w AS w FROM v a JOIN v b ON a.grp = b.grp AND a.x < b.x),
     c AS (SELECT *, sum(w) OVER (PARTITION BY grp ORDER BY d) AS cum, sum(w) OVER (PARTITION BY grp) AS m FROM g),
     s AS (SELECT grp, (min(d) FILTER (WHERE cum > (m - 1) // 2) + min(d) FILTER (WHERE cum > m // 2)) / 2 + 1e-9 AS sigma FROM c GROUP BY grp),
     k AS (SELECT a.grp, sum(a.na * b.na * exp(-(a.x - b.x) * (a.x - b.x) / (2 * sigma * sigma))) AS xx, sum(a.nb * b.nb * exp(-(a.x - b.x) * (a.x - b.x) / (2 * sigma * sigma))) AS yy,
       sum(a.na * b.nb * exp(-(a.x - b.x) * (a.x - b.x) / (2 * sigma * sigma))) AS xy FROM v a JOIN v b ON a.grp = b.grp JOIN s ON s.grp = a.grp GROUP BY a.grp),
-    t AS (SELECT grp, sum(na)::DOUBLE AS a, sum(nb)::DOUBLE AS b FROM v GROUP BY grp)
+    t AS (SELECT grp, sum(na)::DOUBLE AS a, sum(nb)::DOUBLE AS b FROM v GROUP BY grp)"""
+
+
+@query(
+    "mmd_rbf",
+    f"""WITH {AB}, {MMD}
     SELECT grp, round(xx / (a * a) + yy / (b * b) - 2 * xy / (a * b), 6) + 0.0 AS mmd FROM k JOIN t USING (grp)""",
 )
 def mmd_rbf(spark, d):
@@ -503,6 +507,17 @@ def style_distance_kl(spark, d):
     return rounded(ds.style_distance(st.filter(F.col("route") % 2 == 0), st.filter(F.col("route") % 2 == 1), ["jerk_rms", "v_mean"], "kl"))
 
 
+@query(
+    "style_distance_mmd",
+    f"""WITH {STATS}, ab AS (SELECT concat_ws('|', scenario, feature) AS grp, x, side FROM (SELECT scenario, (route % 2)::INT AS side, unnest(['jerk_rms', 'v_mean']) AS feature,
+      unnest([jerk_rms, v_mean]) AS x FROM stats) WHERE x IS NOT NULL AND scenario IN (SELECT scenario FROM stats WHERE route % 2 = 1 GROUP BY scenario HAVING count(*) >= 20)),
+    {MMD} SELECT count(mmd) AS cells, round(avg(mmd), 6) + 0.0 AS distance FROM (SELECT xx / (a * a) + yy / (b * b) - 2 * xy / (a * b) AS mmd FROM k JOIN t USING (grp) WHERE a >= 5 AND b >= 5)""",
+)
+def style_distance_mmd(spark, d):
+    st = c.stats(spark, d)
+    return rounded(ds.style_distance(st.filter(F.col("route") % 2 == 0), st.filter(F.col("route") % 2 == 1), ["jerk_rms", "v_mean"], "mmd"))
+
+
 # ---- prediction quality: true acceleration against a generic and a personal constant -------
 
 PRED = f"""{SIG}, gm AS (SELECT grp, avg(aEgo) AS generic FROM sig WHERE route % 2 = 0 GROUP BY grp),
@@ -568,7 +583,7 @@ def stratified_rmse(spark, d):
     SELECT n, {rsel("mean lo hi")}, round((SELECT avg((v > 0)::INT) FROM per), 6) + 0.0 AS share_pos FROM boot""",
 )
 def gain_per_entity(spark, d):
-    return rounded(ds.gain_per_entity(query_err(spark, d), "rmse_g", "rmse_p", B=200))
+    return rounded(ds.gain_per_entity(query_err(spark, d), "rmse_g", "rmse_p"))
 
 
 @query(
@@ -613,7 +628,7 @@ def trajectory_stats(spark, d):
 
 @query(
     "history_future",
-    f"""WITH {ANCHORS}, a AS (SELECT win_id, a, a + unnest(range(-5, 5)) AS pos FROM (SELECT DISTINCT win_id, a FROM pos_a))
+    f"""WITH {ANCHORS}, a AS (SELECT win_id, a, a + k AS pos FROM (SELECT win_id, a, unnest(range(-5, 5)) AS k FROM (SELECT DISTINCT win_id, a FROM pos_a)))
     SELECT win_id, a, CASE WHEN pos < a THEN 'history' ELSE 'future' END AS part, CASE WHEN pos < a THEN pos - a + 6 ELSE pos - a + 1 END AS step, aEgo
     FROM a JOIN wf USING (win_id, pos)""",
 )

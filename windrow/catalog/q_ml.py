@@ -1,4 +1,4 @@
-"""Model-based queries. Forests and boosted trees have no SQL twin. identifiability, cross_group_transfer, residualize and embed_map still have small settings (README)."""
+"""Model-based queries, all with the operators' own settings. Forests and boosted trees have no SQL twin; what decides who takes part, and the linear models, do."""
 
 from pyspark.sql import functions as F
 
@@ -11,7 +11,18 @@ from .common import STATS, WF, query, rounded
 from .q_curate import emb
 from .q_detect import anchors, negatives
 
-SMALL = dict(k=3, trees=10, depth=5)
+#: The statistics by what they tell of, and the feature sets made of them.
+KINDS = {
+    "speed": ["v_mean", "stop_frac"], "input": ["steer_rate_rms", "brake_rate"], "path": ["curv_p95", "curv_rate_rms"], "long": ["decel_p05", "accel_p95", "jerk_rms"],
+    "follow": ["lead_frac", "thw_median"], "lane": ["lane_sdlp"],
+}
+SUBSETS = {
+    "all": STAT_NAMES, "input": KINDS["input"], "path": KINDS["path"], "lateral": KINDS["input"] + KINDS["path"], "long": KINDS["long"], "follow": KINDS["follow"],
+    "lane": KINDS["lane"], "no_speed": [f for f in STAT_NAMES if f not in KINDS["speed"]],
+}
+BEHAV = ["decel_p05", "accel_p95", "jerk_rms", "steer_rate_rms", "curv_rate_rms", "thw_median", "lane_sdlp", "brake_rate"]
+CONTEXT = ["v_mean", "stop_frac", "curv_p95", "lead_frac"]
+CATEGORIES = {"scenario": 30, "grp": 30}
 CHANNELS = ["vEgo", "aEgo", "steeringAngleDeg", "actual_curvature", "leadOne_dRel"]
 
 
@@ -50,8 +61,19 @@ def source_probe(spark, d):
 
 @query("identifiability")
 def identifiability(spark, d):
-    groups = {"path": ["curv_p95", "curv_rate_rms"], "long": ["decel_p05", "accel_p95", "jerk_rms"]}
-    return rounded(ml.identifiability(c.stats(spark, d).drop("span_id"), groups, "grp", ("entity", "route"), **SMALL))
+    return rounded(ml.identifiability(c.stats(spark, d), SUBSETS))
+
+
+ROUTE_FOLDS = f"""WITH {STATS}, r AS (SELECT grp, entity, route, count(*) AS n FROM stats GROUP BY ALL),
+    e AS (SELECT grp, entity, count(*) AS routes FROM r GROUP BY ALL HAVING count(*) >= 2 AND sum(n) >= 8),
+    g AS (SELECT grp, least(5, min(routes)) AS k FROM e GROUP BY grp HAVING count(*) > 1),
+    o AS (SELECT *, (row_number() OVER (PARTITION BY grp ORDER BY n DESC, entity, route) - 1) % (2 * k) AS a FROM r JOIN g USING (grp) SEMI JOIN e USING (grp, entity))
+    SELECT grp, entity, route, CASE WHEN a < k THEN a ELSE 2 * k - 1 - a END AS fold FROM o"""
+
+
+@query("route_folds", ROUTE_FOLDS)
+def route_folds(spark, d):
+    return ml.route_folds(c.stats(spark, d), "grp", "entity", "route")
 
 
 @query("importances")
@@ -59,17 +81,65 @@ def importances(spark, d):
     return rounded(ml.importances(c.stats(spark, d), STAT_NAMES, "scenario"))
 
 
+def by_phase(spark, d):
+    """Three groups that all entities share."""
+    return c.stats(spark, d).withColumn("grp", (F.col("route") % 3).cast("string"))
+
+
 @query("cross_group_transfer")
 def cross_group_transfer(spark, d):
-    st = c.stats(spark, d).withColumn("grp", (F.col("route") % 2).cast("bigint"))
-    st = st.withColumn("entity", F.expr("CAST(substring(entity, 2) AS INT) % 5"))
-    pairs = [(r["grp_a"], r["grp_b"]) for r in cu.shared_entity_pairs(st, 3, 2).collect()]  # pairs of groups
-    return rounded(ml.cross_group_transfer(st, STAT_NAMES, pairs, trees=10, depth=5))
+    return rounded(ml.cross_group_transfer(by_phase(spark, d), {"steering": KINDS["input"], "path": KINDS["path"], "all": STAT_NAMES}))
+
+
+@query(
+    "transfer_cases",
+    f"""WITH {STATS}, s AS (SELECT * REPLACE ((route % 3)::VARCHAR AS grp) FROM stats), cells AS (SELECT entity, grp FROM s GROUP BY ALL HAVING count(*) >= 3),
+    p AS (SELECT a.entity, a.grp AS grp_a, b.grp AS grp_b FROM cells a JOIN cells b ON a.entity = b.entity AND a.grp < b.grp),
+    q AS (SELECT grp_a, grp_b FROM p GROUP BY ALL HAVING count(*) >= 2)
+    SELECT grp_a, grp_b, grp, count(DISTINCT entity) AS entities, count(*) AS n FROM s JOIN p USING (entity) SEMI JOIN q USING (grp_a, grp_b) WHERE grp IN (grp_a, grp_b) GROUP BY ALL""",
+)
+def transfer_cases(spark, d):
+    return ml.transfer_cases(by_phase(spark, d)).groupBy("grp_a", "grp_b", "grp").agg(F.countDistinct("entity").alias("entities"), F.count(F.lit(1)).alias("n"))
+
+
+def residuals(spark, d):
+    return ml.residualize(c.stats(spark, d), BEHAV, CONTEXT, ["win_id", "entity", "grp"], CATEGORIES)
 
 
 @query("residualize")
 def residualize(spark, d):
-    return rounded(ml.residualize(c.stats(spark, d), ["jerk_rms", "decel_p05", "thw_median"], ["v_mean", "lead_frac", "stop_frac"], iters=5)[1])
+    return rounded(residuals(spark, d)[1])
+
+
+@query("residual_leakage")
+def residual_leakage(spark, d):
+    """Raw statistics against residuals: how well the group can be read from either, on unseen entities."""
+    rows = residuals(spark, d)[0]
+    return rounded(ml.leakage_by_set(rows, {"raw": BEHAV, "residual": ["r_" + b for b in BEHAV]}, "grp", "entity"))
+
+
+#: Least squares in SQL: the normal equations, solved column by column.
+NORMAL = f"""
+cats AS (SELECT list(DISTINCT scenario ORDER BY scenario) AS sc, list(DISTINCT grp ORDER BY grp) AS gr FROM stats),
+design AS (SELECT win_id, list_concat([1.0::DOUBLE, {", ".join(CONTEXT)}], list_transform(sc[2:], lambda v: (scenario = v)::INT::DOUBLE), list_transform(gr[2:], lambda v: (grp = v)::INT::DOUBLE)) AS x,
+  unnest({BEHAV}) AS stat, unnest([{", ".join(BEHAV)}]) AS y FROM stats, cats),
+known AS (SELECT stat, x, y, list_append(x, y) AS z FROM design WHERE y IS NOT NULL),
+cell AS (SELECT stat, i, j, sum(zi * z[j]) AS v FROM (SELECT stat, i, zi, z, unnest(range(1, len(z) + 1)) AS j FROM (SELECT stat, z, unnest(range(1, len(z))) AS i, unnest(z[:len(z) - 1]) AS zi FROM known)) GROUP BY ALL),
+rows_ AS (SELECT stat, i, list(v ORDER BY j) AS r FROM cell GROUP BY stat, i),
+mat AS (SELECT stat, list(r ORDER BY i) AS m FROM rows_ GROUP BY stat),
+solve AS (SELECT stat, 0 AS k, m FROM mat UNION ALL
+  SELECT stat, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / m[k + 1][k + 1])
+    ELSE list_transform(list_zip(r, m[k + 1]), lambda p: p[1] - r[k + 1] / m[k + 1][k + 1] * p[2]) END) FROM solve WHERE k < len(m)),
+beta AS (SELECT stat, list_transform(m, lambda r: r[len(r)]) AS b FROM solve WHERE k = len(m))"""
+
+
+@query(
+    "residualize_linear",
+    f"""WITH RECURSIVE {STATS}, {NORMAL}
+    SELECT stat, round(1 - sum((y - list_dot_product(x, b)) ^ 2) / (var_pop(y) * count(y)), 6) + 0.0 AS r2 FROM known JOIN beta USING (stat) GROUP BY stat""",
+)
+def residualize_linear(spark, d):
+    return rounded(ml.residualize_linear(c.stats(spark, d), BEHAV, CONTEXT, categories=CATEGORIES)[1])
 
 
 @query(
@@ -94,14 +164,14 @@ def probe_contrast(spark, d):
 
 @query("embed_map")
 def embed_map(spark, d):
-    return ml.embed_map(emb(spark, d), pca=8, k=4).drop("pc")
+    return ml.embed_map(emb(spark, d)).drop("pc")
 
 
 def anchor_table(spark, d):
     f = c.win_frames(spark, d)
     _, pos = anchors(f)
-    both = pos.select("win_id", "a", "y", "lead").unionByName(
-        negatives(spark, d, f).select("win_id", "a", "y", F.lit(None).cast("bigint").alias("lead"))
+    both = pos.select("win_id", "a", "y", "lead", "kind").unionByName(
+        negatives(spark, d, f).select("win_id", "a", "y", F.lit(None).cast("bigint").alias("lead"), F.lit("none").alias("kind"))
     )
     return f, both.distinct().join(c.stats(spark, d).select("win_id", "entity"), "win_id")
 
@@ -112,6 +182,7 @@ def forecast_events(spark, d):
     folds = cu.entity_folds(a, few=0.0, test=0.3, val=0.0)
     scored = c.stage(spark, "forecast", d, lambda: ml.forecast_events(a, f, folds, 5))
     slices = {"all": F.lit(True), "near": (F.col("y") == 0) | (F.col("lead") <= 2), "far": (F.col("y") == 0) | (F.col("lead") > 2)}
+    slices |= {kind: (F.col("y") == 0) | (F.col("kind") == kind) for kind in ("brake", "steer")}
     au = mt.sliced_auroc(scored, slices, min_pos=20)
     ap = mt.average_precision(mt.with_slices(scored, slices), "score", "y", ["slice"])
     return rounded(au.join(ap.select("slice", "ap"), "slice"))

@@ -124,7 +124,7 @@ def session_merge(spark, d):
 
 @query(
     "event_slice",
-    f"""WITH {SIG}, ev AS (SELECT entity, route, idx AS onset, idx + unnest(range(-5, 4)) AS idx FROM sig WHERE aEgo < -2.9)
+    f"""WITH {SIG}, ev AS (SELECT entity, route, onset, onset + k AS idx FROM (SELECT entity, route, idx AS onset, unnest(range(-5, 4)) AS k FROM sig WHERE aEgo < -2.9))
     SELECT entity, route, onset, idx, (idx - onset)::DOUBLE AS t_rel, aEgo FROM ev JOIN sig USING (entity, route, idx)""",
 )
 def event_slice(spark, d):

@@ -1,28 +1,31 @@
-"""Model-based operators on ``pyspark.ml``: probes, residuals, maps, forecasts.
+"""Model-based operators: probes, residuals, maps, forecasts.
 
-Every fit and every prediction is a distributed job; the loops below run over folds,
-feature sets or group pairs (a handful of models), never over rows.
+Folds, groups, group pairs and feature sets are columns of one job (``forests.py``); linear models are solved from sums of products
+(``linear.py``); the rest is ``pyspark.ml``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import trees as tr
 from ..functions.hashing import hash_order
 from ..functions.vectors import as_double, mean_vector
 from ..plans.ordered import exact_quantiles, exact_rank, hash_rank
 from ..plans.stage import materialize
+from . import linear
 from .distance import history_future
-from .metrics import classification_report, majority_vote
+from .forests import forest_votes, scores
+from .metrics import majority_vote
 from .sampling import support_query
 
 
@@ -95,72 +98,83 @@ def _forest(features: Sequence[str], trees: int, depth: int, seed: int) -> Pipel
     )
 
 
-def _named_prediction(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    names = F.lit(list(model.stages[0].labels) + ["__unseen"])
-    pred = names[F.col("prediction").cast("int")]
-    return model.transform(df).select(*keep, "_y", pred.alias("_p"))
+def _cases(df: DataFrame, model, part: str, label: str, key: Sequence[str], keep: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """The input of ``forest_votes``: ``keep`` columns, features, _m, _part, _y and _id."""
+    return df.select(
+        *dict.fromkeys([*keep, *features]), model.cast("string").alias("_m"), F.col(part).cast("bigint").alias("_part"), F.col(label).cast("string").alias("_y"),
+        F.concat_ws("|", *key).alias("_id"),
+    )
 
 
-def cross_val_predict(
-    df: DataFrame, features: Sequence[str], label: str, group: str, k: int = 5, trees: int = 300, depth: int = 10, seed: int = 42, keep: Sequence[str] = ()
+def leakage_probe(
+    df: DataFrame, features: Sequence[str], nuisance: str, group: str, k: int = 5, trees: int = 300, depth: int = 16, seed: int = 42, key: Sequence[str] = ("win_id",)
 ) -> DataFrame:
-    """Out-of-fold predictions (keep, _y, _p) of a balanced random forest, groups kept within a fold."""
-    keep = list(dict.fromkeys([*keep, group]))
-    rows = _features(df, features, label, keep)
-    rows = materialize(rows.join(group_kfold(df, group, k).select(group, "fold"), group), "folds")
-    folds = [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]  # k numbers
-    out = None
-    for i in folds:
-        model = _forest(features, trees, depth, seed).fit(rows.filter(F.col("fold") != i))
-        part = _named_prediction(model, rows.filter(F.col("fold") == i), keep)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """How well a nuisance label can be read from the features on unseen groups: bal_acc, n, chance, acc."""
+    return leakage_by_set(df, {"all": features}, nuisance, group, k, trees, depth, seed, key).select("bal_acc", "n", "chance", "acc")
 
 
-def probe_score(pred: DataFrame) -> DataFrame:
-    """Balanced and plain accuracy of predictions (_y, _p) and chance 1 / n_classes."""
-    classes = pred.select("_y").distinct().agg((1.0 / F.count(F.lit(1))).alias("chance"))
-    rep = classification_report(pred, "_y", "_p").filter(F.col("cls") == "all")
-    plain = pred.agg(F.avg((F.col("_y") == F.col("_p")).cast("double")).alias("acc"))
-    return rep.select(F.col("recall").alias("bal_acc"), F.col("support").alias("n")).join(classes).join(plain)  # one row each
-
-
-def leakage_probe(
-    df: DataFrame, features: Sequence[str], nuisance: str, group: str, k: int = 5, trees: int = 300, depth: int = 10, seed: int = 42
+def leakage_by_set(
+    df: DataFrame, subsets: dict[str, Sequence[str]], nuisance: str, group: str, k: int = 5, trees: int = 300, depth: int = 16, seed: int = 42, key: Sequence[str] = ("win_id",)
 ) -> DataFrame:
-    """How well a nuisance label can be read from the features on unseen groups: bal_acc, n, chance."""
-    return probe_score(cross_val_predict(df, features, nuisance, group, k, trees, depth, seed))
+    """The leakage probe of several feature sets side by side, on the same folds: features, bal_acc, acc, chance, n."""
+    folds = group_kfold(df, group, k).select(group, "fold")
+    features = list(dict.fromkeys(f for s in subsets.values() for f in s))
+    cases = _cases(df.join(folds, group), F.lit("all"), "fold", nuisance, key, (), features)
+    return scores(forest_votes(cases, subsets, trees, depth, seed=seed), ["features"])
 
 
 def source_probe(
-    df: DataFrame, features: Sequence[str], src: str, group: str, min_n: int = 20, k: int = 5, trees: int = 300, depth: int = 10, seed: int = 42
+    df: DataFrame, features: Sequence[str], src: str, group: str, min_n: int = 20, k: int = 5, trees: int = 300, depth: int = 16, seed: int = 42, key: Sequence[str] = ("win_id",)
 ) -> DataFrame:
     """Leakage probe of the recording source, over classes with at least min_n rows."""
     big = df.groupBy(src).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_n).select(src)
-    return leakage_probe(df.join(big, src, "left_semi"), features, src, group, k, trees, depth, seed)
+    return leakage_probe(df.join(big, src, "left_semi"), features, src, group, k, trees, depth, seed, key)
+
+
+def route_folds(df: DataFrame, grp: str, entity: str, route: str, min_routes: int = 2, min_windows: int = 8, k: int = 5) -> DataFrame:
+    """Folds for recognising entities within each group: (grp, entity, route, fold) of the entities with enough routes and windows.
+
+    A group has as many folds as its scarcest entity has routes, from 2 to ``k``; its routes are dealt out by size in snake order. Groups with
+    one such entity are left out.
+    """
+    sizes = df.groupBy(grp, entity, route).agg(F.count(F.lit(1)).alias("_n"))
+    own = sizes.groupBy(grp, entity).agg(F.count(F.lit(1)).alias("_routes"), F.sum("_n").alias("_all")).filter((F.col("_routes") >= min_routes) & (F.col("_all") >= min_windows))
+    whole = own.groupBy(grp).agg(F.least(F.lit(k), F.min("_routes")).alias("_k"), F.count(F.lit(1)).alias("_e")).filter("_e > 1").select(grp, "_k")
+    routes = sizes.join(own.select(grp, entity), [grp, entity]).join(whole, grp)
+    ranked = exact_rank(routes, [grp], "_n", [entity, route], descending=True, name="_r")
+    at = (F.col("_r") - 1) % (2 * F.col("_k"))
+    return ranked.select(grp, entity, route, F.when(at < F.col("_k"), at).otherwise(2 * F.col("_k") - 1 - at).alias("fold"))
 
 
 def identifiability(
     df: DataFrame,
-    feature_groups: dict[str, Sequence[str]],
+    subsets: dict[str, Sequence[str]],
+    grp: str = "grp",
     entity: str = "entity",
-    route: Sequence[str] = ("entity", "route"),
+    route: str = "route",
     k: int = 5,
     trees: int = 300,
-    depth: int = 10,
+    depth: int = 16,
+    min_routes: int = 2,
+    min_windows: int = 8,
     seed: int = 42,
+    key: Sequence[str] = ("win_id",),
 ) -> DataFrame:
-    """Entity recognition on held-out routes per feature group: window and route-vote accuracy, chance."""
-    keyed = df.withColumn("_route", F.concat_ws("|", *route))
-    out = None
-    for name, cols in feature_groups.items():
-        pred = materialize(cross_val_predict(keyed, cols, entity, "_route", k, trees, depth, seed), "votes")
-        win = probe_score(pred)
-        vote = majority_vote(pred, ["_route", "_y"], "_p")
-        vote = vote.agg(F.avg((F.col("vote") == F.col("_y")).cast("double")).alias("vote_acc"), F.count(F.lit(1)).alias("routes"))
-        part = win.join(vote).select(F.lit(name).alias("features"), "bal_acc", "acc", "vote_acc", "chance", "n", "routes")  # one row each
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Entity recognition on held-out routes, in every group by every feature set: window and route-vote accuracy, chance.
+
+    All groups, folds and feature sets are fitted together; see ``route_folds`` for who takes part.
+    """
+    features = list(dict.fromkeys(f for s in subsets.values() for f in s))
+    folds = route_folds(df, grp, entity, route, min_routes, min_windows, k)
+    cases = _cases(df.join(folds, [grp, entity, route]), F.col(grp), "fold", entity, key, (grp, route), features)
+    pred = materialize(forest_votes(cases, subsets, trees, depth, seed=seed), "votes")
+    vote = majority_vote(pred, [grp, "features", route, "_y"], "_p").groupBy(grp, "features").agg(
+        F.avg(F.coalesce(F.col("vote") == F.col("_y"), F.lit(False)).cast("double")).alias("vote_acc"), F.count(F.lit(1)).alias("routes")
+    )
+    count = F.create_map(*[x for n, s in subsets.items() for x in (F.lit(n), F.lit(len(s)))])
+    return scores(pred, [grp, "features"]).join(vote, [grp, "features"]).select(
+        grp, "features", count[F.col("features")].alias("n_features"), "bal_acc", "acc", "vote_acc", "chance", "n", "routes"
+    )
 
 
 def importances(df: DataFrame, features: Sequence[str], label: str, trees: int = 300, depth: int = 10, seed: int = 42) -> DataFrame:
@@ -171,53 +185,112 @@ def importances(df: DataFrame, features: Sequence[str], label: str, trees: int =
     return df.sparkSession.createDataFrame(imp, "feature string, importance double")
 
 
+def transfer_cases(df: DataFrame, grp: str = "grp", entity: str = "entity", min_n: int = 3, min_shared: int = 2) -> DataFrame:
+    """Rows of every pair of groups that share ``min_shared`` entities with ``min_n`` rows in both, those entities only: ``df`` with grp_a, grp_b."""
+    cells = materialize(df.groupBy(entity, grp).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_n), "cells")
+    a, b = cells.select(entity, F.col(grp).alias("grp_a")), cells.select(entity, F.col(grp).alias("grp_b"))
+    both = a.join(b, entity).filter(F.col("grp_a") < F.col("grp_b"))
+    many = both.groupBy("grp_a", "grp_b").agg(F.count(F.lit(1)).alias("_e")).filter(F.col("_e") >= min_shared).select("grp_a", "grp_b")
+    mine = both.join(many, ["grp_a", "grp_b"])  # entity by pair of its own groups
+    sides = mine.select(entity, "grp_a", "grp_b", F.explode(F.array("grp_a", "grp_b")).alias(grp))
+    return df.join(sides, [entity, grp])
+
+
 def cross_group_transfer(
     df: DataFrame,
-    features: Sequence[str],
-    pairs: Sequence[tuple],
+    subsets: dict[str, Sequence[str]],
     grp: str = "grp",
     entity: str = "entity",
     min_n: int = 3,
+    min_shared: int = 2,
     trees: int = 300,
-    depth: int = 10,
+    depth: int = 16,
     seed: int = 42,
+    key: Sequence[str] = ("win_id",),
 ) -> DataFrame:
-    """Train on one group, test on another, over the entities both share: both directions of each pair."""
-    cells = df.groupBy(entity, grp).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_n)
-    out = None
-    for a, b in [p for ab in pairs for p in (tuple(ab), tuple(ab)[::-1])]:
-        both = cells.filter(F.col(grp).isin(a, b)).groupBy(entity).agg(F.count(F.lit(1)).alias("_g")).filter(F.col("_g") == 2)
-        rows = materialize(_features(df.join(both.select(entity), entity, "left_semi"), features, entity, [grp]), "transfer")
-        model = _forest(features, trees, depth, seed).fit(rows.filter(F.col(grp) == a))
-        part = probe_score(_named_prediction(model, rows.filter(F.col(grp) == b), []))
-        part = part.select(F.lit(a).alias("train_grp"), F.lit(b).alias("test_grp"), "bal_acc", "acc", "chance", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Train on one group, test on another, over the entities both share: both directions of every pair, by every feature set.
+
+    All pairs are fitted together: the two groups of a pair are its two folds.
+    """
+    features = list(dict.fromkeys(f for s in subsets.values() for f in s))
+    rows = transfer_cases(df, grp, entity, min_n, min_shared).withColumn("_side", (F.col(grp) == F.col("grp_b")).cast("bigint"))
+    cases = _cases(rows, F.concat_ws("|", "grp_a", "grp_b"), "_side", entity, key, ("grp_a", "grp_b", "_side"), features)
+    pred = forest_votes(cases, subsets, trees, depth, seed=seed)
+    first = F.col("_side") == 0
+    pred = pred.select("*", F.when(first, F.col("grp_b")).otherwise(F.col("grp_a")).alias("train_grp"), F.when(first, F.col("grp_a")).otherwise(F.col("grp_b")).alias("test_grp"))
+    return scores(pred, ["train_grp", "test_grp", "features"])
+
+
+#: Rows (about, by hash) that the model of one statistic is fitted on.
+RESIDUAL_ROWS = 50_000
 
 
 def residualize(
-    df: DataFrame, behav: Sequence[str], context: Sequence[str], keys: Sequence[str] = ("win_id",), depth: int = 4, iters: int = 150, seed: int = 42
+    df: DataFrame, behav: Sequence[str], context: Sequence[str], keys: Sequence[str] = ("win_id",), categories: dict[str, int] | None = None, depth: int = 4, iters: int = 150,
+    rows: int = RESIDUAL_ROWS, seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
     """Behaviour minus what a boosted-tree model of the context predicts: (rows with r_<stat>, R2 per stat).
 
-    Every row stays. A statistic is fitted on the rows that know it; its residual is null in the others.
+    Context is numbers (missing: the median) and ``categories``: the most frequent values of a column, so many, as one column each. Every row
+    stays. The statistics are fitted side by side, each on ``rows`` of the rows that know it, drawn by hash; its residual is null in the others.
     """
-    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*behav, *context])])
-    filled = [c + "_f" for c in context]
-    med = _one_row(exact_quantiles(_long(rows, context), ["col"], "x", [0.5]), context, "q", "_m_")
-    known = rows.join(F.broadcast(med)).withColumns({c + "_f": F.coalesce(c, "_m_" + c, F.lit(0.0)) for c in context})  # med is one row
-    prep = VectorAssembler(inputCols=filled, outputCol="_vec").transform(known.drop(*med.columns)).drop(*filled)
-    prep = materialize(prep.withColumn("_v", vector_to_array("_vec")).drop("_vec"), "residual").withColumn("_vec", array_to_vector("_v")).drop("_v")
-    models = {b: _boosted(b, depth, iters, seed).fit(prep.filter(F.col(b).isNotNull())) for b in behav}
-    out = prep
-    for b, model in models.items():
-        out = model.transform(out).withColumn("r_" + b, F.col(b) - F.col("_pred")).drop("_pred")
-    out = out.drop("_vec")
+    wide, names = context_columns(df.select(*dict.fromkeys([*keys, *behav, *context, *(categories or {})])), context, categories)
+    wide = materialize(wide.select(*keys, *[F.col(b).cast("double").alias(b) for b in behav], F.array(*names).alias("_x")), "context")
+    pairs = ", ".join(f"'{b}', `{b}`" for b in behav)
+    known = wide.select(F.concat_ws("|", *keys).alias("_id"), "_x", F.expr(f"stack({len(behav)}, {pairs}) AS (stat, y)")).filter("y IS NOT NULL")
+    rate = known.groupBy("stat").agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_rate"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 30)) / float(1 << 30)
+    sample = known.join(rate, "stat").filter(draw < F.col("_rate")).select("stat", "_id", "_x", "y")
+
+    def fit(key, part):
+        import pandas as pd
+
+        part = part.sort_values("_id", kind="stable")
+        start, t = tr.boost(np.stack(part["_x"].to_numpy()), part["y"].to_numpy(float), iters, depth)
+        return pd.DataFrame({"stat": [key[0]], "start": [start], **{c: [getattr(t, c)] for c in ("feature", "cut", "left", "value", "roots")}})
+
+    fitted = sample.groupBy("stat").applyInPandas(fit, "stat string, start double, feature array<int>, cut array<double>, left array<int>, value array<double>, roots array<int>")
+    # One small model a statistic: iters trees of at most 2 ^ depth leaves.
+    models = {r["stat"]: (r["start"], tr.Trees(*(np.array(r[c]) for c in ("feature", "cut", "left", "value", "roots")))) for r in fitted.collect()}
+    held, width = df.sparkSession.sparkContext.broadcast(models), len(names)
+
+    def rest(parts):
+        for part in parts:
+            x = np.stack(part["_x"].to_numpy()) if len(part) else np.zeros((0, width))
+            for b in behav:
+                part["r_" + b] = part[b].to_numpy(float) - tr.predict(*held.value[b], x) if b in held.value else np.nan
+            yield part.drop(columns="_x")
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in wide.drop("_x").dtypes) + "".join(f", `r_{b}` double" for b in behav)
+    out = wide.mapInPandas(rest, kinds)
+    clean = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    out = materialize(out.select(*keys, *[clean(c) for b in behav for c in (b, "r_" + b)]), "residuals")
     return out, r_squared(out, behav)
 
 
-def _boosted(label: str, depth: int, iters: int, seed: int) -> GBTRegressor:
-    return GBTRegressor(labelCol=label, featuresCol="_vec", predictionCol="_pred", maxDepth=depth, maxIter=iters, seed=seed)
+def context_columns(df: DataFrame, context: Sequence[str], categories: dict[str, int] | None = None, base: bool = False) -> tuple[DataFrame, list]:
+    """``df`` and the columns of a design: ``context`` as doubles (missing: the exact median, 0 if all miss) and one 0/1 column for each of the most
+    frequent values of the ``categories`` (name: how many), by name; with ``base`` without the first one."""
+    med = _one_row(exact_quantiles(_long(df, context), ["col"], "x", [0.5]), context, "q", "_m_")
+    wide = df.join(F.broadcast(med))  # one row
+    cols = [F.coalesce(F.col(c).cast("double"), "_m_" + c, F.lit(0.0)) for c in context]
+    for c, n in (categories or {}).items():
+        top = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), c).limit(n)
+        values = sorted(r[0] for r in top.collect())  # n values
+        cols += [F.coalesce(F.col(c) == v, F.lit(False)).cast("double") for v in values[int(base) :]]
+    return wide, cols
+
+
+def residualize_linear(
+    df: DataFrame, behav: Sequence[str], context: Sequence[str], keys: Sequence[str] = ("win_id",), categories: dict[str, int] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The linear variant of ``residualize``: least squares on the same context, from the sums of products of all rows."""
+    wide, names = context_columns(df.select(*dict.fromkeys([*keys, *behav, *context, *(categories or {})])), context, categories, base=True)
+    rows = materialize(wide.select(*keys, *[F.col(b).cast("double").alias(b) for b in behav], F.array(F.lit(1.0), *names).alias("_x")), "design")
+    weights = linear.least_squares(rows, "_x", behav)
+    fitted = lambda b: F.aggregate(F.zip_with("_x", F.array(*[F.lit(w) for w in weights[b]]), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+    out = rows.withColumns({"r_" + b: F.col(b) - fitted(b) if b in weights else F.lit(None).cast("double") for b in behav}).drop("_x")
+    return out, r_squared(out, behav)
 
 
 def residualize_means(df: DataFrame, behav: Sequence[str], context: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -220,7 +220,7 @@ def downsample_mean(
 
 
 def _resampled(series: DataFrame, keys: list[str], n: int, order: str, value: str) -> DataFrame:
-    """n points over the normalised time of each series, by linear interpolation of the two neighbours."""
+    """n points over the normalised time of each series, by linear interpolation of the two neighbours; null where one of them is missing or null."""
     size = series.groupBy(*keys).agg(F.max(order).alias("_last"))
     g = size.select(*keys, "_last", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
     at = F.col("i") * F.col("_last") / (n - 1)
@@ -236,8 +236,10 @@ def _resampled(series: DataFrame, keys: list[str], n: int, order: str, value: st
             )
         ).alias("_x"),
     ).select(*keys, "i", F.col("_x.o").alias(order), F.col("_x.w").alias("_w"))
-    got = need.join(series.select(*keys, order, F.col(value).alias("_v")), [*keys, order])
-    return got.groupBy(*keys, "i").agg(F.sum(F.col("_v") * F.col("_w")).alias("v"))
+    need = need.filter(F.col("_w") != 0)
+    got = need.join(series.select(*keys, order, F.col(value).alias("_v")), [*keys, order], "left")
+    whole = F.count("_v") == F.count(F.lit(1))
+    return got.groupBy(*keys, "i").agg(F.when(whole, F.sum(F.col("_v") * F.col("_w"))).alias("v"))
 
 
 def normtime_corr(
