@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordered import exact_rank
 from . import kernels
 from .common import bounded_batches, shared
 from .decontam import _filter, _passes
@@ -16,7 +17,7 @@ from .decontam import _filter, _passes
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 UNKNOWN = "und"
 #: Bytes of text whose phrases a task counts before it sends them on.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 
 def _finder() -> tuple[np.ndarray, kernels.Words]:
@@ -53,6 +54,22 @@ def _hashed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h[np.cumsum(size) - size].view(np.int64))], names=["h"])
 
 
+def _distinct(codes: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of columns of codes under ``sizes``, and how often each occurs."""
+    key, room = codes[0].astype(np.int64), sizes[0]
+    for c, n in zip(codes[1:], sizes[1:]):
+        if room * max(1, n) >= 1 << 62:  # too many columns for one number: rows by their places
+            _, at, f = np.unique(np.stack(codes, 1), axis=0, return_index=True, return_counts=True)
+            return [c[at] for c in codes], f
+        key, room = key * n + c, room * max(1, n)
+    key, f = np.unique(key, return_counts=True)
+    out = []
+    for n in sizes[:0:-1]:
+        key, c = np.divmod(key, max(1, n))
+        out.append(c)
+    return [key, *out[::-1]], f
+
+
 def _tally(n: int, usual):
     """Counts of the n-word phrases of which both parts of n - 1 words pass the filter ``usual`` (n = 1: of all words).
 
@@ -90,16 +107,11 @@ def _tally(n: int, usual):
                     whole &= good[:size] & good[1 : size + 1]
                     h = good = None
                 at = np.flatnonzero(whole)
-                key = lang[at].astype(np.int64)
-                for j in range(n):
-                    if int(key.max(initial=0)) >= (1 << 62) // max(1, len(spelled)):
-                        key = np.unique(key, return_inverse=True)[1]
-                    key = key * len(spelled) + code[at + j]
-                _, where, f = np.unique(key, return_index=True, return_counts=True)
-                at = at[where]
-                phrase = [spelled.take(pa.array(code[at + j])) for j in range(n)]
+                keys, parts = [lang, *[code] * n], [at, *[at + j for j in range(n)]]
+                own, f = _distinct([k[x] for k, x in zip(keys, parts)], [len(names.dictionary)] + [len(spelled)] * n)
+                phrase = [spelled.take(pa.array(c)) for c in own[1:]]
                 phrase = phrase[0] if n == 1 else pc.binary_join_element_wise(*phrase, pa.scalar(" ", pa.large_string()))
-                cols = [names.dictionary.take(pa.array(lang[at])), phrase.cast(pa.large_string()), pa.array(f.astype(np.int64))]
+                cols = [names.dictionary.take(pa.array(own[0])), phrase.cast(pa.large_string()), pa.array(f.astype(np.int64))]
                 if n == 1:
                     who, total = np.unique(lang, return_counts=True)
                     more = [names.dictionary.take(pa.array(who)), pa.nulls(len(who), pa.large_string()), pa.array(total.astype(np.int64))]
@@ -155,7 +167,7 @@ def lockstep(stream: DataFrame, longest: int, by_end: bool, name: str) -> DataFr
     size = F.size("at")
     seen = [F.coalesce(F.last(F.when(size == k, F.col("f")), ignorenulls=True).over(w), F.col(f"before_{k}")) for k in range(1, longest)]
     out = cut.join(carried, "part").withColumn(name, F.array(*seen))
-    return out.select(*stream.columns, name)
+    return shared(out.select(*stream.columns, name), "joined")
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -178,7 +190,7 @@ def collocations(
     """
     stream, totals = counts(docs, longest, least, text, lang)
     stream = lockstep(lockstep(stream, longest, True, "ends"), longest, False, "begins")
-    rows = shared(stream.where(F.size("words") > 1).withColumn("m", F.size("words")), "joined")
+    rows = stream.where(F.size("words") > 1).withColumn("m", F.size("words"))
     cuts = [
         F.when(F.col("m") > k, F.struct(score(F.col("f"), F.col("begins")[k - 1], F.get("ends", F.col("m") - k - 1)).alias("score"), F.lit(k).alias("k"),
                F.col("begins")[k - 1].alias("l"), F.get("ends", F.col("m") - k - 1).alias("r")))
@@ -192,7 +204,7 @@ def collocations(
     free = rows.join(held[0].unionByName(held[1]).distinct(), ["lang", "words"], "left_anti")
     best = free.withColumn("b", F.array_min(F.filter(F.array(*cuts), lambda x: x.isNotNull())))
     out = best.select("lang", F.array_join("words", " ").alias("phrase"), F.col("f").alias("a"), "b.l", "b.r", "b.score")
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")))
+    out = exact_rank(out.withColumn("less", -F.col("a")), ["lang"], "score", ["less", "phrase"], descending=True, name="rank")
     if top is not None:
         out = out.where(F.col("rank") <= top)
     return out.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
