@@ -17,7 +17,7 @@ from .decontam import _filter, _passes
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 UNKNOWN = "und"
 #: Bytes of text whose phrases a task counts before it sends them on.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def _finder() -> tuple[np.ndarray, kernels.Words]:
