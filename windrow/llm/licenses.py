@@ -52,9 +52,11 @@ If a copy of the MPL was not distributed with this file, You can obtain one at h
     ("mpl-2.0", "SPDX-License-Identifier: MPL-2.0"),
     ("reserved", "All rights reserved."),
 )
-#: Of the SQL of op7_license_scan, which looks at single lines with one of these words; the operator has no such gate.
-CUES = ("licensed", "license", "licence", "released", "redistributed", "copyright", "rights", "spdx", "domain")
-CUE = r"(?i)\b(" + "|".join(CUES) + r")\b"
+#: Words of which most prose has some, the most frequent first; whether a text needs a closer look hangs on others where possible. No result depends on the list.
+USUAL = (
+    "the of and to a in is it that was for on as with be by an at are this from or not have had has but were they which one all we can her his him he she "
+    "if there who more will no out so up what when mit my you your them then their its into do than only been does how i may any our here me rest"
+).split()
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -102,6 +104,24 @@ def weights(known: DataFrame) -> tuple[DataFrame, dict[str, float], float]:
     return shared(w.join(size, "template").select("template", "licence", "word", "idf", (F.col("w") / F.col("size")).alias("w")), "templates"), idf, math.log(1 + total) + 1
 
 
+def telling_words(w: DataFrame, least: float) -> list[str]:
+    """Words of which a text must hold one to reach a cosine of ``least`` with any template.
+
+    Of each template words are taken, longer and rarer ones first and those of USUAL last, until the others together have a length under
+    ``least``: without any of those taken, no part of a text comes nearer than that. ``w`` is of known size.
+    """
+    rank = {x: i for i, x in enumerate(USUAL)}
+    rows = sorted(((r["template"], -rank.get(r["word"], len(USUAL)), len(r["word"]) <= 4, -r["idf"], r["word"], r["w"]) for r in w.collect()), key=lambda r: r[:5])
+    left, out = {}, set()
+    for t, *_, x in rows:
+        left[t] = left.get(t, 0.0) + x * x
+    for t, *_, word, x in rows:
+        if left[t] >= least * least - 1e-6:
+            out.add(word)
+            left[t] -= x * x
+    return sorted(out)
+
+
 def candidates(files: DataFrame, idf: dict[str, float], unknown: float, least: float) -> DataFrame:
     """(file_id, line, stop, size, says, other): parts of the texts that may reach a cosine of ``least`` with a template.
 
@@ -179,9 +199,12 @@ def licences(files: DataFrame, known: DataFrame | None = None, least: float = 0.
     known = templates(spark) if known is None else known
     w, idf, unknown = weights(known)
     directory = F.regexp_extract(F.coalesce("path", F.lit("")), "^(.*)/", 1)
-    here = files.select("file_id", directory.alias("dir"), F.size(words(F.coalesce(F.col("text").cast("string"), F.lit("")))).cast("bigint").alias("n_words"))
-    here = shared(here, "files")
-    parts = shared(candidates(files, idf, unknown, least).withColumn("key", F.unhex(F.sha2("says", 256))), "parts")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    telling = telling_words(w, least)
+    says = _let(words(text), lambda ws: F.struct(F.size(ws).cast("bigint").alias("n_words"), F.exists(ws, lambda x: x.isin(*telling)).alias("may")))
+    here = files.select("file_id", directory.alias("dir"), text.alias("text"), says.alias("says"))
+    here = shared(here.select("file_id", "dir", "says.n_words", F.when(F.col("says.may"), F.col("text")).alias("text")), "files")
+    parts = shared(candidates(here.where("text IS NOT NULL"), idf, unknown, least).withColumn("key", F.unhex(F.sha2("says", 256))), "parts")
     distinct = shared(parts.groupBy("key").agg(F.max("says").alias("says"), F.max("other").alias("other"), F.count(F.lit(1)).alias("n")), "distinct_parts")
     best = distinct.select("key", "n").join(best_template(distinct, w, unknown, least), "key")
     told = attach(parts.drop("says", "other"), shared(best, "best"), "key", "n", parts.count()).where("licence is not null")
@@ -193,6 +216,7 @@ def licences(files: DataFrame, known: DataFrame | None = None, least: float = 0.
     )
     own = each.groupBy("file_id").agg(F.min(F.when(F.col("top").isNotNull(), F.struct("top", "licence", "cosine"))).alias("b"), F.sum("n").alias("n_notices"), F.sum("size").alias("said"))
     own = shared(own.select("file_id", "b.licence", "b.cosine", "n_notices", "said"), "own")
+    here = here.drop("text")
     rows = here.join(own, "file_id", "left")
     of_dir = rows.where(F.col("said") >= share * F.col("n_words")).groupBy("dir").agg(F.min(F.struct(-F.col("cosine"), F.col("licence"))).alias("b"))
     of_dir = of_dir.select(F.col("dir").alias("above"), F.col("b.licence").alias("dir_licence"), (-F.col("b.col1")).alias("dir_cosine"))
@@ -210,7 +234,11 @@ def licences(files: DataFrame, known: DataFrame | None = None, least: float = 0.
     )
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text) of TEMPLATES, HEADERS and the files in licence_texts."""
+    return [*TEMPLATES.items(), *HEADERS, *((f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))]
+
+
 def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(licence, text) of ``texts``; else of TEMPLATES, HEADERS and the files in licence_texts. A licence may have several rows."""
-    full = [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
-    return spark.createDataFrame(list(texts.items()) if texts else [*TEMPLATES.items(), *HEADERS, *full], "licence string, text string")
+    """(licence, text) of ``texts``; else of ``known_texts``. A licence may have several rows."""
+    return spark.createDataFrame(list(texts.items()) if texts else known_texts(), "licence string, text string")

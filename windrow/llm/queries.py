@@ -135,39 +135,59 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, html.train(pages)).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
+def source_path(doc_id: str = "doc_id", source: str = "source"):
+    """Documents as files of a tree: a folder for each source, in it one for every thousand ids, in that one for every fifty. Every seventh
+    file lies one folder above, and every seventh of those at the source."""
+    part = lambda n: F.expr(f"{doc_id} DIV {n}").cast("string")
+    at = F.col(doc_id)
+    small = F.when(at % 7 != 0, part(50))
+    return F.concat_ws("/", source, F.when(at % 49 != 0, part(1000)), small, at.cast("string"))
+
+
 @query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: a folder for each source, in it 97 folders by doc_id, and 7 in each of those."""
     docs = table(spark, sf_dir, "documents")
-    part = lambda n: (F.col("doc_id") % n).cast("string")
-    path = F.concat_ws("/", "source", part(97), part(7), F.col("doc_id").cast("string"))
-    found = licenses.licences(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
+    found = licenses.licences(docs.select(F.col("doc_id").alias("file_id"), source_path().alias("path"), "text"))
     return found.withColumnRenamed("file_id", "doc_id")
 
 
-_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())
-_LICENCE_WORDS = rf"regexp_extract_all(translate({{}}, '{UPPER}', '{LOWER}'), '{licenses.WORD}')"
+_KNOWN = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.known_texts())
+#: Runs of letters and digits with a dot before them, if any, which decides whether a version loses its .0; in RE2, which looks neither ahead nor back.
+_VERSION = r"(^|[^0-9.])([0-9]+)(?:\.0)+(-|$)"
+_LICENCE_WORDS = (
+    rf"list_transform(regexp_extract_all(translate({{}}, '{UPPER}', '{LOWER}'), '\.?{licenses.WORD}'), "
+    rf"lambda x: ltrim(regexp_replace(regexp_replace(x, '{_VERSION}', '\1\2\3', 'g'), '{_VERSION}', '\1\2\3', 'g'), '.'))"
+)
+_RUNS = "SELECT doc_id, min(i) AS line, max(i) + 1 AS stop FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM n WHERE {}) GROUP BY doc_id, g"
 
 ORACLES["op7_license_scan"] = rf"""
-WITH k AS (SELECT * FROM (VALUES {_VALUES}) t(licence, text)),
-f AS (SELECT doc_id, concat_ws('/', source, doc_id % 97, doc_id % 7) AS dir, len({_LICENCE_WORDS.format("coalesce(text, '')")}) AS n_words FROM documents),
-l0 AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, i AS line, says FROM (SELECT doc_id, unnest(ls) AS says, unnest(range(len(ls))) AS i FROM l0) WHERE regexp_matches(says, '{licenses.CUE}')),
-d AS (SELECT says, count(*) AS n FROM l GROUP BY 1),
-own AS (SELECT licence, word, count(*) AS tf FROM (SELECT licence, unnest({_LICENCE_WORDS.format("text")}) AS word FROM k) GROUP BY 1, 2),
-mine AS (SELECT says, n, word, count(*) AS tf FROM (SELECT says, n, unnest({_LICENCE_WORDS.format("says")}) AS word FROM d) GROUP BY 1, 2, 3),
-df AS (SELECT word, sum(n) AS df FROM (SELECT word, n FROM mine UNION ALL SELECT word, 1 FROM own) GROUP BY 1),
-idf AS (SELECT word, ln((1 + (SELECT coalesce(sum(n), 0) FROM d) + (SELECT count(*) FROM k)) / (1 + df)) + 1 AS idf FROM df),
-w AS (SELECT licence, word, tf * idf AS w FROM own JOIN idf USING (word)),
-v AS (SELECT says, word, tf * idf AS v FROM mine JOIN idf USING (word)),
-c AS (SELECT says, licence, round(sum(v * w) / any_value(sqrt(lv)) / any_value(sqrt(lw)), 6) AS cosine FROM v JOIN w USING (word)
-      JOIN (SELECT says, sum(v * v) AS lv FROM v GROUP BY 1) USING (says) JOIN (SELECT licence, sum(w * w) AS lw FROM w GROUP BY 1) USING (licence) GROUP BY 1, 2),
-b AS (SELECT * FROM c WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY says ORDER BY cosine DESC, licence) = 1),
-t AS (SELECT doc_id, line, licence, cosine, len({_LICENCE_WORDS.format("says")}) AS size FROM l JOIN b USING (says)),
-o AS (SELECT doc_id, arg_min(licence, (-cosine, line, licence)) AS licence, max(cosine) AS cosine, count(*) AS n_notices, sum(size) AS said FROM t GROUP BY 1),
-r AS (SELECT * FROM f LEFT JOIN o USING (doc_id)),
+WITH k AS (SELECT DISTINCT licence, text FROM (VALUES {_KNOWN}) t(licence, text)),
+kt AS (SELECT row_number() OVER (ORDER BY licence, text) AS template, licence, {_LICENCE_WORDS.format("text")} AS ws FROM k),
+own AS (SELECT template, licence, word, count(*) AS tf FROM (SELECT template, licence, unnest(ws) AS word FROM kt) GROUP BY ALL),
+idf AS (SELECT word, ln((1 + (SELECT count(*) FROM kt)) / (1 + count(*))) + 1 AS idf FROM own GROUP BY word),
+unknown AS (SELECT ln(1 + count(*)) + 1 AS u FROM kt),
+w0 AS (SELECT template, licence, word, (1 + ln(tf)) * idf AS w FROM own JOIN idf USING (word)),
+w AS (SELECT template, licence, word, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS w FROM w0),
+f AS (SELECT doc_id, concat_ws('/', source, CASE WHEN doc_id % 49 <> 0 THEN doc_id // 1000 END, CASE WHEN doc_id % 7 <> 0 THEN doc_id // 50 END) AS dir,
+      len({_LICENCE_WORDS.format("coalesce(text, '')")}) AS n_words FROM documents),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS says FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+lw AS (SELECT doc_id, i, unnest({_LICENCE_WORDS.format("says")}) AS word FROM l),
+n AS (SELECT l.doc_id, l.i, trim(translate(any_value(l.says), chr(9) || chr(13), '  ')) <> '' AS block, 2 * count(idf.word) >= count(lw.word) AS alike
+      FROM l LEFT JOIN lw ON lw.doc_id = l.doc_id AND lw.i = l.i LEFT JOIN idf ON idf.word = lw.word GROUP BY l.doc_id, l.i),
+p AS (SELECT doc_id, 0 AS line, max(i) + 1 AS stop FROM n GROUP BY doc_id UNION SELECT doc_id, i, i + 1 FROM n UNION {_RUNS.format("block")} UNION {_RUNS.format("alike")}),
+c AS (SELECT doc_id, line, stop, word, count(*) AS tf FROM p JOIN lw USING (doc_id) WHERE i >= line AND i < stop GROUP BY ALL),
+v AS (SELECT doc_id, line, stop, word, idf.word IS NOT NULL AS known, tf, (1 + ln(tf)) * coalesce(idf, u) AS v FROM c LEFT JOIN idf USING (word), unknown),
+s AS (SELECT doc_id, line, stop, sum(tf)::BIGINT AS size, sqrt(sum(v * v)) AS long FROM v GROUP BY ALL HAVING sum(tf) > 1 AND bool_or(known)),
+d AS (SELECT doc_id, line, stop, template, licence, sum(v * w) AS dot FROM v JOIN w USING (word) GROUP BY ALL),
+b AS (SELECT doc_id, line, stop, size, licence, round(dot / long, 6) AS cosine FROM d JOIN s USING (doc_id, line, stop) WHERE round(dot / long, 6) >= 0.6
+      QUALIFY row_number() OVER (PARTITION BY doc_id, line, stop ORDER BY round(dot / long, 6) DESC, licence) = 1),
+t AS (SELECT *, stop > coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY line, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM b),
+e AS (SELECT doc_id, licence, max(cosine) AS cosine, min((-cosine, line)) FILTER (WHERE top) AS best FROM t GROUP BY ALL),
+o AS (SELECT doc_id, arg_min(licence, (best, licence)) AS licence, arg_min(cosine, (best, licence)) AS cosine FROM e WHERE best IS NOT NULL GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_notices, sum(size) AS said FROM t WHERE top GROUP BY doc_id),
+r AS (SELECT * FROM f LEFT JOIN o USING (doc_id) LEFT JOIN m USING (doc_id)),
 of_dir AS (SELECT dir AS above, arg_min(licence, (-cosine, licence)) AS dir_licence, max(cosine) AS dir_cosine FROM r WHERE said >= 0.1 * n_words GROUP BY 1),
-up AS (SELECT dir, depth, array_to_string(list_slice(p, 1, depth), '/') AS above FROM (SELECT dir, string_split(dir, '/') AS p, unnest(range(len(string_split(dir, '/')) + 1)) AS depth FROM (SELECT DISTINCT dir FROM f))),
+up AS (SELECT dir, depth, array_to_string(list_slice(q, 1, depth), '/') AS above FROM (SELECT dir, string_split(dir, '/') AS q, unnest(range(len(string_split(dir, '/')) + 1)) AS depth FROM (SELECT DISTINCT dir FROM f))),
 near AS (SELECT dir, above, dir_licence, dir_cosine FROM up JOIN of_dir USING (above) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY depth DESC) = 1)
 SELECT doc_id, coalesce(licence, dir_licence) AS licence, coalesce(cosine, dir_cosine) AS cosine,
        CASE WHEN licence IS NOT NULL THEN 'notice' WHEN dir_licence IS NOT NULL THEN 'inherited' END AS basis,
