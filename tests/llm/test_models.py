@@ -52,9 +52,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ids_equal_the_tokenizers(sf):
@@ -63,6 +61,7 @@ def test_ids_equal_the_tokenizers(sf):
     odd = ["", " ", "  a", "a  b ", "a\n b", "a \tb", "don't  'll 's", "hi<|endoftext|>yo <|endoftext|>", "日本 語 é", "\x1c a \x85b", "a​ ​b", "x  y", "1 2　 3"]
     for x in own + odd:
         assert np.frombuffer(encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x[:80]
+    assert np.frombuffer(encode("hi<|endoftext|>yo"), "<u4").tolist() == [5303, 50256, 8226]
 
 
 def test_packing_rebuilds_every_document(spark, ugly, sf):
@@ -91,6 +90,23 @@ def test_packing_rebuilds_every_document(spark, ugly, sf):
     assert packing.pack(packing.pieces(docs.where("doc_id < -5"))).count() == 0
 
 
+def test_packing_keeps_any_other_column(spark):
+    parts = spark.createDataFrame([(i, 1 + 37 * i % 1024, "x", "y") for i in range(300)], "doc_id bigint, length bigint, pack_group string, key string")
+    parts = parts.unionByName(parts.where("doc_id < 9")).withColumns({"offset": F.lit("old"), "sequence_id": F.lit("old")})
+    rows = packing.pack(parts, group=50).collect()
+    assert len(rows) == 309 and all(r.pack_group == "x" and r.key == "y" for r in rows)
+    seqs = {}
+    for r in rows:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in seqs.values():
+        s.sort()
+        assert [o for o, _ in s] == [sum(n for _, n in s[:i]) for i in range(len(s))] and sum(n for _, n in s) <= 1024
+    whole = {}
+    for r in packing.pack(parts, group=10**6).collect():
+        whole[r.sequence_id] = 0
+    assert len(whole) == packing.best_fit(np.array([r.length for r in rows]), 1024)[0].max() + 1
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins, offset = packing.best_fit(np.array([6, 7, 3, 4, 1]), 10)
     assert bins.tolist() == [1, 0, 0, 1, 2] and offset.tolist() == [0, 0, 7, 6, 0]
@@ -166,6 +182,29 @@ def test_odd_pages(spark):
     got = sorted((r.page_id, r.text) for r in html.extract(df, None).collect())
     assert got[0] == (1, "") and got[1] == (2, "") and got[2] == (3, "plain & text") and got[3:5] == [(4, "a"), (4, "a\n\nb c d\n\nx\n\ny")] and got[5][1].startswith("in long")
     assert html.extract(df.where("page_id < 0"), None).count() == 0 and html.train(df.drop("text")) is None
+    assert html.train(df.where("html IS NULL")) is None
+
+
+def test_text_within_foreign_elements_stays():
+    page = "<article><p>An unclosed <canvas> here <b>and</b> on</p><p>x <math><mi>a</mi><mo>+</mo><mn>1</mn></math> y</p><noscript>no script</noscript><object>or <svg><text>t</text></svg></object></article><p>end"
+    assert [x[5] for x in html.parse(page) if x[5]] == ["An unclosed here and on", "x a+1 y", "no script or t", "end"]
+
+
+def test_without_marked_pages(spark):
+    """No article element in the table: attribute tokens teach the model; without those too, surroundings still go."""
+    body = lambda i, mark: f"<html><div class='menu'><ul><li><a href='/'>Home</a></li><li><a href='/x'>More {i}</a></li></ul></div><div {mark}><h1>Title {i}</h1><p>{'Some words of prose, told at length. ' * 6}</p></div><footer><p>Imprint {i}</p></footer></html>"
+    for mark, learns in (("class='entry'", True), ("", False)):
+        df = spark.createDataFrame([(i, body(i, mark)) for i in range(60)] + [(0, body(0, mark))], "page_id bigint, html string")
+        model = html.train(df)
+        assert (model is not None) == learns
+        for r in html.extract(df, model).collect():
+            assert r.text.startswith(f"Title {r.page_id}\n\nSome words") and "Home" not in r.text and "Imprint" not in r.text
+
+
+def test_training_draws_do_not_depend_on_order_or_ids(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("page_id", F.lit(None).cast("bigint"))
+    a, b = html.train(pages), html.train(pages.unionByName(pages).orderBy(F.desc("url")).repartition(5))
+    assert (a.leaves == b.leaves).all() and (a.features == b.features).all()
 
 
 def test_decoding_agrees_with_its_ancestors():

@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Training bounds: pages, and trees of the model with their depth and bins.
-TRAIN_PAGES = 400
+#: Training bounds: pages, and the characters of one; trees of the model with their depth and bins. Any page is extracted whole.
+TRAIN_PAGES, TRAIN_CHARS = 400, 200_000
 TREES, DEPTH, BINS, RATE = 40, 4, 24, 0.25
 
 #: Kinds of elements, and attribute tokens that hint at main text or at what surrounds it.
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img input".split())
+INLINE = frozenset(
+    "a abbr b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img input "
+    "noscript object canvas svg g text tspan math mrow mi mo mn ms mtext msup msub msubsup mfrac msqrt mroot mover munder mstyle semantics annotation".split()
+)
+APART = frozenset("br noscript object canvas svg text".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg title textarea iframe object canvas math".split())
+RAW = frozenset("script style template title textarea iframe".split())
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6".split())
 GOOD_TAGS = frozenset("article main".split())
 BAD_TAGS = frozenset("nav footer aside form header button select menu dialog fieldset".split())
@@ -75,7 +79,7 @@ def parse(html: str) -> list[list]:
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if ends else 1
-            elif tag == "br":
+            elif tag in APART:
                 run.append(" ")
             continue
         if tag in RAW:
@@ -236,17 +240,32 @@ def decode(nodes: list[list], p: np.ndarray) -> list[int]:
 
 
 def weak_labels(nodes: list[list]) -> np.ndarray | None:
-    """1 for nodes of the main text as the page's own markup tells it, 0 for others; None for a page that does not tell."""
-    if not any(x[0] in GOOD_TAGS for x in nodes):
+    """1 for nodes of the main text as the page's own markup tells it, 0 for others; None for a page that does not tell.
+
+    An article's element tells it; on pages without one, attribute tokens of main text.
+    """
+    says = [x[0] in GOOD_TAGS for x in nodes]
+    if not any(says):
+        says = [not GOOD.isdisjoint(x[4]) and BAD.isdisjoint(x[4]) for x in nodes]
+    if not any(says):
         return None
     inside, y = [False] * len(nodes), np.zeros(len(nodes))
     for i, x in enumerate(nodes):
         up = inside[x[1]] if x[1] >= 0 else False
-        inside[i] = (up or x[0] in GOOD_TAGS) and x[0] not in BAD_TAGS and (x[0] in GOOD_TAGS or BAD.isdisjoint(x[4]))
+        inside[i] = (up or says[i]) and x[0] not in BAD_TAGS and (says[i] or BAD.isdisjoint(x[4]))
         y[i] = inside[i]
     return y
 
 
+def by_marks(nodes: list[list]) -> np.ndarray:
+    """Chances where no page of the table told its article: low below elements and attribute tokens of surroundings, high elsewhere."""
+    out = np.full(len(nodes), 0.9)
+    for i, x in enumerate(nodes):
+        if x[0] in BAD_TAGS or not BAD.isdisjoint(x[4]) or (x[1] >= 0 and out[x[1]] < 0.5):
+            out[i] = 0.01
+    return out
+
+
 #: Surroundings that the labelled pages are given more of, so that the model has seen each kind.
 EXTRAS = (
     '<div class="sidebar"><h3>{w}</h3><ul>{links}</ul></div>', "<aside><h3>{w}</h3><p>{p}</p></aside>", '<div class="cookie-notice"><p>{p}</p><button>OK</button></div>',
@@ -295,22 +314,27 @@ def training_table(pages: list[str], seed: int = 11) -> tuple[np.ndarray, np.nda
 
 
 def train(pages: DataFrame, html: str = "html", id_col: str = "page_id") -> Boosted | None:
-    """Fit on the TRAIN_PAGES pages of least hash among those whose markup tells the article; None without any."""
-    own = pages.where(f"`{html}` rlike '(?i)<(article|main)[ >]'").select(F.xxhash64(F.lit("html"), id_col).alias("draw"), F.col(html).alias("html"))
-    own = own.where(F.length("html") < 200_000)
-    cut = own.select("draw").orderBy("draw").limit(TRAIN_PAGES).agg(F.max("draw")).first()[0]  # hashes alone come from every task
-    if cut is None:
-        return None
-    got = own.where(F.col("draw") <= cut).limit(2 * TRAIN_PAGES).select("html").collect()
-    x, y, w = training_table(sorted(r.html for r in got))
-    return boost(x, y, w) if len(y) and 0 < y.mean() < 1 else None
+    """Fit on the TRAIN_PAGES different pages of least hash (of TRAIN_CHARS characters at most) among those whose elements tell the article, or
+    if there are none, whose attribute tokens do; None without any. Pages are drawn by id and text, so neither order nor repeated ids matter."""
+    raw = F.col(f"`{html}`").cast("string")
+    own = pages.select(raw.alias("html"), F.xxhash64(F.lit("html"), F.col(f"`{id_col}`"), raw).alias("draw")).where(F.length("html") <= TRAIN_CHARS)
+    tokens = "|".join(sorted(GOOD))
+    for told in (r"(?i)<(article|main)[ >]", rf"(?i)(class|id|role)\s*=\s*[\"']?[^\"'>]*\b({tokens})\b"):
+        some = own.where(F.col("html").rlike(told))
+        draws = [r.draw for r in some.select("draw").distinct().orderBy("draw").limit(TRAIN_PAGES).collect()]  # hashes alone come from every task
+        if draws:
+            got = some.where(F.col("draw") <= draws[-1]).groupBy("draw").agg(F.min("html").alias("html")).collect()  # as many pages as draws
+            x, y, w = training_table(sorted(r.html for r in got))
+            if len(y) and 0 < y.mean() < 1:
+                return boost(x, y, w)
+    return None
 
 
 def extract(pages: DataFrame, model: Boosted | None, html: str = "html", id_col: str = "page_id") -> DataFrame:
     """Add ``text`` (replacing a column of that name) to the pages' other columns: the kept blocks in page order, joined by two line ends.
 
     Character references are decoded and white space within a block is one space. Null and empty pages, and pages with no text
-    to keep, have an empty text. Without a model (no page to learn from) all text is kept.
+    to keep, have an empty text. Without a model (no page to learn from) elements and attribute tokens of surroundings decide.
     """
     from pyspark.sql.types import StringType, StructType
 
@@ -326,7 +350,7 @@ def extract(pages: DataFrame, model: Boosted | None, html: str = "html", id_col:
 
             def settle():
                 x = node_features(pending)
-                p = model.probability(x) if model else np.ones(len(x))
+                p = model.probability(x) if model else np.concatenate([by_marks(nodes) for nodes in pending])
                 a = 0
                 for nodes in pending:
                     out.append("\n\n".join(nodes[i][5] for i in decode(nodes, p[a : a + len(nodes)])))

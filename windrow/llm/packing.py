@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared
+from .common import bounded_batches, fresh, shared
 
 END = 2
 #: Pieces of text whose ids a worker process remembers (about 200 bytes each).
@@ -20,14 +20,15 @@ def encoder(path: str | None):
 
     A text is cut at single spaces between non-spaces, where its pre-tokens end anyway; the ids of the pieces are
     remembered, since words repeat. New pieces go through tiktoken, with vocabulary and merges read from the same
-    file (the tests compare whole texts with ``tokenizers``); texts with other white space beside a space go
-    through ``tokenizers`` whole. Control strings of the vocabulary are ordinary text here.
+    file (the tests compare whole texts with ``tokenizers``); texts with other white space beside a space, and those that hold
+    a control string of the vocabulary, go through ``tokenizers`` whole.
 
     One encoder is kept in a worker process for all its tasks.
     """
-    import tokenizers
+    import sys
+    import types
 
-    kept = tokenizers.__dict__.setdefault("_piece_encoders", {})
+    kept = sys.modules.setdefault("windrow_piece_encoders", types.ModuleType("windrow_piece_encoders")).__dict__
     if path not in kept:
         kept[path] = _encoder(path)
     return kept[path]
@@ -47,9 +48,7 @@ def _encoder(path: str | None):
         path = public_tokenizers.path("byte_bpe_50k.json")
     @cache  # seldom needed, and large
     def whole() -> Tokenizer:
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        return t
+        return Tokenizer.from_file(path)
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -80,6 +79,8 @@ def _encoder(path: str | None):
     def encode(text: str) -> bytes:
         head, *pieces = text.split(" ")
         try:
+            if any(s in text for s in special):
+                raise LookupError
             if pieces and (not head or head.rstrip() != head):
                 raise LookupError
             return raw(fast.encode_ordinary(head)) + b"".join([memory[p] for p in pieces])
@@ -173,7 +174,9 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(parts: DataFrame, size: int = 1024, group: int = GROUP) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces (a ``length`` of 1 to ``size`` and any other columns).
+    """Add ``sequence_id`` and ``offset`` (replacing columns of these names) to pieces (a ``length`` of 1 to ``size`` and any other columns).
+
+    Repeated pieces are packed each; no pieces, no sequences.
 
     Full pieces are sequences of their own and stay where they are. The others are dealt by hash into groups of about
     ``group``, however many there are; a task packs one group at a time. Deterministic but for the numbers.
@@ -185,14 +188,15 @@ def pack(parts: DataFrame, size: int = 1024, group: int = GROUP) -> DataFrame:
     full = parts.where(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
     rest = parts.where(F.col("length") < size)
     groups = max(1, round(rest.count() / group))
-    rest = rest.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = fresh(parts, "pack_group")
+    rest = rest.withColumn(dealt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     schema = StructType(parts.schema.fields).add("sequence_id", LongType()).add("offset", LongType())
 
     def run(key, t):
         import pyarrow as pa
 
         bins, offset = best_fit(t["length"].to_numpy(), size)
-        t = t.drop_columns(["pack_group"])
+        t = t.drop_columns([dealt])
         return t.append_column("sequence_id", pa.array(bins + (key[0].as_py() << 32))).append_column("offset", pa.array(offset))
 
-    return full.select(*schema.names).unionByName(rest.groupBy("pack_group").applyInArrow(run, schema))
+    return full.select(*schema.names).unionByName(rest.groupBy(dealt).applyInArrow(run, schema))
