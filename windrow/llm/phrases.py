@@ -132,7 +132,9 @@ def counts(docs: DataFrame, longest: int, least: int, text: str = "text", lang:
     src = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     usual, streams, totals = None, [], None
     for n in range(1, longest + 1):
-        total = src.mapInArrow(_tally(n, usual), "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+        # A task sums up block by block, which leaves few rows to add up again before the shuffle.
+        part = src.mapInArrow(_tally(n, usual), "lang string, phrase string, f bigint").repartition("lang", "phrase")
+        total = part.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
         total = shared(total.where(F.col("phrase").isNull() | (F.col("f") >= least)), f"phrases_{n}")
         known = total.where("phrase IS NOT NULL")
         if n == 1:
