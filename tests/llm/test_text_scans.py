@@ -123,5 +123,5 @@ def test_licences_in_a_tree_of_several_depths(spark):
     assert len(got) == 1099 and got[49].basis == got[7].basis == got[1050].basis == "notice" and got[1050].licence == "gpl-3.0"
     assert (got[8].licence, got[8].basis, got[8].from_dir) == ("apache-2.0", "inherited", "web/0")  # two files at web/0, one folder above its own
     assert (got[21].licence, got[21].from_dir) == ("apache-2.0", "web/0") and (got[98].licence, got[98].from_dir) == ("mit", "web")
-    assert (got[1002].licence, got[1002].from_dir) == ("cc0-1.0", "web/1") and (got[1060].licence, got[1060].from_dir) == ("mit", "web")
+    assert (got[1002].licence, got[1002].from_dir) == ("cc0-1.0", "web/1") and (got[1060].licence, got[1060].from_dir) == ("cc0-1.0", "web/1")
     assert got[1095].licence is None
