@@ -296,3 +296,77 @@ def test_steering_onsets(spark):
     assert [t[i] for i in (0, 2, 4, 5, 6, 10)] == [0.0, -0.001, -0.03, 0.0, -0.03, -0.05]
     on = detect.calm_cross(detect.turning(f), "turning", -0.02, -0.01, 3, ["win_id"], "pos", None)
     assert sorted(r.onset for r in on.collect()) == [4, 10]
+
+
+def greedy(steps, gap):
+    out = []
+    for s in sorted(set(steps)):
+        if not out or s - out[-1] > gap:
+            out.append(s)
+    return out
+
+
+def test_anchors_of_long_routes(spark):
+    """One route holds most hits, in one chain over many chunks; the same answer as going through them one by one."""
+    import random
+
+    from windrow.operators import spans
+
+    rng = random.Random(8)
+    steps = {"long": [], "gaps": [5, 300, 301, 304, 305, 10_000], "one": [7]}
+    at = 0
+    while at < 6000:
+        at += rng.choice([1, 1, 2, 3])
+        steps["long"].append(at)
+    rows = [("e", k, s, rng.choice("abc")) for k, v in steps.items() for s in v] + [("e", "one", 7, "z"), ("e", "one", 7, "z")]
+    df = spark.createDataFrame(rows, "entity string, route string, step bigint, rule string")
+    got = {(r.route, r.step): list(r.rules) for r in spans.dedupe_anchored(df, 4, ["entity", "route"], chunk=100).collect()}
+    want = {}
+    for k, v in steps.items():
+        heads = greedy(v, 4)
+        for _, route, s, rule in rows:
+            if route == k:
+                want.setdefault((k, max(h for h in heads if h <= s)), set()).add(rule)
+    assert got == {k: sorted(v) for k, v in want.items()}
+    assert spans.dedupe_anchored(df.where("step < 0"), 4, ["entity", "route"], chunk=100).count() == 0
+
+
+def test_one_event_in_overlapping_windows_counts_once(spark):
+    from windrow.operators import detect
+
+    ev = [("w0", "brake", 12, 1.0), ("w1", "brake", 2, 3.0), ("w1", "brake", 9, 1.0), ("w1", "turn", 2, 1.0), ("w2", "brake", 0, 1.0), ("v0", "brake", 12, 1.0)]
+    events = spark.createDataFrame(ev, "win_id string, cls string, onset bigint, score double")
+    wins = spark.createDataFrame([("w0", "e", 1, 0), ("w1", "e", 1, 10), ("w2", "e", 1, 20), ("v0", "f", 1, 0)], "win_id string, entity string, route bigint, wi0 bigint")
+    rows = lambda gap: sorted(tuple(r) for r in detect.distinct_events(events, wins, gap).collect())
+    both = [("e", 1, "brake", 12, 3.0, 2), ("e", 1, "turn", 12, 1.0, 1), ("f", 1, "brake", 12, 1.0, 1)]
+    assert rows(1) == sorted([*both, ("e", 1, "brake", 19, 1.0, 2)])
+    assert rows(0) == sorted([*both, ("e", 1, "brake", 19, 1.0, 1), ("e", 1, "brake", 20, 1.0, 1)])
+
+
+def test_linear_probe_is_at_its_optimum(spark):
+    """Predictions equal those of penalised multinomial regression solved by plain gradient steps."""
+    import numpy as np
+
+    from windrow.operators import ml
+
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 3, 240)
+    x = rng.normal(size=(240, 4)) * [1, 5, 0.2, 1] + np.eye(3, 4)[y] * 1.5
+    df = spark.createDataFrame([(f"w{i}", x[i].tolist(), f"c{y[i]}") for i in range(240)], "win_id string, vec array<double>, lab string")
+    (got,) = ml.linear_probe(df, "vec", "lab").collect()
+    from windrow.plans.ordered import hash_rank
+
+    ranked = hash_rank(df.select("win_id", df.lab.alias("_y")), ["_y"], ["win_id"], 42, "_r", "_n").collect()
+    train = np.zeros(240, bool)
+    for r in ranked:
+        train[int(r.win_id[1:])] = r["_r"] <= r["_n"] // 2
+    w, b = np.zeros((4, 3)), np.zeros(3)
+    t = np.eye(3)[y[train]]
+    for _ in range(20_000):
+        z = x[train] @ w + b
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        w -= 0.002 * (x[train].T @ (p - t) + w)
+        b -= 0.002 * (p - t).sum(0)
+    acc = ((x[~train] @ w + b).argmax(1) == y[~train]).mean()
+    assert got.n == (~train).sum() and abs(got.acc - acc) < 0.011 and got.chance == 1 / 3

@@ -273,6 +273,16 @@ def event_table(spark, d):
     return rounded(dt.event_counts(events(c.win_frames(spark, d))))
 
 
+@query(
+    "event_table_distinct",
+    f"""WITH RECURSIVE {EVENTS}, a AS (SELECT entity, route, cls, wi0 + onset AS ab, max(score) AS s, count(*) AS w FROM evt JOIN bounds USING (win_id) GROUP BY ALL),
+    i AS (SELECT *, sum(CASE WHEN ab - p <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY entity, route, cls ORDER BY ab) AS g FROM (SELECT *, lag(ab) OVER (PARTITION BY entity, route, cls ORDER BY ab) AS p FROM a))
+    SELECT entity, route, cls, min(ab) AS onset, round(max(s) + {0.25e-6!r}::DOUBLE, 6) + 0.0 AS score, sum(w)::BIGINT AS n_windows FROM i GROUP BY entity, route, cls, g""",
+)
+def event_table_distinct(spark, d):
+    return rounded(dt.distinct_events(events(c.win_frames(spark, d)), c.stats(spark, d), gap=1), nudge=0.25)
+
+
 @query(
     "dominant_event",
     f"""WITH RECURSIVE {EVENTS}, top AS (SELECT win_id, arg_min(cls, CASE cls WHEN 'curve' THEN 1 WHEN 'turn' THEN 2 WHEN 'lane_change' THEN 3

@@ -118,12 +118,8 @@ def residual_leakage(spark, d):
     return rounded(ml.leakage_by_set(rows, {"raw": BEHAV, "residual": ["r_" + b for b in BEHAV]}, "grp", "entity"))
 
 
-#: Least squares in SQL: the normal equations, solved column by column.
-NORMAL = f"""
-cats AS (SELECT list(DISTINCT scenario ORDER BY scenario) AS sc, list(DISTINCT grp ORDER BY grp) AS gr FROM stats),
-design AS (SELECT win_id, list_concat([1.0::DOUBLE, {", ".join(CONTEXT)}], list_transform(sc[2:], lambda v: (scenario = v)::INT::DOUBLE), list_transform(gr[2:], lambda v: (grp = v)::INT::DOUBLE)) AS x,
-  unnest({BEHAV}) AS stat, unnest([{", ".join(BEHAV)}]) AS y FROM stats, cats),
-known AS (SELECT stat, x, y, list_append(x, y) AS z FROM design WHERE y IS NOT NULL),
+#: Least squares in SQL: of ``known`` (stat, x, z: x and the target behind it) the normal equations, solved column by column into ``beta`` (stat, b).
+SOLVED = """
 cell AS (SELECT stat, i, j, sum(zi * z[j]) AS v FROM (SELECT stat, i, zi, z, unnest(range(1, len(z) + 1)) AS j FROM (SELECT stat, z, unnest(range(1, len(z))) AS i, unnest(z[:len(z) - 1]) AS zi FROM known)) GROUP BY ALL),
 rows_ AS (SELECT stat, i, list(v ORDER BY j) AS r FROM cell GROUP BY stat, i),
 mat AS (SELECT stat, list(r ORDER BY i) AS m FROM rows_ GROUP BY stat),
@@ -132,6 +128,12 @@ solve AS (SELECT stat, 0 AS k, m FROM mat UNION ALL
     ELSE list_transform(list_zip(r, m[k + 1]), lambda p: p[1] - r[k + 1] / m[k + 1][k + 1] * p[2]) END) FROM solve WHERE k < len(m)),
 beta AS (SELECT stat, list_transform(m, lambda r: r[len(r)]) AS b FROM solve WHERE k = len(m))"""
 
+NORMAL = f"""
+cats AS (SELECT list(DISTINCT scenario ORDER BY scenario) AS sc, list(DISTINCT grp ORDER BY grp) AS gr FROM stats),
+design AS (SELECT win_id, list_concat([1.0::DOUBLE, {", ".join(CONTEXT)}], list_transform(sc[2:], lambda v: (scenario = v)::INT::DOUBLE), list_transform(gr[2:], lambda v: (grp = v)::INT::DOUBLE)) AS x,
+  unnest({BEHAV}) AS stat, unnest([{", ".join(BEHAV)}]) AS y FROM stats, cats),
+known AS (SELECT stat, x, y, list_append(x, y) AS z FROM design WHERE y IS NOT NULL),{SOLVED}"""
+
 
 @query(
     "residualize_linear",
@@ -188,9 +190,21 @@ def forecast_events(spark, d):
     return rounded(au.join(ap.select("slice", "ap"), "slice"))
 
 
-@query("few_shot_predict")
-def few_shot_predict(spark, d):
-    err = ml.few_shot_predict(c.stats(spark, d), ["v_mean", "stop_frac", "lead_frac"], "jerk_rms", 5)
-    return rounded(err.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.avg("err_generic").alias("generic"), F.avg("err_personal").alias("personal")))
+FEW = ["v_mean", "stop_frac", "lead_frac"]
 
 
+@query(
+    "few_shot_predict",
+    f"""WITH RECURSIVE {STATS}, med AS (SELECT {", ".join(f"quantile_cont({f}, 0.5) AS m_{f}" for f in FEW)} FROM stats),
+    t AS (SELECT win_id, entity, route, jerk_rms AS y, [1.0::DOUBLE, {", ".join(f"coalesce({f}, m_{f})" for f in FEW)}] AS x FROM stats, med WHERE jerk_rms IS NOT NULL),
+    rt AS (SELECT entity, route, row_number() OVER (PARTITION BY entity ORDER BY md5(concat_ws(':', '42', entity, route)), entity, route) AS r, count(*) OVER (PARTITION BY entity) AS n
+      FROM (SELECT DISTINCT entity, route FROM t)),
+    ro AS (SELECT entity, route, CASE WHEN r <= greatest(1, n // 2) THEN 'support' ELSE 'query' END AS role FROM rt WHERE n >= 2),
+    q AS (SELECT *, row_number() OVER (PARTITION BY entity, role ORDER BY md5(concat_ws(':', '42-row', win_id)), win_id) AS rank FROM t JOIN ro USING (entity, route)),
+    known AS (SELECT 'y' AS stat, x, list_append(x, y) AS z FROM q WHERE role = 'support'),{SOLVED},
+    g AS (SELECT *, list_dot_product(x, b) AS g FROM q, beta), o AS (SELECT entity, avg(y - g) AS off FROM g WHERE role = 'support' AND rank <= 5 GROUP BY entity)
+    SELECT entity, count(*) AS n, round(avg(abs(y - g)), 6) + 0.0 AS generic, round(avg(abs(y - g - off)), 6) + 0.0 AS personal FROM g JOIN o USING (entity) WHERE role = 'query' GROUP BY entity""",
+)
+def few_shot_predict(spark, d):
+    err = ml.few_shot_predict(c.stats(spark, d), FEW, "jerk_rms", 5)
+    return rounded(err.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.avg("err_generic").alias("generic"), F.avg("err_personal").alias("personal")))

@@ -109,6 +109,28 @@ def dedupe_anchored(spark, d):
     return out.withColumn("rules", F.array_join("rules", "+"))
 
 
+ROUTE_HITS = f"""{SIG}, hits AS (SELECT entity, route, idx AS step, 'brake' AS rule FROM sig WHERE aEgo < -1.2
+  UNION ALL SELECT entity, route, idx, 'turn' FROM sig WHERE abs(actual_curvature) > 0.012)"""
+
+
+@query(
+    "dedupe_anchored_routes",
+    f"""WITH RECURSIVE {ROUTE_HITS}, hs AS (SELECT DISTINCT entity, route, step FROM hits),
+    nxt AS (SELECT a.entity, a.route, a.step, min(b.step) AS nx FROM hs a LEFT JOIN hs b ON a.entity = b.entity AND a.route = b.route AND b.step > a.step + 4 GROUP BY ALL),
+    anchors AS (SELECT entity, route, min(step) AS step FROM hs GROUP BY ALL
+      UNION ALL SELECT a.entity, a.route, n.nx FROM anchors a JOIN nxt n ON n.entity = a.entity AND n.route = a.route AND n.step = a.step WHERE n.nx IS NOT NULL)
+    SELECT a.entity, a.route, a.step, string_agg(DISTINCT h.rule, '+' ORDER BY h.rule) AS rules
+    FROM anchors a JOIN hits h ON h.entity = a.entity AND h.route = a.route AND h.step BETWEEN a.step AND a.step + 4 GROUP BY ALL""",
+)
+def dedupe_anchored_routes(spark, d):
+    """Hits of whole routes, which may be of any length."""
+    f = c.sig(spark, d)
+    hit = lambda pred, rule: f.filter(pred).select("entity", "route", F.col("idx").alias("step"), F.lit(rule).alias("rule"))
+    hits = hit(F.col("aEgo") < -1.2, "brake").unionByName(hit(F.abs("actual_curvature") > 0.012, "turn"))
+    out = sp.dedupe_anchored(hits, 4, sp.ROUTE, chunk=64)
+    return out.withColumn("rules", F.array_join("rules", "+"))
+
+
 SESSIONS = """ev AS (SELECT user_id AS entity, epoch_us(ts) AS t FROM events),
 """ + runs_sql("true", 21_600_000_000, "ev", "sess", "entity", "t")
 

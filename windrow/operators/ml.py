@@ -307,18 +307,18 @@ def r_squared(df: DataFrame, behav: Sequence[str]) -> DataFrame:
     return long.groupBy("stat").agg((1 - F.sum(F.col("r") * F.col("r")) / (F.var_pop("y") * F.count("y"))).alias("r2"))
 
 
-def linear_probe(df: DataFrame, vec: str, label: str, min_per: int = 4, seed: int = 42, key: str = "win_id", iters: int = 100) -> DataFrame:
-    """Logistic regression on half of each class (by hash), accuracy on the other half, lift over chance."""
+def linear_probe(df: DataFrame, vec: str, label: str, min_per: int = 4, seed: int = 42, key: str = "win_id", iters: int = 400, C: float = 1.0) -> DataFrame:
+    """Logistic regression on half of each class (by hash), accuracy on the other half, lift over chance.
+
+    The vectors are taken as they are; the weights, but not the intercepts, have an L2 penalty of 1 / (2 C) beside the summed loss.
+    """
     rows = df.select(key, F.col(label).cast("string").alias("_y"), array_to_vector(as_double(vec)).alias("_vec"))
     ranked = hash_rank(rows, ["_y"], [key], seed, "_r", "_n").filter(F.col("_n") >= min_per)
     ranked = materialize(ranked.withColumn("_train", F.col("_r") <= F.floor(F.col("_n") / 2)), "probe")
-    model = Pipeline(
-        stages=[
-            StringIndexer(inputCol="_y", outputCol="_label"),
-            StandardScaler(inputCol="_vec", outputCol="_z", withMean=True),
-            LogisticRegression(labelCol="_label", featuresCol="_z", maxIter=iters),
-        ]
-    ).fit(ranked.filter("_train"))
+    train = ranked.filter("_train")
+    penalty = 1.0 / (C * max(1, train.count()))  # beside the mean loss
+    fit = LogisticRegression(labelCol="_label", featuresCol="_vec", maxIter=iters, regParam=penalty, standardization=False, family="multinomial")
+    model = Pipeline(stages=[StringIndexer(inputCol="_y", outputCol="_label"), fit]).fit(train)
     names = F.lit(list(model.stages[0].labels))
     pred = model.transform(ranked.filter("NOT _train")).select("_y", names[F.col("prediction").cast("int")].alias("_p"))
     acc = pred.agg(F.avg((F.col("_y") == F.col("_p")).cast("double")).alias("acc"), F.count(F.lit(1)).alias("n"))
@@ -326,7 +326,7 @@ def linear_probe(df: DataFrame, vec: str, label: str, min_per: int = 4, seed: in
     return acc.join(k).select("n", "acc", (1 / F.col("_k")).alias("chance"), (F.col("acc") * F.col("_k")).alias("lift"))  # one row each
 
 
-def probe_contrast(df: DataFrame, vec: str, labels: Sequence[str], min_per: int = 4, seed: int = 42, iters: int = 100) -> DataFrame:
+def probe_contrast(df: DataFrame, vec: str, labels: Sequence[str], min_per: int = 4, seed: int = 42, iters: int = 400) -> DataFrame:
     """Linear probes of several labels (entity, route, group) side by side."""
     out = None
     for name in labels:
@@ -395,7 +395,7 @@ def forecast_events(
 def few_shot_predict(
     samples: DataFrame, features: Sequence[str], target: str, k: int = 5, seed: int = 42, key: str = "win_id"
 ) -> DataFrame:
-    """Generic linear predictor against the same plus the entity's mean residual on k support rows.
+    """Generic linear predictor (least squares on the support rows) against the same plus the entity's mean residual on k support rows.
 
     A missing feature is its exact median; only rows without the target are left out. Returns the query rows with err_generic and err_personal (absolute errors).
     """
@@ -403,11 +403,10 @@ def few_shot_predict(
     med = _one_row(exact_quantiles(_long(rows, features), ["col"], "x", [0.5]), features, "q", "_m_")
     rows = rows.filter(F.col("_t").isNotNull()).join(F.broadcast(med))  # one row
     rows = rows.withColumns({f: F.coalesce(f, "_m_" + f, F.lit(0.0)) for f in features}).drop(*med.columns)
-    vec = VectorAssembler(inputCols=list(features), outputCol="_vec")
     roles = materialize(support_query(rows, key, None, seed), "fewshot")
-    rows = vec.transform(roles)
-    fit = LinearRegression(labelCol="_t", featuresCol="_vec", predictionCol="_g", solver="normal").fit(rows.filter(F.col("role") == "support"))
-    pred = fit.transform(rows)
+    rows = roles.withColumn("_x", F.array(F.lit(1.0), *features))
+    weights = linear.least_squares(rows.filter(F.col("role") == "support"), "_x", ["_t"]).get("_t", [0.0] * (len(features) + 1))
+    pred = rows.withColumn("_g", sum((F.col("_x")[i] * w for i, w in enumerate(weights)), F.lit(0.0))).drop("_x")
     sup = pred.filter((F.col("role") == "support") & (F.col("rank") <= k))
     offset = sup.groupBy("entity").agg(F.avg(F.col("_t") - F.col("_g")).alias("_off"))
     q = pred.filter(F.col("role") == "query").join(offset, "entity")

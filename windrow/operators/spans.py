@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import CHUNK, attach, exact_quantiles, join_per_key, running_sum, runs
+from ..plans.ordered import CHUNK, attach, carry, exact_quantiles, join_per_key, running_sum, runs
+from ..plans.stage import materialize
 
 ROUTE = ("entity", "route")
 
@@ -161,14 +162,41 @@ def chunk_runs(runs_df: DataFrame, length: int = 100, keys: Sequence[str] = ROUT
     return cut.select(*keys, "i", (F.col("i") + F.col("_k") * length).alias("t"))
 
 
-def anchor_hits(hits: DataFrame, gap: int, keys: Sequence[str] = ("win_id",), step: str = "step") -> DataFrame:
+def long_anchors(hits: DataFrame, gap: int, keys: Sequence[str], step: str = "step", chunk: int = CHUNK) -> DataFrame:
+    """Greedy anchors of keys of any length, by doubling.
+
+    Each hit points at the first one more than ``gap`` after it. The first hit of every chain is an anchor; in each turn the anchors known so far add
+    those that their pointers reach, and pointers go twice as far: as many turns as the logarithm of the most anchors in a chain. All joins
+    are on (key, step), of which there is one row.
+    """
+    keys = list(keys)
+    own = materialize(hits.select(*keys, F.col(step).cast("bigint").alias(step)).distinct(), "hits")
+    asks = own.select(*keys, (F.col(step) + gap + 1).alias("_at"), F.lit(0).alias("_side"), F.col(step).alias("_from"), F.lit(None).cast("bigint").alias("_hit"))
+    there = own.select(*keys, F.col(step).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_from"), F.col(step).alias("_hit"))
+    ahead = carry(asks.unionByName(there), keys, ["_at", "_side"], {}, {"_to": "_hit"}, chunk)
+    jump = materialize(ahead.filter((F.col("_side") == 0) & F.col("_to").isNotNull()).select(*keys, F.col("_from").alias(step), "_to"), "jumps")
+    known = materialize(runs(own, keys, step, gap, chunk=chunk).select(*keys, F.col("i0").alias(step)), "anchors")
+    n = known.count()
+    while True:
+        more = known.join(jump, [*keys, step]).select(*keys, F.col("_to").alias(step))
+        known = materialize(known.unionByName(more).distinct(), "anchors")
+        before, n = n, known.count()
+        if n == before:
+            return known
+        far = jump.join(jump.select(*keys, F.col(step).alias("_to"), F.col("_to").alias("_next")), [*keys, "_to"])
+        jump = materialize(far.select(*keys, step, F.col("_next").alias("_to")), "jumps")
+
+
+def anchor_hits(hits: DataFrame, gap: int, keys: Sequence[str] = ("win_id",), step: str = "step", chunk: int | None = None) -> DataFrame:
     """Greedy anchors: the first hit, then each time the first hit more than ``gap`` after the last anchor.
 
     Each choice depends on the one before, so this folds over the ordered hits of one
-    chain (neighbours at most ``gap`` apart; chains cannot influence each other). Keys
-    are window ids: an array never holds more than a window's steps.
+    chain (neighbours at most ``gap`` apart; chains cannot influence each other). With ``chunk=None`` keys
+    are window ids: an array never holds more than a window's steps. Otherwise see ``long_anchors``.
     """
     keys = list(keys)
+    if chunk is not None:
+        return long_anchors(hits, gap, keys, step, chunk)
     w = Window.partitionBy(*keys).orderBy(step)
     apart = F.col(step) - F.lag(step).over(w)
     steps = hits.select(*keys, F.col(step).cast("bigint").alias(step)).distinct()
@@ -186,14 +214,18 @@ def anchor_hits(hits: DataFrame, gap: int, keys: Sequence[str] = ("win_id",), st
 
 
 def dedupe_anchored(
-    hits: DataFrame, gap: int = 30, keys: Sequence[str] = ("win_id",), step: str = "step", rule: str = "rule"
+    hits: DataFrame, gap: int = 30, keys: Sequence[str] = ("win_id",), step: str = "step", rule: str = "rule", chunk: int | None = None
 ) -> DataFrame:
-    """Group hits within ``gap`` steps of the group's first hit; one row per group with its sorted rules."""
+    """Group hits within ``gap`` steps of the group's first hit; one row per group with its sorted rules.
+
+    Every hit belongs to the last anchor at or before it. Keys of any length (routes) take a ``chunk``, windows None.
+    """
     keys = list(keys)
-    groups = anchor_hits(hits, gap, keys, step).withColumn("_end", F.col(step) + gap)
-    members = hits.select(*keys, F.col(step).alias("_at"), rule)
-    joined = groups.join(members, keys).filter(F.col("_at").between(F.col(step), F.col("_end")))
-    return joined.groupBy(*keys, step).agg(F.array_sort(F.collect_set(rule)).alias("rules"))
+    none = F.lit(None).cast("bigint")
+    heads = anchor_hits(hits, gap, keys, step, chunk).select(*keys, F.col(step).alias("_at"), F.lit(0).alias("_side"), F.col(step).alias("_anchor"), F.lit(None).cast(hits.schema[rule].dataType).alias(rule))
+    members = hits.select(*keys, F.col(step).cast("bigint").alias("_at"), F.lit(1).alias("_side"), none.alias("_anchor"), rule)
+    told = carry(heads.unionByName(members), keys, ["_at", "_side"], {step: "_anchor"}, chunk=chunk).filter(F.col("_side") == 1)
+    return told.groupBy(*keys, step).agg(F.array_sort(F.collect_set(rule)).alias("rules"))
 
 
 def session_merge(
