@@ -125,3 +125,21 @@ def test_licences_in_a_tree_of_several_depths(spark):
     assert (got[21].licence, got[21].from_dir) == ("apache-2.0", "web/0") and (got[98].licence, got[98].from_dir) == ("mit", "web")
     assert (got[1002].licence, got[1002].from_dir) == ("cc0-1.0", "web/1") and (got[1060].licence, got[1060].from_dir) == ("cc0-1.0", "web/1")
     assert got[1095].licence is None
+
+
+def test_a_passage_in_a_third_of_the_documents(spark):
+    """Joins by shuffle only: the hot shingle and the hot passage are dealt to several tasks, and the figures stay the same."""
+    item = " ".join(f"w{i}" for i in range(15))
+    docs = [(i, f"{item if i % 3 == 0 else 'nothing'} x{i} y{i} z{i}" + " pad" * (i % 400)) for i in range(2400)]
+    items = [(9, item), (8, item), (7, "x5 y5 z5 pad pad pad pad pad pad")]
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.doc_id: (r.n_words, r.n_hit, {int(x) for x in r.item_ids}) for r in decontam.contamination(df, it).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    wins = item_windows(items)
+    assert got == {i: contamination(t, wins) for i, t in docs}

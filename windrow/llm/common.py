@@ -99,3 +99,11 @@ def attach(rows: DataFrame, per_key: DataFrame, key: str, size: str, total: int)
     done = both.where(F.col(flag)).drop(flag)
     rest = both.where(F.col(flag).isNull()).drop(flag, *cols).join(per_key, key, "left")
     return done.unionByName(rest)
+
+
+def spread_join(rows: DataFrame, other: DataFrame, on: str, by: str, copies: int = 16) -> DataFrame:
+    """Inner join of rows of which one key may hold a large part: each key's rows are dealt by a hash of ``by`` to ``copies`` parts, to each of which
+    the rows of ``other`` are copied. ``other`` is small beside ``rows``, as it does not grow with the documents."""
+    part = fresh(rows, "join_part")
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(by), F.lit(copies)))
+    return dealt.join(other.withColumn(part, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint")))), [on, part]).drop(part)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels
-from .common import FILTER_WORDS, bloom, bounded_batches, only_with, shared
+from .common import FILTER_WORDS, bloom, bounded_batches, only_with, shared, spread_join
 from .neardup import row_key
 
 
@@ -70,7 +70,7 @@ def found_items(docs: DataFrame, items: DataFrame, window: int = 13, size: int =
     Shingles are ordered by rarity, counted over all documents. A window is contained only if all its shingles are, so
     its necessary prefix is the one rarest. Documents yield the places of such shingles with the words around; those
     join with the windows on the shingle, must leave room for the window before and behind (length and
-    position), and then equal it word for word. Which shingles are looked for is told to tasks by a filter of fixed size; what
+    position), and then equal it word for word. A shingle or passage that many documents share is dealt to several tasks. Which shingles are looked for is told to tasks by a filter of fixed size; what
     it lets pass in vain ends in the join. Null texts have no words.
     """
     spark = docs.sparkSession
@@ -136,7 +136,7 @@ def found_items(docs: DataFrame, items: DataFrame, window: int = 13, size: int =
     start = F.col("at") - F.col("place")
     fits = (start >= F.col("first")) & (start + F.col("size") <= F.col("n_words"))
     same = F.slice("near", (start - F.col("first") + 1).cast("int"), F.col("size")) == F.col("words")
-    hits = place.join(rare, "h").where(fits).where(F.when(fits, same)).select("row_key", start.alias("start"), F.col("size").alias("n"), "words").distinct()
+    hits = spread_join(place, rare, "h", "row_key").where(fits).where(F.when(fits, same)).select("row_key", start.alias("start"), F.col("size").alias("n"), "words").distinct()
     return rows.drop("hits"), shared(hits, "hits")
 
 
@@ -159,7 +159,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFr
     """
     rows, hits = found_items(docs, items, window)
     holds = item_windows(items, window, 3).select(F.col("item_id").cast("string").alias("item_id"), "words").distinct()
-    names = hits.select("row_key", "words").distinct().join(holds, "words").groupBy("row_key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    names = spread_join(hits.select("row_key", "words").distinct(), holds, "words", "row_key").groupBy("row_key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     per = covered(hits).join(names, "row_key", "left")
     out = rows.join(per, "row_key", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("bigint"))
     return out.select("doc_id", "n_words", "n_hit", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), is_contaminated().alias("contaminated"))
