@@ -178,3 +178,44 @@ def test_rank_of_values_close_together(spark):
     out = ordered.exact_rank(df, ["cls"], "x", ["id"], name="r", descending=True, total="n")
     r = out.orderBy("r").limit(3).collect()
     assert [x.r for x in r] == [1, 2, 3] and r[0].x >= r[1].x >= r[2].x and r[0].n == 100_000
+
+
+def test_one_pass_events_equal_the_single_detectors(spark, sf):
+    from windrow.catalog import common
+    from windrow.catalog import q_detect as q
+    from windrow.operators import detect as dt
+
+    f = common.win_frames(spark, sf)
+    win = dict(keys=dt.WIN, order="pos", chunk=None)
+    fol = dt.following_frames(f, **q.FOLLOWING, **win)
+    tagged = dt.cutin_tag(dt.following_chunks(fol, 3, **win), fol, first=2, keys=dt.WIN, order="pos")
+    hits = dt.lane_jump(f, 0.5, **win).unionByName(dt.lane_drift(f, 2, 6, 0.5, 0.0195))
+    hits = hits.unionByName(dt.lane_sshape(f, k_max=0.011, min_len=2, **win))
+    lanes = dt.lane_candidates(hits, f, 3, around=2)
+    want = dt.event_table(
+        dt.as_events(lanes, "lane_change", "step", F.col("score"), F.col("subtype")),
+        dt.as_events(dt.onset_runs(f, F.col("aEgo") < -1.2, 2, 3, 2, **win), "decel"),
+        dt.as_events(dt.curve_events(f, min_len=2, min_start=3, quiet=2, **win), "curve"),
+        dt.as_events(dt.turn_events(f, **q.TURN), "turn"),
+        dt.as_events(dt.accel_events(f, min_start=2, **q.ACC), "accel", score=F.col("gain")),
+        dt.as_events(tagged, "car_following", score=F.col("mean_thw"), subtype=F.col("subtype")),
+    )
+    got = q.events(f)
+    cols = ["win_id", "cls", "onset", F.round("score", 6).alias("score"), "subtype"]
+    rows = as_set(want.select(cols))
+    assert len({r[1] for r in rows}) == 6
+    assert as_set(got.select(cols)) == rows
+    # Rows without signals give no events and no error.
+    blank = f.select("win_id", "pos", *[F.lit(None).cast(f.schema[c].dataType).alias(c) for c in f.columns if c not in ("win_id", "pos")])
+    assert q.events(blank).count() == 0 and q.events(f.limit(0)).count() == 0
+
+
+def test_one_pass_reads_the_frames_without_a_shuffle(spark, sf, capsys):
+    from windrow.catalog import common
+    from windrow.catalog import q_detect as q
+    from windrow.operators import detect as dt
+    from windrow.plans.ordered import rolling
+
+    f = common.win_frames(spark, sf).withColumn("_live", dt._live(dt.WIN))
+    rolling(f, ["win_id"], "pos", 0, 0, dt.lane_marks(**{k: v for k, v in q.LANES.items()}), None).filter("lane").explain("formatted")
+    assert "Exchange" not in capsys.readouterr().out

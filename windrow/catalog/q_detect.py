@@ -100,13 +100,12 @@ quick AS (SELECT win_id, onset FROM o WHERE (SELECT max(abs(steeringRateDeg)) FR
 turns AS (SELECT win_id, onset FROM rev WHERE NOT reversing)"""
 
 
-def turns(f):
-    return dt.turn_events(f, angle=20, rate=40, min_len=2, min_start=3, quiet=2, v_lo=1.5, v_hi=15, clip=8)
+TURN = dict(angle=20, rate=40, min_len=2, min_start=3, quiet=2, v_lo=1.5, v_hi=15, clip=8)
 
 
 @query("turn_events", f"WITH {WF}, {TURNS} SELECT * FROM turns")
 def turn_events(spark, d):
-    return turns(c.win_frames(spark, d))
+    return dt.turn_events(c.win_frames(spark, d), **TURN)
 
 
 @query(
@@ -147,12 +146,11 @@ fcut AS (SELECT *, CASE WHEN onset = i AND (near < 1.5 OR fell) THEN 'cutin' ELS
 FOLLOW = f"{SIG},{follow_sql()}"
 
 
-def following_of(f, **at):
-    return dt.following_frames(f, jump=40.0, turn_k=0.018, turn_angle=100.0, turn_len=2, **at)
+FOLLOWING = dict(jump=40.0, turn_k=0.018, turn_angle=100.0, turn_len=2)
 
 
 def following(spark, d):
-    return following_of(c.sig(spark, d))
+    return dt.following_frames(c.sig(spark, d), **FOLLOWING)
 
 
 @query("following_chunks", f"WITH {FOLLOW} SELECT entity, route, i, onset, {rsel('mean_thw')} FROM fc")
@@ -192,13 +190,9 @@ drifts AS (SELECT win_id, pos + 3 AS step, 'drift' AS rule FROM ld WHERE pos % 2
   UNION ALL SELECT win_id, pos + 3, 'driftR' FROM ld WHERE pos % 2 = 0 AND k < 0.0195 AND r > 0.5)"""
 
 
-def drifts(f):
-    return dt.lane_drift(f, every=2, seg=6, thr=0.5, k_max=0.0195)
-
-
 @query("lane_drift", f"WITH {WF}, {DRIFT} SELECT * FROM drifts")
 def lane_drift(spark, d):
-    return drifts(c.win_frames(spark, d))
+    return dt.lane_drift(c.win_frames(spark, d), every=2, seg=6, thr=0.5, k_max=0.0195)
 
 
 def sshape_sql(src="sig", keys="entity, route", order="idx"):
@@ -214,11 +208,7 @@ def lane_sshape(spark, d):
     return dt.lane_sshape(c.sig(spark, d), k_max=0.011, min_len=2)
 
 
-def lane_hits(f):
-    win = dict(keys=dt.WIN, order="pos", chunk=None)
-    return (
-        dt.lane_jump(f, 0.5, **win).unionByName(drifts(f)).unionByName(dt.lane_sshape(f, k_max=0.011, min_len=2, **win))
-    )
+LANES = dict(jump=0.5, every=2, seg=6, drift=0.5, drift_k=0.0195, k_max=0.011, min_len=2, gap=3, around=2)
 
 
 LANE = f"""{WF}, {jump_sql("wf", "win_id", "pos")}, {DRIFT}, {sshape_sql("wf", "win_id", "pos")},
@@ -235,13 +225,9 @@ lanes AS (SELECT * FROM merged m WHERE NOT EXISTS (SELECT 1 FROM wf WHERE wf.win
     AND wf.pos BETWEEN m.step - 2 AND m.step + 2 AND wf.vEgo <= 6.7))"""
 
 
-def lanes(f):
-    return dt.lane_candidates(lane_hits(f), f, 3, around=2)
-
-
 @query("lane_candidates", f"WITH RECURSIVE {LANE} SELECT win_id, step, score, subtype FROM lanes")
 def lane_candidates(spark, d):
-    return lanes(c.win_frames(spark, d))
+    return dt.lane_changes(c.win_frames(spark, d), **LANES)
 
 
 EVENTS = f"""{LANE}, {onset_sql('aEgo < -1.2', 'dec', src='wf', keys='win_id', order='pos')},
@@ -255,16 +241,9 @@ evt AS (SELECT win_id, 'lane_change' AS cls, step AS onset, score, subtype FROM
 
 def events(f):
     """All six classes of a window's events."""
-    win = dict(keys=dt.WIN, order="pos", chunk=None)
-    fol = following_of(f, **win)
-    tagged = dt.cutin_tag(dt.following_chunks(fol, 3, **win), fol, first=2, keys=dt.WIN, order="pos")
-    return dt.event_table(
-        dt.as_events(lanes(f), "lane_change", "step", F.col("score"), F.col("subtype")),
-        dt.as_events(dt.onset_runs(f, F.col("aEgo") < -1.2, 2, 3, 2, **win), "decel"),
-        dt.as_events(dt.curve_events(f, min_len=2, min_start=3, quiet=2, **win), "curve"),
-        dt.as_events(turns(f), "turn"),
-        dt.as_events(dt.accel_events(f, min_start=2, **ACC), "accel", score=F.col("gain")),
-        dt.as_events(tagged, "car_following", score=F.col("mean_thw"), subtype=F.col("subtype")),
+    onset = dict(min_len=2, min_start=3, quiet=2)
+    return dt.window_events(
+        f, onset, onset, TURN, dict(min_start=2, **ACC), LANES, FOLLOWING, dict(length=3, first=2)
     )
 
 

@@ -32,7 +32,7 @@ def rolling(
     order: str,
     before: int,
     after: int,
-    columns: dict[str, Callable[[Window], Column]],
+    columns: dict[str, Callable[[Window], Column]] | Sequence[dict[str, Callable[[Window], Column]]],
     chunk: int | None = CHUNK,
 ) -> DataFrame:
     """Add columns computed over a bounded neighbourhood of each row.
@@ -41,20 +41,22 @@ def rolling(
     ``chunk`` each chunk gets copies of the ``before``/``after`` neighbouring
     order values (the halo), so the answer is the one of an unchunked window.
     ``chunk=None`` is for keys that are bounded already (a window id). Frames are
-    expected one per order value. Columns may use earlier ones.
+    expected one per order value. Columns may use earlier ones. A list of dicts is a list of levels: the columns
+    of a level use those of earlier levels only, and are found in one pass over the rows.
     """
     cols = df.columns
+    levels = [{n: fn} for n, fn in columns.items()] if isinstance(columns, dict) else columns
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(order)
-        for name, fn in columns.items():
-            df = df.withColumn(name, fn(w))
+        for level in levels:
+            df = df.withColumns({n: fn(w) for n, fn in level.items()})
         return df
     o = F.col(order)
     df = df.withColumn("_chunk", F.explode(F.sequence(chunk_of(o - after, chunk), chunk_of(o + before, chunk))))
     w = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    for name, fn in columns.items():
-        df = df.withColumn(name, fn(w))
-    names = cols + [n for n in columns if n not in cols]
+    for level in levels:
+        df = df.withColumns({n: fn(w) for n, fn in level.items()})
+    names = cols + [n for level in levels for n in level if n not in cols]
     return df.filter(F.col("_chunk") == chunk_of(o, chunk)).select(*names)
 
 
@@ -388,16 +390,20 @@ def attach(
     order: str = "idx",
     lo: str = "i0",
     hi: str = "i1",
-    block: int = 4096,
+    block: int | None = 4096,
 ) -> DataFrame:
     """Join each span to the frames with lo <= order <= hi, without a range join.
 
     Spans are copied to the blocks they touch and the join is an equi-join on
-    (keys, block), so a key with very many frames is spread over its blocks.
+    (keys, block), so a key with very many frames is spread over its blocks. ``block=None`` is
+    for bounded keys (a window id): frames that lie in buckets of the keys then stay where they are.
     """
     keys = list(keys)
-    s = spans.withColumn("_blk", F.explode(F.sequence(chunk_of(lo, block), chunk_of(hi, block))))
     own = [c for c in frames.columns if c not in spans.columns or c in keys]
-    f = frames.select(*own).withColumn("_blk", chunk_of(order, block))
-    joined = s.join(f, [*keys, "_blk"]).filter(F.col(order).between(F.col(lo), F.col(hi)))
+    if block is None:
+        joined = spans.join(frames.select(*own), keys)
+    else:
+        s = spans.withColumn("_blk", F.explode(F.sequence(chunk_of(lo, block), chunk_of(hi, block))))
+        joined = s.join(frames.select(*own).withColumn("_blk", chunk_of(order, block)), [*keys, "_blk"])
+    joined = joined.filter(F.col(order).between(F.col(lo), F.col(hi)))
     return joined.select(*spans.columns, *[c for c in own if c not in keys])
