@@ -55,6 +55,47 @@ def test_a_cluster_over_many_blocks(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == comp
 
 
+def _template(n, shared, own):
+    """Texts of one template: ``shared`` words in common, then ``own`` words of their own; every ninth is a near copy of the one before it."""
+    base = [f"w{i}" for i in range(shared)]
+    texts, last = {}, []
+    for d in range(n):
+        if d % 9 == 8:
+            tail = last[:-1] + [f"y{d}"]
+        else:
+            tail = last = [f"x{d}_{j}" for j in range(own)]
+        texts[d] = " ".join(base + tail)
+    return texts
+
+
+def test_a_template_of_many_unlike_texts(spark, monkeypatch):
+    """Similarity about 0.5 for all: bands are shared, yet only near copies may link; blocks of any size agree with the plain search."""
+    texts = _template(400, 40, 20)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    comp, _ = near_components(texts, 2)
+    assert 300 < len(set(comp.values())) < 400
+    for block in (16, 100_000):
+        monkeypatch.setattr(neardup, "BAND_BLOCK", block)
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == comp
+
+
+def test_links_across_a_large_band(spark, monkeypatch):
+    """What lies outside the main cluster of one band meets all of it, in blocks or by the join: the same clusters are connected."""
+    from windrow.llm.neardup import _across
+
+    sig = neardup.signatures(spark.createDataFrame(list(_template(200, 30, 4).items()), "doc_id bigint, text string"))
+    at = sig.select(F.lit(1).cast("bigint").alias("band"), "set_id", "bits", F.when(F.col("doc_id") < 90, F.lit(b"m")).otherwise(F.col("set_id")).alias("root"))
+    at = at.select("*", F.lit(b"m").alias("main"), F.lit(200).cast("bigint").alias("n"), F.lit(110).cast("bigint").alias("rest")).cache()
+    root = {r.set_id: r.root for r in at.collect()}
+    found = []
+    for block in (16, 1024):
+        monkeypatch.setattr(neardup, "BAND_BLOCK", block)
+        links = spark.createDataFrame([(root[r.u], root[r.v]) for r in _across(at, 0.72).collect()], "u binary, v binary")
+        found.append({bytes(r.id): bytes(r.root) for r in graph.components(links).collect()})
+    assert found[0] == found[1] and len(set(found[0].values())) < len(found[0])
+    assert _across(at.limit(0), 0.72).count() == 0
+
+
 def test_near_on_ugly_rows(ugly, nothing):
     got = {}
     for r in neardup.near_duplicates(ugly).collect():

@@ -15,6 +15,8 @@ BANDS, BAND_ROWS = 32, 5
 ERRORS = 4.0
 #: Members that meet in one task at a time, and members of a cluster that join every block of it.
 BLOCK, HUBS = 64, 8
+#: Members of one band whose packed minima meet in one task at a time.
+BAND_BLOCK = 1024
 
 
 def signatures(docs: DataFrame, text: str = "text", size: int = 2) -> DataFrame:
@@ -155,11 +157,11 @@ def _roots(docs: DataFrame, classes: DataFrame, similarity: int, size: int, text
     # Pairs in one bucket that the leads did not bring together.
     at = inside.join(cluster.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     mixed = at.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"))
-    mixed = mixed.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    at = shared(at.join(mixed.select("band", "main"), "band").join(bits, "set_id"), "mixed")
-    other = at.select("band", F.col("set_id").alias("v"), F.col("root").alias("v_root"), F.col("bits").alias("v_bits"), F.col("main").alias("v_main"))
-    more = at.where("root <> main").join(other, "band").where("root <> v_root and (v_root = v_main or set_id < v)")
-    more = shared(more.where(estimate("bits", "v_bits") >= enough).select(F.col("set_id").alias("u"), "v").distinct(), "across")
+    mixed = mixed.groupBy("band").agg(
+        F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("rest")
+    ).where("parts > 1")
+    at = shared(at.join(mixed.drop("parts"), "band").join(bits, "set_id"), "mixed")
+    more = shared(_across(at, enough), "across")
     if not more.isEmpty():
         cluster = joined(cluster, more)
     cluster = shared(cluster, "clusters")
@@ -200,6 +202,67 @@ def _roots(docs: DataFrame, classes: DataFrame, similarity: int, size: int, text
     return joined(found, _decide(met, ["root", "block", "group"], similarity, size))
 
 
+def _across(at: DataFrame, enough: float) -> DataFrame:
+    """Links (u, v) between clusters: members of one band, of unlike ``root``, whose estimate is at least ``enough``.
+
+    ``at``: band, set_id, bits, root, the band's ``main`` root, its members ``n`` and those outside main ``rest``. Only what lies outside main
+    meets the others. Bands of up to ``BAND_BLOCK`` members are a join on the band; the members of larger ones are dealt to
+    blocks, and what lies outside main to groups, each of which meets each block in a task of its own that gives back a spanning forest of
+    the clusters it joins. So a band that most texts share, all of them unlike, makes no pair rows and no large key.
+    """
+    few = F.col("n") <= BAND_BLOCK
+    other = at.where(few).select("band", F.col("set_id").alias("v"), F.col("root").alias("v_root"), F.col("bits").alias("v_bits"), F.col("main").alias("v_main"))
+    pairs = at.where(few).where("root <> main").join(other, "band").where("root <> v_root and (v_root = v_main or set_id < v)")
+    pairs = pairs.where(estimate("bits", "v_bits") >= enough).select(F.col("set_id").alias("u"), "v")
+    many = at.where(~few).withColumn("blocks", F.ceil(F.col("n") / BAND_BLOCK)).withColumn("groups", F.ceil(F.col("rest") / BAND_BLOCK))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    dealt = lambda c: F.pmod(F.xxhash64(F.lit(c), "set_id"), F.col(c))
+    cols = ["band", "group", "block", "set_id", "root", "bits", "visits"]
+    visit = many.where("root <> main").select("*", dealt("groups").alias("group"), each("blocks").alias("block"), F.lit(True).alias("visits"))
+    host = many.select("*", dealt("blocks").alias("block"), each("groups").alias("group"), F.lit(False).alias("visits"))
+    met = visit.select(cols).unionByName(host.select(cols))
+
+    def run(t):
+        import pyarrow as pa
+
+        ids, roots = t["set_id"].to_pylist(), t["root"].to_pylist()
+        _, code = np.unique(np.array([int.from_bytes(r, "big") for r in roots], dtype=object), return_inverse=True)
+        words = t["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        visits = t["visits"].to_numpy()
+        a, b = np.flatnonzero(visits), np.flatnonzero(~visits)
+        unequal = np.zeros((len(a), len(b)), np.int16)
+        for w in words.T:
+            x = w[a][:, None] ^ w[b][None, :]
+            unequal += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
+        near = (0.75 - unequal / float(BANDS * BAND_ROWS)) / 0.75 >= enough
+        i, j = np.nonzero(near & (code[a][:, None] != code[b][None, :]))
+        i, j = a[i], b[j]
+        # One link of each pair of clusters, then those that join something.
+        width = int(code.max()) + 1 if len(code) else 1
+        _, one = np.unique(np.minimum(code[i], code[j]) * width + np.maximum(code[i], code[j]), return_index=True)
+        head = np.arange(width)
+
+        def top(c):
+            while head[c] != c:
+                head[c] = head[head[c]]
+                c = head[c]
+            return c
+
+        u, v = [], []
+        for k in one:
+            x, y = top(code[i[k]]), top(code[j[k]])
+            if x != y:
+                head[x] = y
+                u.append(ids[i[k]])
+                v.append(ids[j[k]])
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    parts = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["band", "group", "block"]
+    links = met.repartition(parts, *keys).groupBy(*keys).applyInArrow(run, "u binary, v binary")
+    return pairs.unionByName(links).distinct()
+
+
 def _decide(met: DataFrame, keys: list[str], similarity: int, size: int) -> DataFrame:
     """Links (u, v) among the texts that meet under a key, decided on full sets; of each component in it a spanning tree.
 
