@@ -119,6 +119,31 @@ def contrast_pairs(pairs: DataFrame, stats: DataFrame, col: str, min_diff: float
     return both.select("key", lo.alias("win_a"), hi.alias("win_b"), "contrast").dropDuplicates(["win_a", "win_b"])
 
 
+def _reach(e: DataFrame, grp: str, top: int, close: Column, contrast: Column) -> DataFrame:
+    """Rows that can be in a group's best ``top`` pairs, with ``_lead``: whether they can be the smaller id of one.
+
+    In each cell the lowest and the highest rows make true pairs; the last of the best ``top`` of them bounds the ranked list from below. A row stays
+    if the extremes of the cells around it allow a contrast as good as that; at an equal contrast the smaller id decides.
+    """
+    k = math.isqrt(top - 1) + 2
+    cell = [grp, "_v", "_p"]
+    cols = ("entity", "id", "peak", "v0", "pre_a")
+    side = lambda order, s: top_n(e, cell, k, order, "id").select(*cell, *[F.col(c).alias(c + s) for c in cols])
+    both = side(F.asc("pre_a"), "_l").hint("merge").join(side(F.desc("pre_a"), "_h"), cell).filter(F.col("pre_a_l") < F.col("pre_a_h"))
+    first = F.col("id_l") < F.col("id_h")
+    both = both.select(grp, *[F.when(first, F.col(c + x)).otherwise(F.col(c + y)).alias(c + s) for c in cols for s, x, y in (("_a", "_l", "_h"), ("_b", "_h", "_l"))])
+    best = top_n(both.filter(close).withColumn("_c", F.round(contrast, 9)), [grp], top, F.desc("_c"), "id_a", "id_b")
+    bound = best.groupBy(grp).agg(F.max(F.struct((-F.col("_c")).alias("c"), "id_a")).alias("_w"), F.count(F.lit(1)).alias("_n"))
+    bound = bound.filter(F.col("_n") >= top).select(grp, (-F.col("_w.c")).alias("_c"), F.col("_w.id_a").alias("_first"))
+    near = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
+    ends = e.groupBy(*cell).agg(F.min("pre_a").alias("_lo"), F.max("pre_a").alias("_hi")).withColumn("_dv", F.explode(near)).withColumn("_dp", F.explode(near))
+    ends = ends.groupBy(grp, (F.col("_v") + F.col("_dv")).alias("_v"), (F.col("_p") + F.col("_dp")).alias("_p")).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    most = F.round(F.greatest(F.abs(F.col("_hi") - F.col("pre_a")), F.abs(F.col("pre_a") - F.col("_lo"))), 9)
+    out = e.hint("merge").join(ends, cell).join(F.broadcast(bound), grp, "left")  # bound is a row a group
+    lead = F.col("_c").isNull() | (most > F.col("_c")) | (F.col("id") <= F.col("_first"))
+    return out.filter(F.col("_c").isNull() | (most >= F.col("_c"))).select(*e.columns, lead.alias("_lead"))
+
+
 def band_pairs(
     events: DataFrame,
     rel: float = 0.2,
@@ -132,23 +157,14 @@ def band_pairs(
 
     A band join on two axes: speeds within dv meet in neighbouring cells of width dv, and
     peaks within a share ``rel`` of each other in neighbouring cells of the log scale. So
-    only rows of the same small cell meet, however large the group is; a cell's left rows are dealt
-    by hash to ``salt`` tasks, to which its right rows are copied. ``top`` is the length of each group's
-    ranked list (greatest contrast first); without it all pairs are given.
+    only rows of the same small cell meet, however large the group is; a cell's right rows are dealt
+    by hash to ``salt`` tasks, to which its left rows are copied. ``top`` is the length of each group's
+    ranked list (greatest contrast first), for which only the rows meet that can be in it; without it all pairs are given.
     """
     width = -math.log1p(-rel) * 1.0001
-    e = events.select(grp, "entity", "id", "peak", "v0", "pre_a").filter(F.col("peak") > 0)
+    cols = ("entity", "id", "peak", "v0", "pre_a")
+    e = events.select(grp, *cols).filter(F.col("peak") > 0).dropna(subset=[grp, *cols])
     e = e.withColumn("_v", F.floor(F.col("v0") / dv)).withColumn("_p", F.floor(F.ln("peak") / width))
-    a = e.select(grp, "_v", "_p", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int").alias("_salt"), *[F.col(c).alias(c + "_a") for c in ("entity", "id", "peak", "v0", "pre_a")])
-    near = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
-    b = e.withColumn("_dv", F.explode(near)).withColumn("_dp", F.explode(near))
-    b = b.select(
-        grp,
-        (F.col("_v") + F.col("_dv")).alias("_v"),
-        (F.col("_p") + F.col("_dp")).alias("_p"),
-        F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"),
-        *[F.col(c).alias(c + "_b") for c in ("entity", "id", "peak", "v0", "pre_a")],
-    )
     contrast = F.abs(F.col("pre_a_a") - F.col("pre_a_b"))
     close = (
         (F.col("id_a") < F.col("id_b"))
@@ -157,7 +173,19 @@ def band_pairs(
         & (F.round(F.abs(F.col("v0_a") - F.col("v0_b")), 9) <= dv)
         & (F.round(contrast, 9) > min_contrast)
     )
-    out = a.join(b, [grp, "_v", "_p", "_salt"]).filter(close).select(grp, "id_a", "id_b", contrast.alias("contrast"))
+    e = materialize(_reach(e, grp, top, close, contrast), "band") if top else e.withColumn("_lead", F.lit(True))
+    near = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
+    a = e.filter("_lead").withColumn("_dv", F.explode(near)).withColumn("_dp", F.explode(near))
+    a = a.select(
+        grp,
+        (F.col("_v") + F.col("_dv")).alias("_v"),
+        (F.col("_p") + F.col("_dp")).alias("_p"),
+        F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"),
+        *[F.col(c).alias(c + "_a") for c in cols],
+    )
+    b = e.select(grp, "_v", "_p", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int").alias("_salt"), *[F.col(c).alias(c + "_b") for c in cols])
+    # Sizes are not known before rows are copied: neither side may be broadcast.
+    out = a.hint("merge").join(b, [grp, "_v", "_p", "_salt"]).filter(close).select(grp, "id_a", "id_b", contrast.alias("contrast"))
     return top_n(out, [grp], top, F.desc(F.round("contrast", 9)), "id_a", "id_b") if top else out
 
 
