@@ -33,3 +33,19 @@ def test_band_pairs_ranked_list(spark, levels):
     assert "BroadcastExchange" not in plan(out)
     assert "BroadcastExchange" not in plan(pr.band_pairs(df, 0.05, 0.5, 1.2))
     assert pr.band_pairs(df, 0.05, 0.5, 1.2).count() > len(want)
+
+
+def test_forest_votes_leave_a_task_as_one_class(spark):
+    """What leaves a task that votes is one row a case and feature set, however many classes the trees name; a hot model's cases are spread."""
+    import numpy as np
+
+    from windrow.operators import forests
+
+    rng = np.random.default_rng(3)
+    rows = [("m", i % 2, f"c{int(rng.integers(0, 40)):02d}", str(i), float(rng.normal()), float(rng.normal())) for i in range(600)]
+    df = spark.createDataFrame(rows, "_m string, _part int, _y string, _id string, x double, z double").withColumn("_part", F.col("_part").cast("bigint"))
+    out = forests.forest_votes(df, {"x": ["x"], "all": ["x", "z"]}, trees=30, depth=6)
+    assert len(out.inputFiles()) > 1 and out.count() == 1200 and out.filter("_p IS NULL").count() == 0
+    text = plan(out)
+    assert "_votes" not in text and "TREES_PER_BLOCK" not in dir(forests)
+    assert forests._most(np.array([[2, 1, 2, 1, 0], [3, 3, 0, 0, 0], [5, 4, 3, 2, 1]])).tolist() == [1, 0, 1]
