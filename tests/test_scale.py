@@ -49,3 +49,22 @@ def test_forest_votes_leave_a_task_as_one_class(spark):
     text = plan(out)
     assert "_votes" not in text and "TREES_PER_BLOCK" not in dir(forests)
     assert forests._most(np.array([[2, 1, 2, 1, 0], [3, 3, 0, 0, 0], [5, 4, 3, 2, 1]])).tolist() == [1, 0, 1]
+
+
+def test_blocks_copy_little_and_multiply_tile_by_tile(spark):
+    """Queries are copied once for each block of many items, not of a few thousand; tiles give what one product gives."""
+    import numpy as np
+
+    from windrow.plans import blocks
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 30, (2500, 3)).astype(float)
+    pts = spark.createDataFrame([(f"p{i * 7 % 2500:04d}", f"e{i % 9}", x[i].tolist()) for i in range(2500)], "id string, e string, vec array<double>")
+    grid = blocks.block_grid(pts, spark.range(9000).selectExpr("id AS i"), [], "id", "i", lambda a, b: a[["id"]], "id string")
+    assert grid.count() == 2500  # one row a query and item block
+    ids = [f"p{i * 7 % 2500:04d}" for i in range(2500)]
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d2, np.inf)
+    order = np.argsort(ids)
+    want = {ids[i]: ids[order[d2[i, order].argmin()]] for i in range(2500)}
+    assert {r.id: r.nn for r in blocks.nearest(pts, "id", "e").collect()} == want
