@@ -68,3 +68,15 @@ def test_blocks_copy_little_and_multiply_tile_by_tile(spark):
     order = np.argsort(ids)
     want = {ids[i]: ids[order[d2[i, order].argmin()]] for i in range(2500)}
     assert {r.id: r.nn for r in blocks.nearest(pts, "id", "e").collect()} == want
+
+
+def test_importances_rows_are_spread(spark, monkeypatch):
+    """A small table is not one task's work in every pass of the forest."""
+    from windrow.operators import ml
+
+    written = []
+    keep = ml.materialize
+    monkeypatch.setattr(ml, "materialize", lambda df, *a: written.append(keep(df, *a)) or written[-1])
+    df = spark.range(2000).selectExpr("rand(1) AS x", "rand(2) AS z", "IF(rand(1) > 0.5, 'a', 'b') AS y").coalesce(1)
+    found = {r.feature: r.importance for r in ml.importances(df, ["x", "z"], "y", trees=5, depth=3).collect()}
+    assert found["x"] > found["z"] and len(written[0].inputFiles()) >= spark.sparkContext.defaultParallelism
