@@ -80,3 +80,18 @@ def test_importances_rows_are_spread(spark, monkeypatch):
     df = spark.range(2000).selectExpr("rand(1) AS x", "rand(2) AS z", "IF(rand(1) > 0.5, 'a', 'b') AS y").coalesce(1)
     found = {r.feature: r.importance for r in ml.importances(df, ["x", "z"], "y", trees=5, depth=3).collect()}
     assert found["x"] > found["z"] and len(written[0].inputFiles()) >= spark.sparkContext.defaultParallelism
+
+
+def test_kl_hist_deals_a_group_over_tasks(spark):
+    """Values of one group meet copies of its range: no task gets the group; equal values are one row."""
+    from windrow.operators import distance as ds
+
+    ab = spark.range(3000).select(F.lit("g").alias("g"), (F.col("id") % 700 / 7.0).alias("x"), (F.col("id") % 2).cast("int").alias("side"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ds.kl_hist(ab, ["g"])
+        join = [line for line in plan(out).splitlines() if "Join" in line and "_s#" in line]
+        assert join and out.collect()[0].kl == pytest.approx(ds.kl_hist(ab.drop("g"), []).collect()[0].kl)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

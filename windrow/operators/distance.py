@@ -13,6 +13,8 @@ from ..plans.ordered import attach, exact_quantiles, exact_rank, running_totals
 from ..plans.stage import materialize
 from .metrics import _neighbour, cluster_bootstrap
 
+# Copies of a group's range that its values meet: a group of any size is spread over so many keys.
+RANGE_COPIES = 64
 # Samples needed on each side, histogram smoothing, bandwidth guard.
 MIN_SIDE = 5
 SMOOTH = 1e-6
@@ -49,10 +51,13 @@ def kl_hist(ab: DataFrame, by: Sequence[str], bins: int = 30) -> DataFrame:
     rng = q.groupBy(*by).agg(lo.alias("_lo"), hi.alias("_hi"))
     size = ab.groupBy(*by).agg(F.count_if(F.col("side") == 0).alias("_ta"), F.count_if(F.col("side") == 1).alias("_tb"))
     rng = rng.join(size, by) if by else rng.join(size)  # one row each
-    x = ab.join(rng, by) if by else ab.join(rng)
+    # Equal values are one row, and a group's values are dealt over copies of its range: no task gets a group.
+    x = ab.groupBy(*by, "x").agg(*[c.alias(n) for n, c in _sides().items()])
+    x = x.withColumn("_s", F.pmod(F.xxhash64("x"), F.lit(RANGE_COPIES)))
+    x = x.join(rng.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(RANGE_COPIES - 1).cast("bigint")))), [*by, "_s"])
     x = x.filter((F.col("x") >= F.col("_lo")) & (F.col("x") <= F.col("_hi")) & (F.col("_hi") > F.col("_lo")))
     b = F.least(F.floor(F.round((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins, 9)), F.lit(bins - 1))
-    cnt = x.groupBy(*by, b.alias("_b")).agg(*[c.alias(n) for n, c in _sides().items()], F.max("_ta").alias("_ta"), F.max("_tb").alias("_tb"))
+    cnt = x.groupBy(*by, b.alias("_b")).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.max("_ta").alias("_ta"), F.max("_tb").alias("_tb"))
     tot = cnt.groupBy(*by).agg(F.sum("na").alias("_sa"), F.sum("nb").alias("_sb"))
     cnt = cnt.join(tot, by) if by else cnt.join(tot)
     da, db = F.col("_sa") + bins * SMOOTH, F.col("_sb") + bins * SMOOTH
