@@ -82,6 +82,64 @@ def test_importances_rows_are_spread(spark, monkeypatch):
     assert found["x"] > found["z"] and len(written[0].inputFiles()) >= spark.sparkContext.defaultParallelism
 
 
+def lineitem(spark, folder, rows):
+    """Tables of a handful of lines: rows of (supplier, ship date, order, line); the other columns follow from the row's number."""
+    flags = ["R", "A", "N"]
+    li = [(o, o % 50, s, n, float(i * 7 % 50 + 1), float(i % 97) * 900.0, i % 11 / 100, i % 9 / 100, flags[i % 3], "OF"[i % 2], day) for i, (s, day, o, n) in enumerate(rows)]
+    cols = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(li, cols).repartition(5).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "s_suppkey long, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+    spark.createDataFrame([(0, 0), (1, 1)], "n_nationkey int, n_regionkey int").write.parquet(f"{folder}/nation.parquet")
+    spark.createDataFrame([(0, "ASIA"), (1, "EUROPE")], "r_regionkey int, r_name string").write.parquet(f"{folder}/region.parquet")
+
+
+def test_signals_lie_by_route(spark, tmp_path, monkeypatch):
+    """A route's frames are written by one task; a route of very many goes by months, with the same numbers; all tasks' rows are bounded."""
+    import datetime
+
+    from windrow.catalog import common as c
+    from windrow.plans import stage as st
+    from windrow.sources import tables as tb
+
+    rnd = random.Random(4)
+    days = [datetime.datetime(1996, 1, 1) + datetime.timedelta(days=rnd.randrange(700)) for _ in range(900)] + [None, None]
+    rows = [(rnd.choice([1, 1, 2, 3]) if i % 89 else None, day, rnd.randrange(60), i) for i, day in enumerate(days)]
+    lineitem(spark, str(tmp_path), rows)
+    want = {}
+    for s, day, o, n in sorted((r for r in rows if None not in r[:2]), key=lambda r: r[1:]):
+        want.setdefault((f"S{s}", day.year), []).append(n)
+    f = c.sig(spark, str(tmp_path))
+    routes = f.withColumn("_file", F.input_file_name()).groupBy("entity", "route").agg(F.count_distinct("_file").alias("files"), F.count(F.lit(1)).alias("n"), F.max("idx").alias("last")).collect()
+    assert {(r.entity, r.route): r.n for r in routes} == {k: len(v) for k, v in want.items()}
+    assert all(r.files == 1 and r.last == r.n - 1 for r in routes)
+    got = sorted(tuple(r) for r in f.collect())
+    monkeypatch.setattr(tb, "ROWS_PER_BUCKET", 3)
+    monkeypatch.setattr(st, "ROWS_PER_BUCKET", 50)
+    cut = tb.signals(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in cut.drop(*tb.RAW).collect()) == got
+    assert st.tasks_for(spark, 901) == 19 and st.tasks_for(spark, 1) == spark.sparkContext.defaultParallelism
+
+
+def test_window_frames_are_shuffled_as_raw_columns(spark, sf):
+    """What is shuffled for the windows' frames has lineitem's columns, not the telemetry; a frame is a row of at most 16 columns."""
+    from windrow.catalog import common as c
+    from windrow.sources import tables as tb
+
+    f = c.win_frames(spark, sf)
+    assert f.columns[:7] == ["entity", "route", "wi0", "wi1", "win_id", "grp", "idx"] and f.columns[-2:] == ["is_human", "pos"]
+    assert not set(tb.RAW) & set(f.columns) and not set(tb.RAW) & set(c.sig(spark, sf).columns)
+
+
+def test_window_statistics_sort_once(spark, sf):
+    """Percentiles are no aggregates (which sort rows and maps again): frames lie by window, and are sorted once at most."""
+    from windrow.catalog import QUERIES
+
+    for name in ("window_stats", "headway_stats", "path_features", "long_features", "pedal_speed_features"):
+        text = plan(QUERIES[name](spark, sf))
+        assert "ObjectHashAggregate" not in text and "Exchange" not in text, name
+        assert text.count("Sort [") == 1, name
+
+
 def test_kl_hist_deals_a_group_over_tasks(spark):
     """Values of one group meet copies of its range: no task gets the group; equal values are one row."""
     from windrow.operators import distance as ds
@@ -95,3 +153,20 @@ def test_kl_hist_deals_a_group_over_tasks(spark):
         assert join and out.collect()[0].kl == pytest.approx(ds.kl_hist(ab.drop("g"), []).collect()[0].kl)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_steps_take_a_number_of_tasks(spark):
+    """Runs, joins with spans and rolling columns give the same rows in any number of tasks, which adaptive execution does not merge."""
+    from windrow.operators import spans as sp
+    from windrow.plans import ordered
+
+    f = spark.range(600).select((F.col("id") % 3).cast("string").alias("entity"), (F.col("id") % 2).alias("route"), F.floor(F.col("id") / 6).alias("idx"), (F.col("id") % 13 * 1.0).alias("vEgo"))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    human = sp.merge_runs(f, F.col("vEgo") > 3, 2, 3)
+    assert rows(human) == rows(sp.merge_runs(f, F.col("vEgo") > 3, 2, 3, tasks=11)) and rows(human)
+    assert rows(sp.span_table(f, human)) == rows(sp.span_table(f, human, tasks=11))
+    assert rows(sp.slide_frames(f, human, 8, 4, 3)) == rows(sp.slide_frames(f, human, 8, 4, 3, tasks=11))
+    cols = {"p": lambda w: F.lag("vEgo", 2).over(w)}
+    roll = ordered.rolling(f, ["entity", "route"], "idx", 2, 0, cols, 16, tasks=11)
+    assert rows(roll) == rows(ordered.rolling(f, ["entity", "route"], "idx", 2, 0, cols, 16))
+    assert "REPARTITION_BY_NUM" in plan(roll) and "REPARTITION_BY_NUM" in plan(sp.span_table(f, human, tasks=11))
