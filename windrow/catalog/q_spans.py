@@ -39,7 +39,8 @@ def span_table(spark, d):
 )
 def span_rollup(spark, d):
     f = c.sig(spark, d)
-    return rounded(sp.span_rollup(sp.span_table(f, c.human_spans(f), rate=COARSE["rate"])))
+    n = c.sig_tasks(spark, d)
+    return rounded(sp.span_rollup(sp.span_table(f, c.human_spans(f, n), rate=COARSE["rate"], tasks=n)))
 
 
 @query("raw_runs", f"WITH {SIG}, {runs_sql('aEgo < -1.2')} SELECT entity, route, i0 AS i, i1 + 1 AS j FROM runs")
