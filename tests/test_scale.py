@@ -170,3 +170,11 @@ def test_steps_take_a_number_of_tasks(spark):
     roll = ordered.rolling(f, ["entity", "route"], "idx", 2, 0, cols, 16, tasks=11)
     assert rows(roll) == rows(ordered.rolling(f, ["entity", "route"], "idx", 2, 0, cols, 16))
     assert "REPARTITION_BY_NUM" in plan(roll) and "REPARTITION_BY_NUM" in plan(sp.span_table(f, human, tasks=11))
+
+
+def test_following_is_written_once(spark, sf):
+    """Runs of following, their frames and the starts of runs read one written table."""
+    from windrow.catalog import QUERIES
+
+    text = plan(QUERIES["cutin_tag"](spark, sf))
+    assert "following_" in text and "vEgo" not in text

@@ -150,18 +150,21 @@ FOLLOWING = dict(jump=40.0, turn_k=0.018, turn_angle=100.0, turn_len=2)
 
 
 def following(spark, d):
-    return dt.following_frames(c.sig(spark, d), **FOLLOWING)
+    """Written once: its readers are the runs, their frames and the starts of runs."""
+    build = lambda: dt.following_frames(c.sig(spark, d), **FOLLOWING, tasks=c.sig_tasks(spark, d))
+    return c.stage(spark, "following", d, build)
 
 
 @query("following_chunks", f"WITH {FOLLOW} SELECT entity, route, i, onset, {rsel('mean_thw')} FROM fc")
 def following_chunks(spark, d):
-    return rounded(dt.following_chunks(following(spark, d), 3))
+    return rounded(dt.following_chunks(following(spark, d), 3, tasks=c.sig_tasks(spark, d)))
 
 
 @query("cutin_tag", f"WITH {FOLLOW} SELECT entity, route, i, onset, subtype FROM fcut")
 def cutin_tag(spark, d):
     f = following(spark, d)
-    out = dt.cutin_tag(dt.following_chunks(f, 3), f, first=2)
+    n = c.sig_tasks(spark, d)
+    out = dt.cutin_tag(dt.following_chunks(f, 3, tasks=n), f, first=2, tasks=n)
     return out.select("entity", "route", "i", "onset", "subtype")
 
 
