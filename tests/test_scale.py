@@ -178,3 +178,20 @@ def test_following_is_written_once(spark, sf):
 
     text = plan(QUERIES["cutin_tag"](spark, sf))
     assert "following_" in text and "vEgo" not in text
+
+
+def test_long_anchors_look_at_near_hits_only(spark):
+    """Pointers come from hits within twice the gap, in one pass; several rules at one step are one row of what is carried."""
+    from windrow.operators import spans as sp
+
+    rnd = random.Random(8)
+    rows = sorted({(f"e{e}", s, rnd.choice("ab")) for e in range(3) for s in (rnd.randrange(400) for _ in range(150 + 60 * e))}) + [("far", 5, "a"), ("far", 9_000, "b"), ("far", 9_001, "a")]
+    want = {}
+    for e, s, r in sorted(rows):
+        at = max((a for x, a in want if x == e), default=None)
+        want.setdefault((e, s if at is None or s > at + 4 else at), set()).add(r)
+    df = spark.createDataFrame(rows, "entity string, step long, rule string")
+    for chunk in (7, 64, 100_000):
+        got = {(r.entity, r.step): r.rules for r in sp.dedupe_anchored(df, 4, ["entity"], chunk=chunk).collect()}
+        assert got == {k: sorted(v) for k, v in want.items()}
+    assert "carry" not in sp._long_anchors.__code__.co_names
