@@ -127,6 +127,27 @@ def test_components(spark):
     assert graph.components(df.where("u < 0")).count() == 0
 
 
+def test_stars_take_no_turn(spark, monkeypatch):
+    """Edges that are stars around their least nodes are the components: they are written once, and gone through in no further turn."""
+    writes = []
+    monkeypatch.setattr(graph, "shared", lambda df, name, real=graph.shared: writes.append(name) or real(df, name))
+    df = spark.createDataFrame([(i, i % 7) for i in range(7, 300)], "u bigint, v bigint")
+    assert {r.id: r.root for r in graph.components(df).collect()} == {i: i % 7 for i in range(300)}
+    assert writes == ["edges"]
+
+
+def test_a_block_gives_back_stars(spark):
+    """Links within a block are stars around the least id of each component, whatever pairs are near."""
+    base = [f"w{i}" for i in range(40)]
+    text = lambda d: " ".join(base[:d] + [f"x{d}"] + base[d:])
+    rows = spark.createDataFrame([(d, text(d)) for d in range(2, 36)] + [(90, "one two three"), (91, "one two three")], "doc_id bigint, text string")
+    ids = neardup.signatures(rows).select("doc_id", F.col("set_id").alias("id"))
+    met = rows.join(ids, "doc_id").where("doc_id <> 91").select(F.lit(1).alias("root"), F.lit(0).alias("block"), "id", "text")
+    links = [(bytes(r.u), bytes(r.v)) for r in neardup._decide(met, ["root", "block"], 80, 2).collect()]
+    assert len(links) == 33 and len({v for _, v in links}) == 1 and len({u for u, _ in links}) == 33
+    assert all(v < u for u, v in links)
+
+
 def test_queries(spark, sf):
     for name in ("op2_exact_dedup", "op9_minhash_near_dedup"):
         df = queries.QUERIES[name](spark, sf)

@@ -112,7 +112,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 80, size: int = 2, text:
     links to one member of each bucket; links between clusters within a bucket are then added. In a cluster
     all pairs are decided on the full sets, in blocks: first each block with a few members that visit all
     blocks, then what did not yet join the main part against all blocks. Only pairs within one confirmed
-    component are left out, and no pair leaves a task but the links of a spanning forest.
+    component are left out, and no pair leaves a task but the links of stars around the least members.
 
     Runs jobs while it is built: tables in the shared folder cut the lineage.
     """
@@ -144,13 +144,11 @@ def _roots(docs: DataFrame, classes: DataFrame, similarity: int, size: int, text
     """(id, root) of the classes with links: the components of the graph of all confirmed links."""
     enough = least_estimate(similarity / 100)
     keyed = classes.select("set_id", F.explode("bands").alias("band"))
-    draw = F.xxhash64("band", "set_id")
-    buckets = shared(
-        keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min_by("set_id", draw).alias("lead")).where("n > 1"), "buckets"
-    )
+    # The least member leads: of a cluster it is the same one in most of its bands, so few links and turns are needed.
+    buckets = shared(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("set_id").alias("lead")).where("n > 1"), "buckets")
     inside = shared(only_with(keyed, F.col("band"), buckets, "band"), "inside")
     bits = classes.select("set_id", "bits")
-    star = inside.join(buckets, "band").where("lead <> set_id").select("set_id", "lead").distinct()
+    star = inside.join(buckets, "band").where("lead <> set_id").select("set_id", "lead").repartition("set_id").distinct()
     star = star.join(bits, "set_id").join(bits.select(F.col("set_id").alias("lead"), F.col("bits").alias("lead_bits")), "lead")
     star = shared(star.where(estimate("bits", "lead_bits") >= enough).select(F.col("set_id").alias("u"), F.col("lead").alias("v")), "stars")
     cluster = components(star)
@@ -190,13 +188,10 @@ def _roots(docs: DataFrame, classes: DataFrame, similarity: int, size: int, text
         return found
     # What is not in the main part is dealt anew to blocks, and each meets every block of its cluster.
     rest = rest.withColumn("groups", F.ceil(F.col("rest") / BLOCK))
-    text_of = big.select("id", "text")
-    small = left.where("part <> main").join(rest, "root").select(
-        "root", "id", "part", F.pmod(F.xxhash64(F.lit("rest"), "id"), F.col("groups")).alias("group"), "blocks"
-    )
-    visit = small.join(text_of, "id").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    host = left.select("root", "id", "part", "block").join(text_of, "id").join(rest, "root")
-    host = host.withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
+    whole = left.join(big.select("id", "text"), "id").join(rest, "root")
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    visit = whole.where("part <> main").withColumn("group", F.pmod(F.xxhash64(F.lit("rest"), "id"), F.col("groups"))).withColumn("block", each("blocks"))
+    host = whole.withColumn("group", each("groups"))
     cols = ["root", "block", "group", "id", "text", "part"]
     met = visit.select(*cols).unionByName(host.select(*cols))
     return joined(found, _decide(met, ["root", "block", "group"], similarity, size))
@@ -207,8 +202,8 @@ def _across(at: DataFrame, enough: float) -> DataFrame:
 
     ``at``: band, set_id, bits, root, the band's ``main`` root, its members ``n`` and those outside main ``rest``. Only what lies outside main
     meets the others. Bands of up to ``BAND_BLOCK`` members are a join on the band; the members of larger ones are dealt to
-    blocks, and what lies outside main to groups, each of which meets each block in a task of its own that gives back a spanning forest of
-    the clusters it joins. So a band that most texts share, all of them unlike, makes no pair rows and no large key.
+    blocks, and what lies outside main to groups, each of which meets each block in a task of its own that gives back one star for all
+    clusters it joins. So a band that most texts share, all of them unlike, makes no pair rows and no large key.
     """
     few = F.col("n") <= BAND_BLOCK
     other = at.where(few).select("band", F.col("set_id").alias("v"), F.col("root").alias("v_root"), F.col("bits").alias("v_bits"), F.col("main").alias("v_main"))
@@ -226,7 +221,7 @@ def _across(at: DataFrame, enough: float) -> DataFrame:
         import pyarrow as pa
 
         ids, roots = t["set_id"].to_pylist(), t["root"].to_pylist()
-        _, code = np.unique(np.array([int.from_bytes(r, "big") for r in roots], dtype=object), return_inverse=True)
+        _, first, code = np.unique(np.array([int.from_bytes(r, "big") for r in roots], dtype=object), return_index=True, return_inverse=True)
         words = t["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
         visits = t["visits"].to_numpy()
         a, b = np.flatnonzero(visits), np.flatnonzero(~visits)
@@ -237,7 +232,7 @@ def _across(at: DataFrame, enough: float) -> DataFrame:
         near = (0.75 - unequal / float(BANDS * BAND_ROWS)) / 0.75 >= enough
         i, j = np.nonzero(near & (code[a][:, None] != code[b][None, :]))
         i, j = a[i], b[j]
-        # One link of each pair of clusters, then those that join something.
+        # One link of each pair of clusters, then a star of what they join.
         width = int(code.max()) + 1 if len(code) else 1
         _, one = np.unique(np.minimum(code[i], code[j]) * width + np.maximum(code[i], code[j]), return_index=True)
         head = np.arange(width)
@@ -248,13 +243,11 @@ def _across(at: DataFrame, enough: float) -> DataFrame:
                 c = head[c]
             return c
 
-        u, v = [], []
         for k in one:
             x, y = top(code[i[k]]), top(code[j[k]])
-            if x != y:
-                head[x] = y
-                u.append(ids[i[k]])
-                v.append(ids[j[k]])
+            head[max(x, y)] = min(x, y)
+        low = [c for c in range(len(first)) if head[c] != c]
+        u, v = [ids[first[c]] for c in low], [ids[first[top(c)]] for c in low]
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
     parts = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -264,9 +257,9 @@ def _across(at: DataFrame, enough: float) -> DataFrame:
 
 
 def _decide(met: DataFrame, keys: list[str], similarity: int, size: int) -> DataFrame:
-    """Links (u, v) among the texts that meet under a key, decided on full sets; of each component in it a spanning tree.
+    """Links (u, v) among the texts that meet under a key, decided on full sets: each component in it is a star around its least id.
 
-    With a column ``part``, rows of one part count as joined already.
+    With a column ``part``, rows of one part count as joined already, and the links are between parts.
     """
 
     def run(t):
@@ -303,13 +296,12 @@ def _decide(met: DataFrame, keys: list[str], similarity: int, size: int) -> Data
                 x = head[x]
             return x
 
-        u, v = [], []
         for i, j in near:
             a, b = top(label[i]), top(label[j])
             if a != b and true[i] and true[j]:
-                head[a] = b
-                u.append(ids[i])
-                v.append(ids[j])
+                head[max(a, b)] = min(a, b)
+        u = list(head)
+        v = [top(x) for x in u]
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
     # The work is in Python, and much for few bytes: use every shuffle partition.
