@@ -195,3 +195,45 @@ def test_long_anchors_look_at_near_hits_only(spark):
         got = {(r.entity, r.step): r.rules for r in sp.dedupe_anchored(df, 4, ["entity"], chunk=chunk).collect()}
         assert got == {k: sorted(v) for k, v in want.items()}
     assert "carry" not in sp._long_anchors.__code__.co_names
+
+
+def test_forecast_finds_features_in_the_buckets_of_frames(spark):
+    """Frames that lie in buckets of their window meet anchors there: only the anchors are shuffled, and each feature is a column of its own; the
+    rows are those of the join on blocks."""
+    from windrow.operators import ml
+    from windrow.plans.stage import materialize
+
+    rnd = random.Random(5)
+    rows = [(f"w{w}", p, *[rnd.choice([0.0, 0.5, 1.0, None]) for _ in ml.HISTORY_SIGNALS]) for w in range(40) for p in range(20)]
+    frames = spark.createDataFrame(rows, "win_id string, pos long, " + ", ".join(f"{s} double" for s in ml.HISTORY_SIGNALS))
+    frames = materialize(frames, "frames", ["win_id"], ["pos"], 800)
+    cases = [(f"w{w}", 5 + k, (w + k) % 2, f"e{w % 8}") for w in range(40) for k in range(0, 12, 3)]
+    anchors = spark.createDataFrame(cases + cases[:3], "win_id string, a long, y long, entity string")
+    near, far = ml.history_features(frames, anchors, 5, bounded=True), ml.history_features(frames, anchors, 5)
+    value = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert value(near) == value(far) and near.count() == len(cases)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near, far = (plan(ml.history_features(frames, anchors, 5, bounded=b)).count("Exchange hashpartitioning") for b in (True, False))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (near, far) == (1, 3)  # the anchors; before, also the frames, and the rows of the join
+    folds = spark.createDataFrame([(f"e{i}", "test" if i < 3 else "train") for i in range(8)], "entity string, fold string")
+    once = ml.forecast_events(anchors, frames, folds, 5, iters=1, bounded=True)
+    assert sorted((r.win_id, r.a, r.y, r.entity) for r in once.collect()) == sorted(c for c in cases if c[3] < "e3")
+    twice = ml.forecast_events(anchors, frames, folds.unionByName(folds), 5, iters=1, bounded=True)
+    assert twice.count() == 2 * once.count()
+
+
+def test_ranking_in_one_pass_is_both_metrics(spark):
+    from windrow.operators import metrics as mt
+
+    rnd = random.Random(6)
+    rows = [(rnd.choice("ab"), rnd.choice([None, 0.1, 0.2, 0.7, 0.9]), rnd.randrange(2)) for _ in range(200)] + [("c", 0.5, 1), ("d", 0.5, 0), (None, 0.5, 1)]
+    df = spark.createDataFrame(rows, "g string, score double, y int")
+    got = {r.g: r for r in mt.auroc_and_precision(df, "score", "y", ["g"]).collect()}
+    au, ap = ({r.g: r for r in f(df, "score", "y", ["g"]).collect()} for f in (mt.auroc, mt.average_precision))
+    assert set(got) == set(au) == set(ap)
+    for g, r in got.items():
+        assert (r.n_pos, r.n_neg) == (au[g].n_pos, au[g].n_neg)
+        assert r.auroc == pytest.approx(au[g].auroc, abs=1e-12, nan_ok=True) and r.ap == pytest.approx(ap[g].ap, abs=1e-12)

@@ -44,7 +44,7 @@ HIST = f"""string_agg(concat_ws(',', {f1("(pos - a)::DOUBLE", 1)}, {f1("vEgo", 1
 )
 def serialize_history(spark, d):
     f = with_yaw(c.win_frames(spark, d))
-    return tx.serialize_history(f, anchors(f)[1].select("win_id", "a").distinct(), 5, 1.0)
+    return tx.serialize_history(f, anchors(f)[1].select("win_id", "a").distinct(), 5, 1.0, bounded=True)
 
 
 @query(
@@ -58,7 +58,7 @@ def export_jsonl(spark, d):
     f = with_yaw(c.win_frames(spark, d))
     both = anchors(f)[1].select("win_id", "a", "y").unionByName(negatives(spark, d, f).select("win_id", "a", "y")).distinct()
     pick = lambda y, n: sm.hash_top_n(both.filter(F.col("y") == y), ["y"], n, 42, "win_id", "a")
-    text = tx.serialize_history(f, pick(1, 200).unionByName(pick(0, 400)), 5, 1.0)
+    text = tx.serialize_history(f, pick(1, 200).unionByName(pick(0, 400)), 5, 1.0, bounded=True)
     return tx.jsonl_lines(text, F.concat("win_id", F.lit("@"), F.col("a").cast("string")), F.col("y"))
 
 

@@ -60,9 +60,10 @@ def serialize_history(
     rate: float = 10.0,
     keys: Sequence[str] = ("win_id",),
     order: str = "pos",
+    bounded: bool = False,
 ) -> DataFrame:
-    """One CSV text per anchor: the hist frames before it, with time relative to the anchor."""
-    h = history_future(frames, anchors, hist, 0, keys, order)
+    """One CSV text per anchor: the hist frames before it, with time relative to the anchor. ``bounded``: as in ``history_future``."""
+    h = history_future(frames, anchors, hist, 0, keys, order, bounded)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     line = F.concat_ws(
         ",",
