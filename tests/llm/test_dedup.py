@@ -152,3 +152,19 @@ def test_queries(spark, sf):
     for name in ("op2_exact_dedup", "op9_minhash_near_dedup"):
         df = queries.QUERIES[name](spark, sf)
         assert df.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_words_hold_what_their_texts_need():
+    """A worker's tables of powers follow the bytes it has seen, and give the same hashes whatever their size."""
+    import numpy as np
+
+    from windrow.llm import kernels
+
+    words, text = kernels.space_words(), np.frombuffer(b"one two three two " * 50, np.uint8)
+    off = np.array([0, len(text)])
+    s, e, _ = words.find(off, text)
+    first = words.hashes(text, s, e)
+    assert len(words.power) <= 2 * len(text) and len(np.unique(first)) == 3
+    long = np.concatenate([text] * 3)
+    s, e, _ = words.find(np.array([0, len(long)]), long)
+    assert (words.hashes(long, s, e) == np.concatenate([first] * 3)).all() and len(words.power) <= 2 * len(long)

@@ -101,7 +101,7 @@ class Words:
 
     def _powers(self, n: int) -> None:
         if len(self.power) < n:
-            n = max(n, CHUNK + 1)
+            n = max(n, min(2 * len(self.power), CHUNK + 1))
             inv = pow(_P, -1, 1 << 64)
             for name, base in (("power", _P), ("inverse", inv)):
                 f = np.full(n, base, np.uint64)

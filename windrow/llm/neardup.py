@@ -17,6 +17,8 @@ ERRORS = 4.0
 BLOCK, HUBS = 64, 8
 #: Members of one band whose packed minima meet in one task at a time.
 BAND_BLOCK = 1024
+#: Bytes of text, cells of a matrix, and rows of a block that a worker holds at a time: the arrays made of them stay at a few MB.
+TEXT, CELLS, STRIP = 1 << 18, 1 << 20, 64
 
 
 def signatures(docs: DataFrame, text: str = "text", size: int = 2) -> DataFrame:
@@ -37,7 +39,7 @@ def signatures(docs: DataFrame, text: str = "text", size: int = 2) -> DataFrame:
         place = np.uint64(2) * np.arange(32, dtype=np.uint64)
         for batch in batches:
             parts = []
-            for a, b, off, data in kernels.text_chunks(batch.column(2)):
+            for a, b, off, data in kernels.text_chunks(batch.column(2), TEXT):
                 sets, at = kernels.bigram_sets(off, data, words, size)
                 has = at[1:] > at[:-1]
                 begin = at[:-1][has]
@@ -225,12 +227,16 @@ def _across(at: DataFrame, enough: float) -> DataFrame:
         words = t["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
         visits = t["visits"].to_numpy()
         a, b = np.flatnonzero(visits), np.flatnonzero(~visits)
-        unequal = np.zeros((len(a), len(b)), np.int16)
-        for w in words.T:
-            x = w[a][:, None] ^ w[b][None, :]
-            unequal += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
-        near = (0.75 - unequal / float(BANDS * BAND_ROWS)) / 0.75 >= enough
-        i, j = np.nonzero(near & (code[a][:, None] != code[b][None, :]))
+        near = np.empty((len(a), len(b)), bool)
+        for k in range(0, len(a), STRIP):
+            strip = a[k : k + STRIP]
+            unequal = np.zeros((len(strip), len(b)), np.int16)
+            for w in words.T:
+                x = w[strip][:, None] ^ w[b][None, :]
+                unequal += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
+            near[k : k + STRIP] = (0.75 - unequal / float(BANDS * BAND_ROWS)) / 0.75 >= enough
+            near[k : k + STRIP] &= code[strip][:, None] != code[b][None, :]
+        i, j = np.nonzero(near)
         i, j = a[i], b[j]
         # One link of each pair of clusters, then a star of what they join.
         width = int(code.max()) + 1 if len(code) else 1
@@ -267,7 +273,7 @@ def _decide(met: DataFrame, keys: list[str], similarity: int, size: int) -> Data
 
         n = len(t)
         words = kernels.space_words()
-        parts = [kernels.bigram_sets(off, data, words, size) for _, _, off, data in kernels.text_chunks(t["text"].combine_chunks())]
+        parts = [kernels.bigram_sets(off, data, words, size) for _, _, off, data in kernels.text_chunks(t["text"].combine_chunks(), TEXT)]
         sets = np.concatenate([p[0] for p in parts])
         count = np.concatenate([np.diff(p[1]) for p in parts])
         at = np.concatenate(([0], np.cumsum(count)))
@@ -276,7 +282,7 @@ def _decide(met: DataFrame, keys: list[str], similarity: int, size: int) -> Data
         _, which = np.unique(sets, return_inverse=True)
         owner = np.repeat(np.arange(n), count)
         width = int(which.max()) + 1 if len(which) else 1
-        step = max(1, (1 << 22) // n)
+        step = max(1, CELLS // n)
         common = np.zeros((n, n), np.float64)
         order = np.argsort(which, kind="stable")
         which, owner = which[order], owner[order]
