@@ -35,6 +35,21 @@ def test_band_pairs_ranked_list(spark, levels):
     assert pr.band_pairs(df, 0.05, 0.5, 1.2).count() > len(want)
 
 
+def test_band_pairs_meet_by_sides(spark, monkeypatch):
+    """Many equally low rows of a cell do not meet each other: they meet the few that can be the higher side of a ranked pair."""
+    rnd = random.Random(5)
+    rows = [("g", f"e{i % 7}", f"w{i * 7919 % 2000:04d}", 0.02, rnd.uniform(3.1, 3.4), 0.0) for i in range(1500)]
+    rows += [("g", f"e{i % 7}", f"x{i:04d}" if i % 2 else f"a{i:04d}", 0.02, rnd.uniform(3.1, 3.4), 5.0 + i / 100) for i in range(9)]
+    df = spark.createDataFrame(rows, "grp string, entity string, id string, peak double, v0 double, pre_a double")
+    written, keep = [], pr.materialize
+    monkeypatch.setattr(pr, "materialize", lambda df, *a: written.append(keep(df, *a)) or written[-1])
+    got = [(r.id_a, r.id_b, round(r.contrast, 9)) for r in pr.band_pairs(df, 0.05, 0.5, 1.2, top=40).collect()]
+    want = [(min(a[2], b[2]), max(a[2], b[2]), round(b[5] - a[5], 9)) for a in rows[:1500] for b in rows[1500:] if a[1] != b[1]]
+    assert sorted(got) == sorted(sorted(want, key=lambda p: (-p[2], p[0], p[1]))[:40])
+    assert written[0].filter("array_contains(_sides, 1)").count() <= 9
+    assert written[0].filter("size(_sides) > 1").count() == 0
+
+
 def test_forest_votes_leave_a_task_as_one_class(spark):
     """What leaves a task that votes is one row a case and feature set, however many classes the trees name; a hot model's cases are spread."""
     import numpy as np

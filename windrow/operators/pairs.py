@@ -119,11 +119,13 @@ def contrast_pairs(pairs: DataFrame, stats: DataFrame, col: str, min_diff: float
     return both.select("key", lo.alias("win_a"), hi.alias("win_b"), "contrast").dropDuplicates(["win_a", "win_b"])
 
 
-def _reach(e: DataFrame, grp: str, top: int, close: Column, contrast: Column) -> DataFrame:
-    """Rows that can be in a group's best ``top`` pairs, with ``_lead``: whether they can be the smaller id of one.
+def _reach(e: DataFrame, grp: str, top: int, min_contrast: float, close: Column, contrast: Column) -> DataFrame:
+    """Rows that can be in a group's best ``top`` pairs, with ``_sides``, the sides of a pair they can be (0: the lower, 1: the higher), and
+    ``_lead``: whether they can be the smaller id of one.
 
     In each cell the lowest and the highest rows make true pairs; the last of the best ``top`` of them bounds the ranked list from below. A row stays
-    if the extremes of the cells around it allow a contrast as good as that; at an equal contrast the smaller id decides.
+    if the highest or the lowest row of the cells around it allows a contrast as good as that (one over ``min_contrast`` where no bound is found); at an
+    equal contrast the smaller id decides.
     """
     k = math.isqrt(top - 1) + 2
     cell = [grp, "_v", "_p"]
@@ -138,10 +140,12 @@ def _reach(e: DataFrame, grp: str, top: int, close: Column, contrast: Column) ->
     near = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
     ends = e.groupBy(*cell).agg(F.min("pre_a").alias("_lo"), F.max("pre_a").alias("_hi")).withColumn("_dv", F.explode(near)).withColumn("_dp", F.explode(near))
     ends = ends.groupBy(grp, (F.col("_v") + F.col("_dv")).alias("_v"), (F.col("_p") + F.col("_dp")).alias("_p")).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    most = F.round(F.greatest(F.abs(F.col("_hi") - F.col("pre_a")), F.abs(F.col("pre_a") - F.col("_lo"))), 9)
     out = e.hint("merge").join(ends, cell).join(F.broadcast(bound), grp, "left")  # bound is a row a group
-    lead = F.col("_c").isNull() | (most > F.col("_c")) | (F.col("id") <= F.col("_first"))
-    return out.filter(F.col("_c").isNull() | (most >= F.col("_c"))).select(*e.columns, lead.alias("_lead"))
+    rise, fall = F.round(F.col("_hi") - F.col("pre_a"), 9), F.round(F.col("pre_a") - F.col("_lo"), 9)
+    fits = lambda gap: F.coalesce(gap >= F.col("_c"), F.lit(True)) & (gap > min_contrast)
+    sides = F.filter(F.array(F.when(fits(rise), 0), F.when(fits(fall), 1)), lambda i: i.isNotNull())
+    lead = F.col("_c").isNull() | (F.greatest(rise, fall) > F.col("_c")) | (F.col("id") <= F.col("_first"))
+    return out.select(*e.columns, sides.alias("_sides"), lead.alias("_lead")).filter(F.size("_sides") > 0)
 
 
 def band_pairs(
@@ -159,7 +163,8 @@ def band_pairs(
     peaks within a share ``rel`` of each other in neighbouring cells of the log scale. So
     only rows of the same small cell meet, however large the group is; a cell's right rows are dealt
     by hash to ``salt`` tasks, to which its left rows are copied. ``top`` is the length of each group's
-    ranked list (greatest contrast first), for which only the rows meet that can be in it; without it all pairs are given.
+    ranked list (greatest contrast first), for which only the rows meet that can be in it, and only those that can be a pair's lower side with those
+    that can be its higher one (most rows of a cell may be equally low); without it all pairs are given.
     """
     width = -math.log1p(-rel) * 1.0001
     cols = ("entity", "id", "peak", "v0", "pre_a")
@@ -173,19 +178,26 @@ def band_pairs(
         & (F.round(F.abs(F.col("v0_a") - F.col("v0_b")), 9) <= dv)
         & (F.round(contrast, 9) > min_contrast)
     )
-    e = materialize(_reach(e, grp, top, close, contrast), "band") if top else e.withColumn("_lead", F.lit(True))
+    if top:
+        e = materialize(_reach(e, grp, top, min_contrast, close, contrast), "band")
+        close = close & ((F.col("pre_a_a") <= F.col("pre_a_b")) == (F.col("_side") == 0))
+    else:
+        e = e.withColumn("_lead", F.lit(True)).withColumn("_sides", F.array(F.lit(0)))
     near = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
     a = e.filter("_lead").withColumn("_dv", F.explode(near)).withColumn("_dp", F.explode(near))
     a = a.select(
         grp,
         (F.col("_v") + F.col("_dv")).alias("_v"),
         (F.col("_p") + F.col("_dp")).alias("_p"),
+        "_sides",
         F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"),
         *[F.col(c).alias(c + "_a") for c in cols],
     )
-    b = e.select(grp, "_v", "_p", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int").alias("_salt"), *[F.col(c).alias(c + "_b") for c in cols])
+    a = a.withColumn("_side", F.explode("_sides")).drop("_sides")
+    other = F.explode(F.transform("_sides", lambda i: 1 - i) if top else F.col("_sides")).alias("_side")
+    b = e.select(grp, "_v", "_p", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int").alias("_salt"), other, *[F.col(c).alias(c + "_b") for c in cols])
     # Sizes are not known before rows are copied: neither side may be broadcast.
-    out = a.hint("merge").join(b, [grp, "_v", "_p", "_salt"]).filter(close).select(grp, "id_a", "id_b", contrast.alias("contrast"))
+    out = a.hint("merge").join(b, [grp, "_v", "_p", "_salt", "_side"]).filter(close).select(grp, "id_a", "id_b", contrast.alias("contrast"))
     return top_n(out, [grp], top, F.desc(F.round("contrast", 9)), "id_a", "id_b") if top else out
 
 
