@@ -85,6 +85,32 @@ def test_blocks_copy_little_and_multiply_tile_by_tile(spark):
     assert {r.id: r.nn for r in blocks.nearest(pts, "id", "e").collect()} == want
 
 
+def test_nearest_rows_meet_near_leaves_only(monkeypatch):
+    """The nearest other row, by place where equally near, without all pairs: ids that repeat, ties, rows without a number."""
+    import numpy as np
+
+    from windrow.plans import blocks
+
+    rng, pairs, real = np.random.default_rng(2), [0], blocks.similarity
+
+    def counted(kind, q, p):
+        pairs[0] += len(q) * len(p)
+        return real(kind, q, p)
+
+    monkeypatch.setattr(blocks, "similarity", counted)
+    for dims, digits in ((4, 9), (4, 1), (20, 0)):
+        y, theirs = rng.normal(size=(9000, dims)).round(digits), rng.integers(0, 8000, 9000)
+        x, mine = y[:700].copy(), theirs[:700]
+        y[17], x[5] = np.nan, np.nan
+        pairs[0] = 0
+        d2, at = blocks.nearest_rows(x, mine, y, theirs)
+        want = np.round(((x[:, None] - y[None]) ** 2).sum(2), 9)
+        want[(mine[:, None] == theirs) | np.isnan(want)] = np.inf
+        ok = np.arange(700) != 5
+        assert np.isinf(d2[5]) and (at[ok] == want.argmin(1)[ok]).all() and np.allclose(d2[ok], want.min(1)[ok], atol=2e-9)
+        assert dims > 4 or pairs[0] < 0.3 * 700 * 9000
+
+
 def test_importances_rows_are_spread(spark, monkeypatch):
     """A small table is not one task's work in every pass of the forest."""
     from windrow.operators import ml
