@@ -118,6 +118,31 @@ def test_a_hot_model_is_sampled_by_tree_and_voted_on_whole(spark):
     assert acc["hot"].n == 3000 and acc["hot"].acc > 0.95 and acc["rare"].n == 40
 
 
+def test_trees_see_all_rows_of_a_large_model(spark):
+    """A class of six rows a part among 18,000 is in every tree's bootstrap; a sample of some thousand rows would mostly miss it."""
+    df = spark.range(18000).selectExpr("'m' AS _m", "id % 3 AS _part", "IF(id < 18, 'rare', IF(xxhash64(id) % 2 = 0, 'a', 'b')) AS _y", "string(id) AS _id", "IF(id < 18, 9D, (xxhash64(id, 1) % 1000) / 1000D) AS x")
+    got = forests.forest_votes(df, {"s": ["x"]}, trees=16).collect()
+    assert len(got) == 18000 and {r["_p"] for r in got if r["_y"] == "rare"} == {"rare"} and {r["_p"] for r in got if r["_y"] != "rare"} == {"a", "b"}
+
+
+def test_votes_are_the_same_one_tree_at_a_time(spark, monkeypatch):
+    """Where the rows of all of a number's trees are too many for one go, they are grown singly; the draws of rows stay."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 3, 900)
+    rows = pa.table({"_h": rng.integers(-(1 << 62), 1 << 62, 900), "_part": rng.integers(0, 3, 900), "_c": y.astype(np.int32), "_n": np.arange(900), "good": y + rng.normal(size=900) * 0.05, "gaps": np.where(rng.random(900) < 0.3, np.nan, -y)})
+    model = forests.Model(rows, ["good", "gaps"], [["good"], ["good", "gaps"]], 16, 2, 42)
+    whole = [model.votes(t, 1.0) for t in range(9)]
+    monkeypatch.setattr(forests, "ROWS_AT_ONCE", 100)
+    single = [model.votes(t, 1.0) for t in range(9)]
+    for told in (whole, single):
+        assert (forests._most(np.stack(told, 2).reshape(1800, 9)).reshape(900, 2) == model.y[:, None]).mean() > 0.97
+    u = forests.uniform(model.h, 42, 1)
+    assert 0 <= u.min() and u.max() < 1 and abs(forests.poisson(u, 1.0).mean() - 1) < 0.1 and abs(forests.poisson(u, 0.1).mean() - 0.1) < 0.05
+
+
 def test_odd_cases(spark):
     df = cases(spark, 30, models=("a",))
     one = df.withColumn("_part", F.lit(0).cast("bigint"))
