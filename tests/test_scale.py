@@ -123,6 +123,13 @@ def test_importances_rows_are_spread(spark, monkeypatch):
     assert found["x"] > found["z"] and len(written[0].inputFiles()) >= spark.sparkContext.defaultParallelism
 
 
+def test_clips_meet_frames_in_their_buckets(spark, sf):
+    """No frame is shuffled for the clips around candidates: windows' frames lie in buckets of their window."""
+    from windrow.catalog import QUERIES
+
+    assert "Exchange hashpartitioning" not in plan(QUERIES["has_reversing"](spark, sf))
+
+
 def lineitem(spark, folder, rows):
     """Tables of a handful of lines: rows of (supplier, ship date, order, line); the other columns follow from the row's number."""
     flags = ["R", "A", "N"]

@@ -84,7 +84,7 @@ rev AS (SELECT win_id, onset, min(v) < -0.2 OR coalesce(max(drives) = 1 AND max(
 def has_reversing(spark, d):
     f = c.win_frames(spark, d)
     cand = f.filter(F.abs("steeringAngleDeg") > 60).select("win_id", F.col("pos").alias("onset"))
-    return dt.has_reversing(f, cand, 45.0, 8, 8)
+    return dt.has_reversing(f, cand, 45.0, 8, 8, block=None)  # candidates meet frames in the frames' buckets
 
 
 TURN_PRED = "abs(steeringAngleDeg) > 20 AND vEgo > 1.5 AND vEgo < 15"
