@@ -130,6 +130,34 @@ def test_clips_meet_frames_in_their_buckets(spark, sf):
     assert "Exchange hashpartitioning" not in plan(QUERIES["has_reversing"](spark, sf))
 
 
+def test_blocks_are_counted_by_group(spark):
+    """Rows of three groups do not meet in more blocks than those of one: what is copied is what a group's blocks need; short vectors lie in larger blocks."""
+    from windrow.plans import blocks
+
+    q = spark.range(300).selectExpr("id % 3 AS g", "id AS i", "array(CAST(id AS DOUBLE), 1D) AS vec")
+    fn = lambda a, b: a[["g", "i"]].assign(n=len(b))
+    grid = blocks.block_grid(q, q.withColumnRenamed("i", "j"), ["g"], "i", "j", fn, "g bigint, i bigint, n bigint", 100)
+    assert sorted(r.n for r in grid.collect()) == [100] * 300
+    assert blocks.rows_of_block(64) == blocks.rows_of_block(768) == blocks.BLOCK and blocks.rows_of_block(12) == 4 * blocks.BLOCK
+
+
+def test_ablations_are_made_behind_the_joins(spark):
+    """Settings are views of one table of vectors: they give what enrollment gives on rows that were zeroed first, with fewer joined rows."""
+    from windrow.operators import metrics as mt
+
+    rnd = random.Random(6)
+    rows = [(f"w{i:04d}", f"e{i % 8}", i // 8 % 5, [rnd.gauss(i % 8, 2.0) for _ in range(4)]) for i in range(480)]
+    df = spark.createDataFrame(rows, "win_id string, entity string, route bigint, vec array<double>")
+    groups = {"no_head": (0, 1), "no_tail": (3,)}
+    key = lambda r: (r.setting, r.k, r.n_entities, r.n_queries, *(round(x, 9) for x in (r.top1, r.top5, r.auroc, r.eer)))
+    got = sorted(key(r) for r in mt.ablate_channels(df, groups, 3, 2, 3).collect())
+    zeroed = [(n, *r[:3], [0.0 if i in dims else v for i, v in enumerate(r[3])]) for n, dims in {"full": (), **groups}.items() for r in rows]
+    first = spark.createDataFrame(zeroed, "setting string, win_id string, entity string, route bigint, vec array<double>")
+    assert got == sorted(key(r) for r in mt.enroll(first, [3], 2, 3, by=["setting"]).collect()) and len(got) == 3
+    scores = mt.enroll_scores(df, [3], 2, 3, views={"full": lambda v: v, "none": lambda v: F.transform(v, lambda x: x * 0)})
+    assert scores.groupBy("setting").agg(F.max("own").alias("own")).filter("setting = 'none' AND own <> 0").count() == 0
+
+
 def lineitem(spark, folder, rows):
     """Tables of a handful of lines: rows of (supplier, ship date, order, line); the other columns follow from the row's number."""
     flags = ["R", "A", "N"]
